@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this subpackage
 WHERE = {
+    "p1_found": "lookalike",
+    "p1_canonical": "lookalike",
     "p6_found": "mojibake",
     "p6_restored": "mojibake",
 }
