@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 WHERE = {
     "p1_found": "lookalike",
     "p1_canonical": "lookalike",
+    "p2_found": "pairs",
+    "p2_surprise": "pairs",
+    "p3_found": "termcounts",
+    "p3_terms": "termcounts",
     "p6_found": "mojibake",
     "p6_restored": "mojibake",
 }

@@ -1,3 +1,23 @@
 """SQL that gives the same rows, where SQL can express the operator."""
 
-SQL: dict[str, str] = {}
+_UNI = """uni as (select distinct shard_id, document_id, midasi, repname, word_class, cnt from ngram_uni),
+counted as (select * from uni where midasi is not null and midasi not in ('|', '$', '#'))"""
+
+_TERMS = f"""with {_UNI},
+terms as (select 'midasi' as field, midasi as term, document_id, cnt from counted union all select 'repname', repname, document_id, cnt from counted where repname is not null),
+agg as (select field, term, cast(sum(cnt) as bigint) as cnt, count(distinct document_id) as docs from terms group by field, term),
+marked as (select *, case when cnt < 5 or docs < 3 then 'rare' when docs > 0.15 * (select count(distinct document_id) from ngram_uni) then 'common' else 'useful' end as mark from agg)"""
+
+_PAIRS = f"""with {_UNI},
+fbi as (select distinct shard_id, document_id, w1, w2, cnt from ngram_fbi),
+words as (select least(w1.repname, w2.repname) as repname_a, greatest(w1.repname, w2.repname) as repname_b, document_id, cnt from fbi
+  where w1.midasi is not null and w2.midasi is not null and w1.midasi not in ('|', '$', '#') and w2.midasi not in ('|', '$', '#') and w1.repname <> w2.repname),
+pairs as (select repname_a, repname_b, cast(sum(cnt) as bigint) as n_ab, count(distinct document_id) as docs from words group by 1, 2),
+n as (select repname, cast(sum(cnt) as bigint) as n from counted where repname is not null group by 1)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""{_PAIRS} select repname_a, repname_b from pairs join n a on a.repname = repname_a join n b on b.repname = repname_b
+where n_ab >= 8 and docs >= 5 and n_ab * (select sum(cnt) from counted) >= 10 * a.n * b.n""",
+    "p3_found": f"{_TERMS} select field, term, mark from marked where mark <> 'useful'",
+    "p3_terms": f"{_TERMS} select field, term, cnt, docs, mark from marked",
+}
