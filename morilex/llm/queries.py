@@ -17,6 +17,9 @@ WHERE = {
     "p3_terms": "termcounts",
     "p6_found": "mojibake",
     "p6_restored": "mojibake",
+    "p7_found": "boilerplate",
+    "p7_site_lines": "boilerplate",
+    "p7_cleaned": "boilerplate",
 }
 
 
