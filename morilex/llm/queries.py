@@ -20,6 +20,8 @@ WHERE = {
     "p7_found": "boilerplate",
     "p7_site_lines": "boilerplate",
     "p7_cleaned": "boilerplate",
+    "p8_containers": "packing",
+    "p8_fill": "packing",
 }
 
 
