@@ -22,6 +22,8 @@ WHERE = {
     "p7_cleaned": "boilerplate",
     "p8_containers": "packing",
     "p8_fill": "packing",
+    "p9_found": "leakage",
+    "p9_documents": "leakage",
 }
 
 
