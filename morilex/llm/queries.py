@@ -24,6 +24,8 @@ WHERE = {
     "p8_fill": "packing",
     "p9_found": "leakage",
     "p9_documents": "leakage",
+    "p10_found": "readlevel",
+    "p10_levels": "readlevel",
 }
 
 
