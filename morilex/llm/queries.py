@@ -15,6 +15,8 @@ WHERE = {
     "p2_surprise": "pairs",
     "p3_found": "termcounts",
     "p3_terms": "termcounts",
+    "p4_found": "langid",
+    "p4_languages": "langid",
     "p6_found": "mojibake",
     "p6_restored": "mojibake",
     "p7_found": "boilerplate",
