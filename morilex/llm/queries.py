@@ -17,6 +17,8 @@ WHERE = {
     "p3_terms": "termcounts",
     "p4_found": "langid",
     "p4_languages": "langid",
+    "p5_found": "sentences",
+    "p5_sentences": "sentences",
     "p6_found": "mojibake",
     "p6_restored": "mojibake",
     "p7_found": "boilerplate",
