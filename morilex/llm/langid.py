@@ -31,7 +31,7 @@ from . import common
 LANGS = ("ja", "en", "zh", "ko", "es", "pt", "de", "fr", "ru", "th")
 # Other codes of the same languages.
 CODES = {"jpn": "ja", "eng": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "spa": "es", "por": "pt", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "rus": "ru", "tha": "th"}
-BITS, ORDERS, MAX_TRAIN, EPOCHS = 18, 4, 24_000, 3
+BITS, ORDERS, MAX_TRAIN, EPOCHS = 18, 4, 10_000, 3
 #: Letters that make a clause, by kind of script.
 CLAUSE = {"wide": 5, "narrow": 14, "thai": 10}
 DOUBT = 0.75
@@ -112,21 +112,28 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, buckets, values): TF-IDF vectors of unit length; term frequency 1 + log tf."""
-    offsets, buckets = ngrams(texts)
-    rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    key, count = np.unique(rows << BITS | buckets, return_counts=True)
-    rows, buckets = key >> BITS, key & ((1 << BITS) - 1)
-    value = (1 + np.log(count)) * idf[buckets]
-    norm = np.sqrt(np.bincount(rows, value * value, len(texts)))
-    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]), buckets, value / np.maximum(norm[rows], 1e-12)
+    """(offsets, buckets, values): TF-IDF vectors of unit length; term frequency 1 + log tf. In blocks, to bound memory."""
+    sizes, all_buckets, all_values = [np.zeros(1, dtype=np.int64)], [], []
+    for at in range(0, len(texts), 1000):
+        block = texts[at : at + 1000]
+        offsets, buckets = ngrams(block)
+        rows = np.repeat(np.arange(len(block)), np.diff(offsets))
+        key, count = np.unique(rows << BITS | buckets, return_counts=True)
+        rows, buckets = key >> BITS, key & ((1 << BITS) - 1)
+        value = (1 + np.log(count)) * idf[buckets]
+        norm = np.sqrt(np.bincount(rows, value * value, len(block)))
+        sizes.append(np.bincount(rows, minlength=len(block)))
+        all_buckets.append(buckets.astype(np.int32))
+        all_values.append((value / np.maximum(norm[rows], 1e-12)).astype(np.float32))
+    none = np.zeros(0)
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(all_buckets or [none.astype(np.int32)]), np.concatenate(all_values or [none.astype(np.float32)])
 
 
 def train(data: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.2, epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
     """FTRL-proximal for the multinomial loss with elastic net; weights (buckets + 1 bias) x languages."""
     offsets, buckets, values = data
     k, size = len(LANGS), (1 << BITS) + 1
-    z, n = np.zeros((size, k)), np.zeros((size, k))
+    z, n = np.zeros((size, k), dtype=np.float32), np.zeros((size, k), dtype=np.float32)
     rng = np.random.default_rng(seed)
 
     def weights(i):
@@ -147,7 +154,7 @@ def train(data: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    return weights(np.arange(size)).astype(np.float32)
+    return weights(slice(None)).astype(np.float32)
 
 
 def scores(data: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
@@ -267,7 +274,7 @@ def training_rows(tweets: DataFrame, docs: DataFrame) -> tuple[list[str], list[s
     d = docs.where(F.col("text").isNotNull()).select("text", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(*[x for x in LANGS if x != "ja"]))
     d = d.select(F.explode(F.split("text", "\n")).alias("text"), "lang").where((F.length("text") > 30) & ~F.col("text").rlike("[ぁ-ヿ]")).distinct()
     d = d.orderBy(F.xxhash64("text"), "text", "lang").limit(MAX_TRAIN // 2)
-    rows = t.unionByName(d.select(F.substring("text", 1, 400).alias("text"), "lang")).collect()
+    rows = t.unionByName(d.select(F.substring("text", 1, 300).alias("text"), "lang")).collect()
     return [cleaned(r[0]) for r in rows], [r[1] for r in rows]
 
 
