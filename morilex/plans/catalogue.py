@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import acquire, aggregates, evaluate, filters, lookups, nouns, registry, scans, streams  # noqa: F401  (they register)
+
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
