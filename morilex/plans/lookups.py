@@ -8,10 +8,11 @@ from ..operators import align, lookup, storage
 from .registry import HEAD, TOK, headwords, query, table, tokens
 
 
-@query(f"""with {HEAD}, {TOK}, u as (select token, count(*) as cnt from tok group by 1) select hinsi, count(*) as matches, count(distinct token) as words, cast(sum(cnt) as bigint) as cnt from u join head on head.head = u.token where hinsi in ('名詞', '動詞') group by 1""")
+@query(f"""with {HEAD}, u as (select head as token, count(*) as cnt from head where dict_name = 'web' group by 1), m as (select * from head where dict_name = 'main') select hinsi, count(*) as matches, count(distinct token) as words, cast(sum(cnt) as bigint) as cnt from u join m on m.head = u.token where hinsi in ('名詞', '動詞') group by 1""")
 def j01_dictionary_lookup(spark, sf):
-    u = tokens(spark, sf).groupBy("token").agg(F.count("*").alias("cnt"))
-    hit = lookup.dictionary_lookup(u, headwords(spark, sf).select(F.col("head").alias("token"), "hinsi"), "token", {"hinsi": ["名詞", "動詞"]})
+    h = headwords(spark, sf).withColumn("token", F.col("head"))
+    u = h.where("dict_name = 'web'").groupBy("token").agg(F.count("*").alias("cnt"))
+    hit = lookup.dictionary_lookup(u, h.where("dict_name = 'main'").select("token", "hinsi"), "token", {"hinsi": ["名詞", "動詞"]})
     return hit.groupBy("hinsi").agg(F.count("*").alias("matches"), F.count_distinct("token").alias("words"), F.sum("cnt").alias("cnt"))
 
 

@@ -58,12 +58,13 @@ def k15_round_robin_shards(spark, sf):
     return d.groupBy(((F.col("rn") - 1) % 10).alias("shard")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"""with {HEAD}, {TOK}, u as (select token, count(*) as cnt from tok group by 1)
-select token in (select head from head) as known, count(*) as words, sum(cnt) as cnt from u group by 1""", "cnt")
+@query(f"""with {HEAD}, u as (select head as token, count(*) as cnt from head where dict_name = 'web' group by 1)
+select token in (select head from head where dict_name = 'main') as known, count(*) as words, sum(cnt) as cnt from u group by 1""", "cnt")
 def k17_route_by_list(spark, sf):
     """Words of the corpus routed by the headword list: a semi and an anti join."""
-    u = tokens(spark, sf).groupBy("token").agg(F.count("*").alias("cnt"))
-    h = headwords(spark, sf).select(F.col("head").alias("token")).distinct()
+    all_heads = headwords(spark, sf).select("dict_name", F.col("head").alias("token"))
+    u = all_heads.where("dict_name = 'web'").groupBy("token").agg(F.count("*").alias("cnt"))
+    h = all_heads.where("dict_name = 'main'").select("token").distinct()
     both = u.join(h, "token", "left_semi").withColumn("known", F.lit(True)).unionByName(u.join(h, "token", "left_anti").withColumn("known", F.lit(False)))
     return both.groupBy("known").agg(F.count("*").alias("words"), F.sum("cnt").alias("cnt"))
 

@@ -153,7 +153,7 @@ def serialize(e: dict) -> str:
 
 def read_dictionary(spark: SparkSession, path: str, glob: str = "*.dic") -> DataFrame:
     """Entries of all dictionary files under a path; a file is one record, as an entry may run over lines."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     schema = T.StructType([*ENTRY.fields])
 
     def rows(batches):

@@ -19,13 +19,13 @@ _SENTENCES = T.StructType([T.StructField("doc_id", T.StringType()), T.StructFiel
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent_id, raw): one sentence for each line; compressed files are read as they are."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "raw"))
+    t = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "raw"))
     return t.where(F.trim("raw") != "").select("file", (F.col("i") + 1).alias("sent_id"), "raw")
 
 
 def read_raw_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, sent_id, raw) of files that hold several documents, each headed by `#document<TAB>id`."""
-    parts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.explode(F.split("value", r"(?m)^#document\t")).alias("d")).where(F.trim("d") != "")
+    parts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^#document\t")).alias("d")).where(F.trim("d") != "")
     d = parts.select(F.element_at(F.split("d", "\n", 2), 1).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.try_element_at(F.split("d", "\n", 2), F.lit(2)), F.lit("")), "\n")).alias("i", "raw"))
     return d.where(F.trim("raw") != "").select(F.trim("doc_id").alias("doc_id"), (F.col("i") + 1).alias("sent_id"), "raw")
 
@@ -58,12 +58,12 @@ def parse_analysis(text: str):
             tail = f[11] if len(f) > 11 else ""
             m = re.match(r'("(?:[^"\\]|\\.)*"|NIL)?\s*(.*)', tail)
             none = lambda x: None if x == "*" else x
-            yield (doc, domain, sid or str(n), pos, bnst, f[0], f[1], f[2], f[3], none(f[5]), none(f[7]), none(f[9]), (m.group(1) or "").strip('"') or None, m.group(2) or None, homograph)
+            yield (doc, domain, sid or str(n), pos, bnst, f[0], f[1], f[2], f[3], none(f[5]), none(f[7]), none(f[9]), None if m.group(1) in (None, "NIL") else m.group(1).strip('"') or None, m.group(2) or None, homograph)
 
 
 def read_analysis(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFrame:
     """Morphemes of analysed files, one row each; a document's file is one record."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
 
     def rows(batches):
         import pandas as pd
@@ -113,7 +113,7 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"kTraditionalVariant": "T", "kSimplifiedVariant": "S", "kZVariant": "Z"}
     t = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
     table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    edges = t.select(F.element_at("p", 1).alias("a"), F.try_element_at(table, F.element_at("p", 2)).alias("kind"), F.explode(F.regexp_extract_all(F.element_at("p", 3), F.lit(r"U\+[0-9A-F]+"), F.lit(0))).alias("b")).where("kind is not null")
+    edges = t.select(F.element_at("p", 1).alias("a"), F.try_element_at(table, F.element_at("p", 2)).alias("kind"), F.explode(F.regexp_extract_all(F.element_at("p", 3), F.lit(r"U\+[0-9A-F]+"), F.lit(0))).alias("b")).where("kind is not null").select("a", "b", "kind")
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.concat("kind", F.lit("2")).alias("kind"))).distinct()
 
 
