@@ -23,6 +23,8 @@ from . import common
 
 UTF8 = rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})"
 UTF8_WIDE = rb"(?:\xE2[\x80-\xBF]{2}|\xE3[\x80-\xBF]{2}|[\xE4-\xEC\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xE0[\xB8-\xB9][\x80-\xBF])"
+UTF8_LATIN = rb"(?:\xC3[\x80-\xBF]|\xC5[\x92\x93]|\xE2\x80[\x98-\x9D])"
+UTF8_CYRILLIC = rb"(?:[\xD0\xD1][\x80-\xBF])"
 EUC = rb"(?:[\xA1-\xA5\xB0-\xF4][\xA1-\xFE])"
 SJIS = rb"(?:[\x81-\x83\x88-\x9F\xE0-\xEA][\x40-\x7E\x80-\xFC])"
 #: What wrongly decoded text was meant to be: letters, kana, kanji, syllables and marks of running text.
@@ -31,6 +33,7 @@ KANA = re.compile(r"[ぁ-ヾ]")
 ESCAPED = re.compile(r"(?:\\x[0-9A-Fa-f]{2}[@-\[\]-~]?){2,}")
 #: Shift state of the seven-bit encoding whose escape characters were dropped: both marks must be there.
 SHIFTED = re.compile(r"\$[B@]((?:[!-~]{2})+?)\([BJ]")
+_WIDE_AFTER = re.compile(r"[぀-ヿ一-鿿가-힣！-ﾟ]")
 #: A lead of three bytes that lacks its last byte: bytes were dropped.
 CUT = re.compile(rb"[\xE2-\xEF][\x80-\xBF](?![\x80-\xBF])")
 
@@ -87,6 +90,8 @@ CHAINS = (
     ("euc_jp", UTF8_WIDE, "utf-8", 2),
     ("big5", UTF8_WIDE, "utf-8", 2),
     ("euc_kr", UTF8_WIDE, "utf-8", 2),
+    *((dec, UTF8_LATIN, "utf-8", 1) for dec in ("cp932", "gbk", "euc_jp", "big5", "euc_kr")),
+    *((dec, UTF8_CYRILLIC, "utf-8", 4) for dec in ("cp932", "gbk", "euc_jp", "big5")),
     ("latin", EUC, "euc_jp", 2),
     ("cp932", EUC, "euc_jp", 2),
     ("latin", SJIS, "cp932", 2),
@@ -104,7 +109,7 @@ def compiled():
             table = table | {chr(b): bytes([b]) for b in range(0x40, 0x7F)}
         cls = "[" + "".join(re.escape(c) for c in table) + "]"
         # a run of characters this decoder can have made; for three-byte text read in pairs, of the lead bytes it needs
-        out.append((dec, auto, enc, least, table, re.compile(cls + "{2,}"), re.compile(rb"(?:" + auto + rb")+")))
+        out.append((dec, auto, enc, least, table, re.compile(cls + ("+" if auto is UTF8_LATIN else "{2,}")), re.compile(rb"(?:" + auto + rb")+")))
     return out
 
 
@@ -118,8 +123,11 @@ def _accept(dec: str, enc: str, auto: bytes, least: int, text: str, source: str)
     n = len(text)
     if dec == "latin" and enc == "utf-8":
         return True
+    if auto is UTF8_LATIN:
+        # accented letters inside words of plain ones: what the run holds is all of it
+        return True
     if n < least:
-        return False
+        return any("─" <= c <= "▟" for c in source) and dec in ("koi8_r", "cp866", "cp437")
     kana = len(KANA.findall(text))
     if enc == "euc_jp":
         if dec == "cp932":
@@ -151,6 +159,8 @@ def _layer(s: str) -> tuple[str, int, bool]:
             chars = m.group()
             pieces = [table[c] for c in chars]
             data = b"".join(pieces)
+            if auto is UTF8_LATIN and not (spans.fullmatch(data) and s[m.start() - 1 : m.start()].isascii() and s[m.start() - 1 : m.start()].islower() and not _WIDE_AFTER.match(s, m.end())):
+                continue
             if auto in (UTF8, UTF8_WIDE) and not re.search(rb"[\xC2-\xF4][\x80-\xBF]", data):
                 continue
             starts, at = {}, 0

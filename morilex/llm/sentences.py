@@ -194,6 +194,10 @@ _STOP = re.compile(r"[.!?…。？！]+")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*)\Z")
 # Words before an ordinal that is written with a stop.
 _ORDINAL = re.compile(r"\b(?:[Aa]m|[Dd]e[rsmn]|[Vv]om|[Zz]um|[Bb]is|[Ss]eit|[Aa]b)\s+\d{1,2}\Z")
+# Titles that stand before names.
+TITLES = frozenset("Prof Mme Mlle Sra Srta Dra Ing Rev Gen Capt Hon Fr Hr Frau Herr Mrs".split())
+_VOWEL = re.compile(r"[aeiouyàâäéèêëíîïóôöúùûüáñæœаеёиоуыэюя]", re.I)
+_CASED = re.compile(r"[A-Za-zÀ-ɏͰ-ӿ]")
 _WORD_AFTER = re.compile(r"[^\w]*?([^\W\d_]+)")
 
 
@@ -257,7 +261,8 @@ def is_abbreviation(word: str, doc: dict, corpus: dict) -> bool:
             return True
         if w or seen.get(("last", word), 0):
             return False
-    return len(word) <= 4
+    # never seen elsewhere: a title, or short letters that make no word
+    return word in TITLES or (len(word) <= 3 and word[0].isupper()) or (len(word) <= 4 and not _VOWEL.search(word))
 
 
 def starts_sentence(word: str, doc: dict, corpus: dict) -> bool:
@@ -313,7 +318,7 @@ def _spaced(text: str, kind: str, doc: dict, corpus: dict) -> list[int]:
             continue
         if m.group() == ".":
             w = _WORD_BEFORE.search(flat, max(0, a - 24), a)
-            if w and len(w.group(1)) <= 8 and is_abbreviation(w.group(1), doc, corpus):
+            if w and len(w.group(1)) <= 8 and _CASED.match(w.group(1)) and is_abbreviation(w.group(1), doc, corpus):
                 if first.isdigit():
                     continue
                 nxt = _WORD_AFTER.match(flat, b)
