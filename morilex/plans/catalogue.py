@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import acquire, aggregates, evaluate, filters, lookups, nouns, registry, scans, streams  # noqa: F401  (they register)
+from . import acquire, aggregates, evaluate, filters, lexicon, lookups, nouns, registry, scans, streams  # noqa: F401  (they register)
 
 
 def queries():
