@@ -61,6 +61,38 @@ def parse_analysis(text: str):
             yield (doc, domain, sid or str(n), pos, bnst, f[0], f[1], f[2], f[3], none(f[5]), none(f[7]), none(f[9]), None if m.group(1) in (None, "NIL") else m.group(1).strip('"') or None, m.group(2) or None, homograph)
 
 
+def parse_phrases(text: str):
+    """(doc_id, sent_id, bnst_idx, parent_idx, dpndtype, fstring) of the `*` lines of analysed text."""
+    doc, sid, n, bnst = None, None, 0, -1
+    for line in text.split("\n"):
+        if line.startswith("#document"):
+            parts = re.split(r"[\t ]", line.rstrip("\r"))
+            doc, n = (parts[1] if len(parts) > 1 else None), 0
+        elif line.startswith("#"):
+            m = re.search(r"S-ID:(\S+)", line)
+            sid = m.group(1) if m else sid
+        elif line.startswith("EOS"):
+            n, bnst, sid = n + 1, -1, None
+        elif m := re.match(r"\* (-?\d+)([A-Z]) ?(.*)", line.rstrip("\r")):
+            bnst += 1
+            yield doc, sid or str(n), bnst, int(m.group(1)), m.group(2), m.group(3)
+
+
+def read_phrases(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFrame:
+    """Phrases of analysed files with their dependency."""
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("sent_id", T.StringType()), T.StructField("bnst_idx", T.IntegerType()), T.StructField("parent_idx", T.IntegerType()), T.StructField("dpndtype", T.StringType()), T.StructField("fstring", T.StringType())])
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            for text in b["value"]:
+                yield pd.DataFrame(list(parse_phrases(text)), columns=schema.names)
+
+    return files.mapInPandas(rows, schema)
+
+
 def read_analysis(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFrame:
     """Morphemes of analysed files, one row each; a document's file is one record."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
