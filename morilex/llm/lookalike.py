@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 from .mojibake import repair_udf
 
+#: Marked as not deterministic so that it stays above the joins: only members of classes with several texts are judged.
+_judged = repair_udf.asNondeterministic()
+
 # Letters of other scripts that look like the second of the pair.
 LATIN_LOOKALIKES = {
     "АВЕЅІЈКМНОРСТУХ": "ABESIJKMHOPCTYX",
@@ -108,7 +111,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     """Pairs of rows that look the same and are not equal; garbled text takes no part."""
     v = values(spark, sf_dir, lines_only=True).where(F.col("text").isNotNull())
     several = classes(v, ["tbl"], "text").where("n_texts > 1")
-    clean = several.where(repair_udf("text")["state"] == "clean")
+    clean = several.withColumn("_state", _judged("text")["state"]).where("_state = 'clean'").drop("_state")
     member = clean.join(v, ["tbl", "text"]).select("tbl", "canonical", "text", "id").distinct()
     a = member.select("tbl", "canonical", F.col("text").alias("text_a"), F.col("id").alias("id_a"))
     b = member.select("tbl", "canonical", F.col("text").alias("text_b"), F.col("id").alias("id_b"))
