@@ -10,7 +10,7 @@ Lines are the same if they differ only in white space, width or compatibility fo
 
 Plan: one pass in Arrow batches writes the chunk list of each document; chunks are counted by a 64-bit key with map-side
 sums, so a domain or a line that holds a third of all rows is summed before the shuffle; only occurrences of repeated
-chunks go on. Defined results: null or empty text has no lines; a null domain is no domain and has no cases; a doc_id that
+chunks go on. Defined results: null or empty text has no lines; a null domain is no domain and has no cases, nor has a row without doc_id; a doc_id that
 occurs in several rows counts once; blank lines are no cases but keep their number.
 """
 
@@ -117,7 +117,7 @@ def _chunked(batches):
 
 def chunked_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, domain, text) -> one row for each non-blank line: (doc_id, domain_key, line_no, line_key, chunks)."""
-    kept = docs.where(F.col("domain").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("domain").alias("domain_key"), "text")
+    kept = docs.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("domain").alias("domain_key"), "text")
     return common.spread(kept).mapInArrow(_chunked, _CHUNKS)
 
 

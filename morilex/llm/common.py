@@ -1,75 +1,13 @@
-"""Helpers shared by the training-data operators.
-
-Nothing outside this subpackage imports it.
-"""
+"""What the training-data operators share; storage and running sums are the core's."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir.
-
-    Where the session names none (a single-machine test), a fresh temporary folder is taken and set as the checkpoint
-    folder, so that later calls of the same session share it.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not where:
-        where = getattr(spark, "_morilex_shared", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="morilex-")
-            spark._morilex_shared = where
-    return where
 
+from ..operators.storage import prefix_sum, scratch, spread, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/morilex/{name}-{uuid.uuid4().hex}"
+__all__ = ["prefix_sum", "read", "scratch", "spread", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df by writing it to the shared folder and reading it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread the rows of a table that is stored in few files over all cores before heavy per-row work.
-
-    A table that is already split finely (at least one split for each core) is left as it is: no shuffle.
-    """
-    sc = df.sparkSession.sparkContext
-    want = max(1, sc.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want * per_core)
-
-
-def prefix_sum(df: DataFrame, keys: list, value, out: str, name: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over all rows up to and including this one, in the order of `keys` (total order).
-
-    Range partitioning, one small row for each partition to the driver (their number is the bound), then a running sum
-    within each partition: no task ever sees more than its range.
-    """
-    from pyspark.sql import Window as W
-
-    ranged = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), name)
-    sums = {r[0]: r[1] or 0 for r in ranged.groupBy("_part").agg(F.sum(value)).collect()}
-    before, offsets = 0, []
-    for part in sorted(sums):
-        offsets.append((part, before))
-        before += sums[part]
-    kind = T.DoubleType() if isinstance(before, float) else T.LongType()
-    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", kind)])
-    base = df.sparkSession.createDataFrame([(p, kind.toInternal(float(b) if isinstance(kind, T.DoubleType) else int(b))) for p, b in offsets], schema)
-    w = W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_before") + F.sum(value).over(w)).drop("_part", "_before")
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

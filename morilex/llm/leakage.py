@@ -12,7 +12,7 @@ item decides.
 Plan: the items (a fixed query set) are broadcast in blocks of at most MAX_ITEMS_CHARS characters, each block in one pass
 over all documents, in Arrow batches, without any shuffle of text; only (doc_id, item_id) is made distinct at the end.
 
-Defined results: null and empty texts and items have no passages; items shorter than a shingle are found only if nothing
+Defined results: null and empty texts and items have no passages, rows without an id are left out; items shorter than a shingle are found only if nothing
 else is asked of them than to stand whole in a document; equal items are found each under its own id.
 """
 
@@ -264,7 +264,7 @@ def leaks_of(items: Items, ids: list[int], texts: list[str]) -> list[tuple[int,
 def leaks(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
     """docs(doc_id, text), eval_items(item_id, text) -> distinct (doc_id, item_id)."""
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in eval_items.where(F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator()]
+    rows = [(r[0], r[1]) for r in eval_items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator()]
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
     for r in sorted(rows):
@@ -273,7 +273,7 @@ def leaks(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
             size = 0
         blocks[-1].append(r)
         size += len(r[1])
-    kept = common.spread(docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
+    kept = common.spread(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
     out = spark.createDataFrame([], _FOUND)
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)

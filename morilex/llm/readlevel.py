@@ -13,8 +13,8 @@ vectors of documents are written once, and each round reads them once, summing w
 At most MAX_ANCHORS graded documents (a hash order picks them) serve as anchors; all documents take part in every round.
 
 Defined results: only documents whose running text is mainly Japanese get a level. Running text are lines with final
-marks and at least 12 letters; a document without such lines is judged by all its lines. Null and empty texts are left
-out. Without any grade every document is 'medium', the middle of the scale.
+marks and at least 12 letters; a document without such lines is judged by all its lines. Null and empty texts and
+rows without an id are left out. Without any grade every document is 'medium', the middle of the scale.
 """
 
 from __future__ import annotations
@@ -183,9 +183,9 @@ def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) ->
     """docs(doc_id, text), grades(doc_id, grade) -> (doc_id, level, n_words, band) of mainly Japanese documents."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    kept = common.spread(docs.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "text"))
+    kept = common.spread(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "text"))
     vectors = common.written(kept.mapInArrow(_vectors, _VECTORS), "word-vectors")
-    mean = grades.where(F.col("grade").isNotNull()).groupBy("doc_id").agg(F.avg("grade").alias("grade"))
+    mean = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     graded = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ANCHORS).toPandas()
     if not len(graded):
         return vectors.select("doc_id", F.lit(0.0).alias("level"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"), F.lit("medium").alias("band"))
