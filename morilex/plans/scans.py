@@ -89,7 +89,7 @@ def k18_leave_one_type_out(spark, sf):
 
 
 @query(f"with {TOK} select doc_id, md5(string_agg(token, '' order by pos)) as joined, count(*) as n from tok group by 1")
-def p06_joined_text(spark, sf):
+def proj06_joined_text(spark, sf):
     """The raw text of an analysis: its surfaces joined in their order."""
     t = tokens(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("a"))
     return t.select("doc_id", F.md5(F.array_join(F.transform("a", lambda x: x["token"]), "")).alias("joined"), F.size("a").cast("long").alias("n"))
@@ -98,7 +98,7 @@ def p06_joined_text(spark, sf):
 @query(r"""with lines as (select doc_id, unnest(range(1, len(a) + 1)) as line_no, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null)),
 words as (select doc_id, line_no, unnest(range(1, len(b) + 1)) as place, unnest(b) as word from (select doc_id, line_no, regexp_extract_all(line, '""" + chars.TOKEN + r"""') as b from lines))
 select line_no, place, count(*) as n, count(distinct word) as words from words where line_no <= 40 and place <= 40 group by 1, 2""")
-def p08_position_map(spark, sf):
+def proj08_position_map(spark, sf):
     """Place of each word as (line, offset in the line)."""
     lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))
     words = lines.select((F.col("l") + 1).cast("long").alias("line_no"), F.posexplode(F.regexp_extract_all("line", F.lit(chars.TOKEN), F.lit(0))).alias("p", "word")).withColumn("place", (F.col("p") + 1).cast("long"))
@@ -108,7 +108,7 @@ def p08_position_map(spark, sf):
 @query(f"""with {TOK}, w as (select token, lag(token) over (partition by doc_id order by pos) as prev, lead(token) over (partition by doc_id order by pos) as next from tok),
 f as (select token, 'prev' as ftype, prev as fname from w where prev is not null union all select token, 'next', next from w where next is not null)
 select ftype, token, fname, count(*) as n from f group by 1, 2, 3 having count(*) >= 3""")
-def p13_prev_next(spark, sf):
+def proj13_prev_next(spark, sf):
     """Connection features: the word before and the word after, counted."""
     w = W.partitionBy("doc_id").orderBy("pos")
     t = tokens(spark, sf).select("token", F.lag("token").over(w).alias("prev"), F.lead("token").over(w).alias("next"))
@@ -117,7 +117,7 @@ def p13_prev_next(spark, sf):
 
 
 @query("""select user_id, event_type, count(*) as n, round(count(*) / sum(count(*)) over (partition by user_id), 6) as share from events group by 1, 2""")
-def p16_relative_freq(spark, sf):
+def proj16_relative_freq(spark, sf):
     c = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("user_id")), 6))
 
