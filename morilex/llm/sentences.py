@@ -213,15 +213,15 @@ def _lines(text: str) -> str:
 
 
 def sites(text: str) -> list[tuple[str, str]]:
-    """(word before the stop, capitalised word after) wherever a stop may end an abbreviation."""
+    """(word before the stop, word after or '') wherever a stop may end an abbreviation."""
     out = []
     if script(text) not in ("spaced", "ko"):
         return out
     for m in re.finditer(r"\.(?=\s+\S)", text):
         b = _WORD_BEFORE.search(text, max(0, m.start() - 24), m.start())
         a = _WORD_AFTER.match(text, m.end())
-        if b and a and len(b.group(1)) <= 8:
-            out.append((b.group(1), a.group(1)))
+        if b and len(b.group(1)) <= 8:
+            out.append((b.group(1), a.group(1) if a else ""))  # a figure may follow as well
     return out
 
 
@@ -256,7 +256,8 @@ def is_abbreviation(word: str, doc: dict, corpus: dict) -> bool:
         return True
     for seen in (doc, corpus):
         a, w = seen.get(("abbr", word), 0), seen.get(("word", word), 0)
-        figure, end = seen.get(("figure", word), 0), seen.get(("end", word), 0)
+        # a figure may start a sentence: only over the whole corpus does it tell an abbreviation
+        figure, end = seen.get(("figure", word), 0) if seen is corpus else 0, seen.get(("end", word), 0) + seen.get(("last", word), 0)
         if (a and a >= w) or (figure > end and figure > w):
             return True
         if w or seen.get(("last", word), 0):
@@ -364,7 +365,8 @@ def _find_sites(batches):
         for i, d, t in zip(*(b.column(c).to_pylist() for c in ("row_id", "document_id", "raw"))):
             for w, nxt in set(sites(t)):
                 rows += [(i, d, k, w) for k in ("abbr", "figure", "end", "last", "word")]
-                rows += [(i, d, "small", nxt.lower()), (i, d, "name", nxt.lower())]
+                if nxt:
+                    rows += [(i, d, "small", nxt.lower()), (i, d, "name", nxt.lower())]
         cols = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=_SITE.names)
 

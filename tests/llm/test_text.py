@@ -156,3 +156,9 @@ def test_odd_blocks(text, ends):
 def test_sentence_query(spark, sf):
     d = sf(sentences=([(1, "d", "block", "Dr. Tan came. He left.", ""), (2, None, "block", None, ""), (3, "d", "line", "He saw Dr. Tan again.", ""), (1, "d", "block", "Dr. Tan came. He left.", "")], SENT))
     assert sorted(tuple(r) for r in sentences.p5_found(spark, d).collect()) == [(1, 13), (1, 22)]
+
+
+def test_evidence_of_the_corpus_reaches_figures(spark, sf):
+    """An abbreviation that only ever stands before figures is known from the corpus."""
+    rows = [(1, "d", "block", "It weighs approx. 5.5 kg. He left.", "")] + [(i, "e", "line", f"She saw approx. {i} boats here.", "") for i in range(2, 6)]
+    assert sorted(r["end_char"] for r in sentences.p5_found(spark, sf(sentences=(rows, SENT))).collect()) == [25, 34]
