@@ -160,5 +160,5 @@ def test_sentence_query(spark, sf):
 
 def test_evidence_of_the_corpus_reaches_figures(spark, sf):
     """An abbreviation that only ever stands before figures is known from the corpus."""
-    rows = [(1, "d", "block", "It weighs approx. 5.5 kg. He left.", "")] + [(i, "e", "line", f"She saw approx. {i} boats here.", "") for i in range(2, 6)]
-    assert sorted(r["end_char"] for r in sentences.p5_found(spark, sf(sentences=(rows, SENT))).collect()) == [25, 34]
+    rows = [(1, "d", "block", "It weighs approx. 5.5 boxes. He left.", "")] + [(i, "e", "line", f"She saw approx. {i} boats here.", "") for i in range(2, 6)]
+    assert sorted(r["end_char"] for r in sentences.p5_found(spark, sf(sentences=(rows, SENT))).collect()) == [28, 37]
