@@ -78,7 +78,7 @@ def parse_phrases(text: str):
             yield doc, sid or str(n), bnst, int(m.group(1)), m.group(2), m.group(3)
 
 
-def read_phrases(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFrame:
+def read_phrases(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Phrases of analysed files with their dependency."""
     schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("sent_id", T.StringType()), T.StructField("bnst_idx", T.IntegerType()), T.StructField("parent_idx", T.IntegerType()), T.StructField("dpndtype", T.StringType()), T.StructField("fstring", T.StringType())])
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
@@ -93,7 +93,7 @@ def read_phrases(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFr
     return files.mapInPandas(rows, schema)
 
 
-def read_analysis(spark: SparkSession, path: str, glob: str = "*.knp*") -> DataFrame:
+def read_analysis(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Morphemes of analysed files, one row each; a document's file is one record."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
 
@@ -162,7 +162,7 @@ def shard_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.where(number.between(start, end))
 
 
-READERS = {"raw": read_raw, "rawdata": read_raw_documents, "knpdata": read_analysis, "docdir": read_standard_xml, "bitext": read_bitext}
+READERS = {"raw": read_raw, "rawdata": read_raw_documents, "analysed": read_analysis, "docdir": read_standard_xml, "bitext": read_bitext}
 
 
 def read(spark: SparkSession, **options) -> DataFrame:

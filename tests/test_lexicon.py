@@ -90,7 +90,7 @@ def test_analyser_restarts_and_round_trip(spark):
 
 def test_case_frames(spark, tmp_path):
     text = "\n".join(["# S-ID:1", "* 1D <係:ノ格>", "母 はは 母 名詞 6 普通名詞 1 * 0 * 0 NIL", "の の の 助詞 9 接続助詞 3 * 0 * 0 NIL", "* 2D <係:ヲ格>", "本 ほん 本 名詞 6 普通名詞 1 * 0 * 0 NIL", "を を を 助詞 9 格助詞 1 * 0 * 0 NIL", "* -1D <用言:動><否定表現>", "読ま よま 読む 動詞 2 * 0 子音動詞マ行 9 未然形 3 NIL", "EOS", ""])
-    (tmp_path / "a.knp").write_text(text, encoding="utf-8")
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8")
     m = texts.read_analysis(spark, str(tmp_path)).where("not homograph").withColumn("repname", F.lit(None).cast("string"))
     b = texts.read_phrases(spark, str(tmp_path)).withColumn("doc_id", F.lit("d"))
     m = m.withColumn("doc_id", F.lit("d"))

@@ -46,7 +46,7 @@ def test_dictionary_files(spark, tmp_path):
 
 def test_analysed_text(spark, tmp_path):
     text = "#document d1 example.jp\n# S-ID:1-1\n* 1D\n+ 1D\n本 ほん 本 名詞 6 普通名詞 1 * 0 * 0 \"代表表記:本/ほん\" <漢字>\n@ 本 もと 本 名詞 6 普通名詞 1 * 0 * 0 NIL\n* -1D\n読む よむ 読む 動詞 2 * 0 子音動詞マ行 9 基本形 2 NIL <用言>\nEOS\n# S-ID:1-2\n* -1D\nあ あ あ 感動詞 12 * 0 * 0 * 0 NIL\nEOSxx\n"
-    (tmp_path / "x.knp").write_text(text, encoding="utf-8")
+    (tmp_path / "x.txt").write_text(text, encoding="utf-8")
     rows = texts.read_analysis(spark, str(tmp_path)).orderBy("sent_id", "pos", "homograph").collect()
     assert [(r["doc_id"], r["domain"], r["sent_id"], r["pos"], r["bnst_idx"], r["midasi"], r["homograph"]) for r in rows] == [("d1", "example.jp", "1-1", 0, 0, "本", False), ("d1", "example.jp", "1-1", 0, 0, "本", True), ("d1", "example.jp", "1-1", 1, 1, "読む", False), ("d1", "example.jp", "1-2", 0, 0, "あ", False)]
     assert rows[0]["imis"] == "代表表記:本/ほん" and rows[2]["katuyou1"] == "子音動詞マ行"
