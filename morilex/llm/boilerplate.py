@@ -143,9 +143,19 @@ def p7_site_lines(spark, sf_dir: str) -> DataFrame:
     """The lines of each domain: one spelling of each, and how often and in how many documents it stands."""
     docs = common.read(spark, sf_dir, "documents")
     found = repeated_lines(docs.select("doc_id", "domain", "text"))
-    split = docs.select("doc_id", "domain", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
-    same = F.regexp_replace(F.regexp_replace("line", r"\s+", ""), r"\d+", "0")
-    return found.join(split, ["doc_id", "line_no"]).groupBy("domain", same.alias("line_form")).agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs"), F.min("line").alias("example"))
+    split = docs.where("domain is not null").select("doc_id", "domain", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("line", T.StringType()), T.StructField("line_form", T.StringType())])
+
+    def forms(batches):
+        for b in batches:
+            form = pa.array([normalised(x) for x in b.column("line").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:3]), form], names=schema.names)
+
+    # the form by which the operator holds lines for the same
+    same = found.join(split, ["doc_id", "line_no"]).select(*schema.names[:3]).mapInArrow(forms, schema)
+    counted = same.groupBy("domain", "line_form").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs"), F.min("line").alias("example"))
+    # only where a doc_id has several rows does the join bring in lines that are not the site's: they are in fewer documents
+    return counted.where(F.col("docs") >= LEAST_DOCUMENTS)
 
 
 def p7_cleaned(spark, sf_dir: str) -> DataFrame:

@@ -105,6 +105,15 @@ def test_site_lines_against_brute_force(spark, sf):
         assert r["text"] == "\n".join(x for n, x in enumerate(text.split("\n"), 1) if (r["doc_id"], n) not in expected)
 
 
+def test_a_site_line_is_one_row_in_all_its_spellings(spark, sf):
+    spellings = ["本日0件目の表示 ABC", "本日12件目の表示ABC", "本日３件目の表示　ＡＢＣ", "本日　４５件目の表示 ABC\r", "本日7件目の表示 ＡＢＣ", "本日８件目の 表示 ABC"]
+    rows = [(i, f"d{i}", "a", f"{x}\nown line {'xyzuvw'[i]}", "x") for i, x in enumerate(spellings)]
+    rows += [(0, "d0", "a", "another row of the same id\n", "x"), (9, "d9", "b", spellings[0], "x")]
+    got = boilerplate.p7_site_lines(spark, sf(documents=(rows, DOCS))).collect()
+    assert [(r["domain"], r["line_form"], r["occurrences"], r["docs"]) for r in got if "本日" in r["line_form"]] == [("a", "本日0件目の表示ABC", 6, 6)]
+    assert all(r["docs"] >= 5 for r in got)
+
+
 def test_chunks_do_not_depend_on_neighbours():
     a, b = "x" * 5 + "\n" + "この一行はどこにあっても同じ塊になるはずである。" * 3, "全く別の行\nもう一つ\n" + "この一行はどこにあっても同じ塊になるはずである。" * 3
     t, no, value, line = boilerplate.chunks([a, b])
