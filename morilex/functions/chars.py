@@ -14,6 +14,9 @@ TOKEN = "[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+"
 #: Kana of the i and e columns; し is left out on purpose.
 IE_COLUMN = "いきぎじちぢにひびぴみりえけげせぜてでねへべぺめれ"
 NOUN_LIKE = ("普通名詞", "副詞", "ナ形容詞")
+#: Other codes of the same languages, and codes that name none.
+LANGUAGES = {"jpn": "ja", "eng": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "spa": "es", "por": "pt", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "rus": "ru", "tha": "th"}
+NO_LANGUAGE = ("", "und", "xx", "zxx", "mul", "mis", "unk")
 
 
 def hiragana(c: Column) -> Column:
@@ -93,6 +96,13 @@ def sane_entry(midasi: Column, yomi: Column, imis: Column) -> Column:
     return F.length(midasi).between(1, 129) & F.length(F.coalesce(yomi, F.lit("あ"))).between(1, 129) & (F.length(F.coalesce(imis, F.lit(""))) <= 1024)
 
 
+def language(label: Column) -> Column:
+    """A language label without its spelling ('JA', 'ja-JP' and 'jpn' are 'ja'); null if it names no language."""
+    base = F.element_at(F.split(F.lower(F.trim(label)), "[-_]"), 1)
+    base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), base), base)
+    return F.when(~base.isin(*NO_LANGUAGE), base)
+
+
 def japanese_text(c: Column) -> Column:
     return c.rlike("[ぁ-ゖァ-ヴ]")
 

@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import chars
 from . import common
 
 LANGS = ("ja", "en", "zh", "ko", "es", "pt", "de", "fr", "ru", "th")
 # Other codes of the same languages.
-CODES = {"jpn": "ja", "eng": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "spa": "es", "por": "pt", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "rus": "ru", "tha": "th"}
+CODES = chars.LANGUAGES
 BITS, ORDERS, MAX_TRAIN, EPOCHS = 18, 4, 10_000, 3
 #: Letters that make a clause, by kind of script.
 CLAUSE = {"wide": 5, "narrow": 14, "thai": 10}

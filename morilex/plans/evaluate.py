@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import chars
 from ..operators import learn, metrics
 from .registry import TOK, query, table, tokens
 
@@ -103,7 +104,8 @@ def ml11_parameter_mixing(spark, sf):
 @query(f"""with {TOK}, e as (select lang as label, token as feature from tok where lang in ('ja', 'en', 'zh')), n as (select label, count(*) as n from e group by 1), c as (select label, feature, count(*) as c from e group by 1, 2)
 select label, feature, round(greatest(ln(c / n), ln(0.0001)), 6) as log_p from c join n using (label) where c >= 3""")
 def ml12_naive_bayes(spark, sf):
-    ev = tokens(spark, sf).where(F.col("lang").isin("ja", "en", "zh")).select(F.col("lang").alias("label"), F.col("token").alias("feature"))
+    """Log-probabilities of words for each label of the table, spellings of a label as one; the registered SQL knows ja, en and zh only."""
+    ev = tokens(spark, sf).select(chars.language(F.col("lang")).alias("label"), F.col("token").alias("feature")).where("label is not null")
     _, like = learn.naive_bayes(ev, "label", "feature")
     often = ev.groupBy("label", "feature").agg(F.count("*").alias("c")).where("c >= 3").drop("c")
     return like.join(often, ["label", "feature"]).select("label", "feature", F.round("log_p", 6).alias("log_p"))

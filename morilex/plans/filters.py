@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chars
@@ -93,13 +92,21 @@ def f22_feature_threshold(spark, sf):
 p as (select a.lang, b.lang as other, a.token, a.n from s a join (select distinct lang from c) b on b.lang <> a.lang where a.n >= 2 and a.share > 0.00001 and not exists (select 1 from c x where x.lang = b.lang and x.token = a.token))
 select lang, other, count(*) as distinctive, cast(sum(n) as bigint) as mass from p group by 1, 2""")
 def f25_distinctive(spark, sf):
-    """Words of one language that another lacks, with their mass for each pair of languages."""
-    c = tokens(spark, sf).where(F.col("lang").isin("en", "de", "fr", "es")).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    s = c.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
-    langs = c.groupBy().agg(F.array_sort(F.collect_set("lang")).alias("all")).first()["all"]  # at most the four named above
-    where = c.groupBy("token").agg(F.collect_set("lang").alias("have"))
-    others = s.where("n >= 2 and share > 0.00001").join(where, "token").withColumn("other", F.explode(F.array_except(F.array(*[F.lit(x) for x in langs]), "have")))
-    return others.groupBy("lang", "other").agg(F.count("*").alias("distinctive"), F.sum("n").alias("mass"))
+    """Words of one language that another lacks, with their mass for each pair of languages of the table.
+
+    Spellings of a label count as one; the registered SQL knows en, de, fr and es only. Words are taken for each language
+    as a whole, less those it shares with the other: rows grow with the languages that have a word, not with those that lack it.
+    """
+    c = tokens(spark, sf).select(chars.language(F.col("lang")).alias("lang"), "token").where("lang is not null").groupBy("lang", "token").agg(F.count("*").alias("n"))
+    mass = c.groupBy("lang").agg(F.sum("n").alias("mass"))  # a row for each language
+    rated = c.join(F.broadcast(mass), "lang").withColumn("counts", F.expr("n >= 2 and n / mass > 0.00001"))
+    have = rated.groupBy("token").agg(F.collect_list(F.struct("lang", "n", "counts")).alias("have"))
+    held = have.select(F.explode("have").alias("a"), "have").where("a.counts")
+    shared = held.select("a.lang", "a.n", F.explode("have.lang").alias("other")).where("other <> lang").groupBy("lang", "other").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    whole = rated.where("counts").groupBy("lang").agg(F.count("*").alias("k_all"), F.sum("n").alias("m_all"))
+    pairs = whole.join(F.broadcast(mass.select(F.col("lang").alias("other"))), F.col("lang") != F.col("other")).join(shared, ["lang", "other"], "left")
+    lacked = pairs.select("lang", "other", (F.col("k_all") - F.coalesce("k", F.lit(0))).alias("distinctive"), (F.col("m_all") - F.coalesce("m", F.lit(0))).alias("mass"))
+    return lacked.where("distinctive > 0")
 
 
 @query(f"""with {HEAD} select entry_id, head, case when regexp_matches(head, '^[一-鿿々]+$') then 'kanji' when regexp_matches(head, '^[ぁ-ゖ]+$') then 'hiragana'
