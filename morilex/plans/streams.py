@@ -25,6 +25,6 @@ def st05_monitor(spark, sf):
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def st01_windowed_counts(spark, sf):
-    """Counts by day of event time, with a watermark."""
+    """Counts by day of event time; late events count as well."""
     s = stateful.table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return stateful.latest(stateful.run_to_end(stateful.windowed_counts(s, "ts", "event_type"), "st01"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))

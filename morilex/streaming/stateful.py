@@ -84,6 +84,10 @@ def latest(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
 
 
-def windowed_counts(events: DataFrame, time: str, kind: str, size: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts by window of event time; what comes later than `late` is left out by the watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+def windowed_counts(events: DataFrame, time: str, kind: str, unit: str = "day") -> DataFrame:
+    """Counts by day (or another unit) of event time, kept in state without a watermark.
+
+    No event is left out, in whatever order the files come and however many make a batch; one without a time counts under
+    null. State is one count for each day and kind.
+    """
+    return events.groupBy(F.date_trunc(unit, time).alias("start"), kind).agg(F.count("*").alias("n"))

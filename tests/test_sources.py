@@ -1,8 +1,11 @@
 """Readers, writers and streams."""
 
 import os
+from collections import Counter
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from morilex.sources import sexp, texts
 from morilex.streaming import stateful
@@ -88,3 +91,15 @@ def test_stream_is_as_the_batch(spark, tmp_path):
     m = stateful.latest(stateful.run_to_end(stateful.monitor(stateful.table_stream(spark, str(sf), "events", files=2), "user_id", "event_type", 4), "m"), ["user_id"])
     assert all(r["total"] == 10 and r["decision"] in "ab" for r in m.collect())
     assert os.path.isdir(sf)
+
+
+def test_days_of_unordered_files_all_count(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, event_type string"
+    days = [datetime(2024, 3, d, 23) for d in (28, 2, 15, 9, 28, 2, 21)]
+    for i, day in enumerate(days):  # one file each, the newest day first
+        rows = [(i, day, "a"), (i, day, "b"), (i, None, "a")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    s = stateful.table_stream(spark, str(tmp_path), "events", files=2).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    got = stateful.latest(stateful.run_to_end(stateful.windowed_counts(s, "ts", "event_type"), "w"), ["start", "event_type"])
+    expected = Counter((d and d.replace(hour=0), k) for day in days for d, k in ((day, "a"), (day, "b"), (None, "a")))
+    assert {(r["start"], r["event_type"]): r["n"] for r in got.withColumn("start", F.col("start").cast("timestamp_ntz")).collect()} == expected
