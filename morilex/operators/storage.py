@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/morilex/{name}-{uuid.uuid4().hex}"
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    """Whether path is a folder, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df by writing it to the shared folder and reading it back."""
     path = scratch(df.sparkSession, name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.storage import scratch
+from ..operators.storage import is_dir, scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 50) -> DataFrame:
@@ -19,7 +18,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 50) -
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    if os.path.isdir(path):
+    if is_dir(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
@@ -38,7 +37,7 @@ def run_to_end(df: DataFrame, name: str, mode: str = "update") -> DataFrame:
     if q.exception():
         raise q.exception()
     schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).option("basePath", out).parquet(out) if os.path.isdir(out.removeprefix("file://")) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", out).parquet(out) if is_dir(spark, out) else spark.createDataFrame([], schema)
 
 
 def accumulate(examples: DataFrame, keys: list[str], least: int) -> DataFrame:

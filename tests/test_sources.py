@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from morilex.plans import streams
 from morilex.sources import sexp, texts
 from morilex.streaming import stateful
 
@@ -103,3 +104,14 @@ def test_days_of_unordered_files_all_count(spark, tmp_path):
     got = stateful.latest(stateful.run_to_end(stateful.windowed_counts(s, "ts", "event_type"), "w"), ["start", "event_type"])
     expected = Counter((d and d.replace(hour=0), k) for day in days for d, k in ((day, "a"), (day, "b"), (None, "a")))
     assert {(r["start"], r["event_type"]): r["n"] for r in got.withColumn("start", F.col("start").cast("timestamp_ntz")).collect()} == expected
+
+
+def test_streams_read_and_write_behind_uris(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark, "_morilex_shared", f"file:{tmp_path}/shared", raising=False)
+    spark.createDataFrame([(i, i % 2, "a", datetime(2024, 3, 1 + i % 3)) for i in range(12)], "event_id long, user_id long, event_type string, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "sf/events.parquet"))
+    for sf in (f"{tmp_path}/sf", f"file:{tmp_path}/sf"):
+        assert [r["n"] for r in streams.st04_accumulate(spark, sf).collect()] == [6, 6]
+        assert [r["total"] for r in streams.st05_monitor(spark, sf).collect()] == [6, 6]
+        assert [r["n"] for r in streams.st01_windowed_counts(spark, sf).collect()] == [4, 4, 4]
+    spark.createDataFrame([], "event_id long, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "none/events.parquet"))
+    assert streams.st04_accumulate(spark, f"file:{tmp_path}/none").collect() == []
