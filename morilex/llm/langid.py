@@ -7,7 +7,8 @@ fitted again.
 
 The classifier is fitted on a bounded sample: at most MAX_TRAIN labelled rows in the order of a hash. Document
 frequencies of n-grams cover all texts (2**18 buckets are collected, which is their bound). A text is split into segments
-at final marks, line ends, brackets and changes of script; segments are classified and joined; a language counts for a
+at final marks, line ends, brackets, erased links, mentions and RT, and changes of script (kana with ideographs, Hangul,
+Thai, Cyrillic, other letters); segments are classified and joined; a language counts for a
 mixed text if its segments hold a clause (CLAUSE letters), so single foreign words, names, tags, links and mentions do not
 make a text mixed.
 
@@ -34,14 +35,18 @@ LANGS = ("ja", "en", "zh", "ko", "es", "pt", "de", "fr", "ru", "th")
 CODES = chars.LANGUAGES
 BITS, ORDERS, MAX_TRAIN, EPOCHS = 18, 4, 10_000, 3
 #: Letters that make a clause, by kind of script.
-CLAUSE = {"wide": 5, "narrow": 14, "thai": 10}
+CLAUSE = {"wide": 5, "hangul": 5, "narrow": 14, "cyrillic": 14, "thai": 10}
 DOUBT = 0.75
 
 _NOISE = re.compile(r"https?://\S+|www\.\S+|[@＠]\w+|[#＃]\w+|\bRT\b:?|>>\s*\d+")
-_SPLIT = re.compile(r"(?<=[。！？!?…])|(?<=[.])(?=\s)|[\n\r()（）「」『』“”„«»\[\]【】]|\s[-–—]\s|(?<=\s)(?=[|｜])")
+#: Left where a link, a mention or RT is erased: a passage ends there.
+BORDER = "\x1f"
+_SPLIT = re.compile(r"(?<=[。！？!?…])|(?<=[.])(?=\s)|[\x1f\n\r()（）「」『』“”„«»\[\]【】]|\s[-–—]\s|(?<=\s)(?=[|｜])")
 _KIND = (
-    ("wide", re.compile(r"[぀-ヿㇰ-ㇿ一-鿿々가-힣ᄀ-ᇿ]")),
+    ("wide", re.compile(r"[぀-ヿㇰ-ㇿ一-鿿々]")),
+    ("hangul", re.compile(r"[가-힣ᄀ-ᇿ]")),
     ("thai", re.compile(r"[ก-๛]")),
+    ("cyrillic", re.compile(r"[Ѐ-ԯ]")),
     ("narrow", re.compile(r"[^\W\d_]")),
 )
 
@@ -54,8 +59,9 @@ def label(c: Column) -> Column:
     return F.when(base.rlike("^[a-z]{2,3}$") & ~base.isin("und", "xx", "zxx", "mul", "mis", "unk"), base)
 
 
-def cleaned(text: str) -> str:
-    return unicodedata.normalize("NFKC", _NOISE.sub(" ", text))
+def cleaned(text: str, border: str = " ") -> str:
+    """The text without links, mentions, RT (`border` stands for each), tags and anchors."""
+    return unicodedata.normalize("NFKC", _NOISE.sub(lambda m: " " if m[0][0] in "#＃>" else border, text))
 
 
 def kind(c: str) -> str:
@@ -229,7 +235,7 @@ def judge(model: Model, texts: list[str]) -> list[list[tuple[str, float, str]]]:
     parts, owner, letters = [], [], []
     for k, t in enumerate(texts):
         merged: list[list] = []
-        for kd, s in segments(cleaned(t or "")):
+        for kd, s in segments(cleaned(t or "", BORDER)):
             n = sum(c.isalpha() for c in s)
             # short parts in the same script go with their neighbour
             if merged and merged[-1][0] == kd and (n < CLAUSE[kd] or merged[-1][2] < CLAUSE[kd]):
@@ -249,7 +255,7 @@ def judge(model: Model, texts: list[str]) -> list[list[tuple[str, float, str]]]:
     for k, own in enumerate(by):
         if not own:
             continue
-        clause = [i for i in own if letters[i][0] >= CLAUSE[letters[i][1]] and len(parts[i].split()) >= (3 if letters[i][1] == "narrow" else 1)]
+        clause = [i for i in own if letters[i][0] >= CLAUSE[letters[i][1]] and len(parts[i].split()) >= (3 if letters[i][1] in ("narrow", "cyrillic") else 1)]
         if not clause:
             whole = model.probabilities([cleaned(texts[k])])[0]
             best = int(whole.argmax())
@@ -259,7 +265,7 @@ def judge(model: Model, texts: list[str]) -> list[list[tuple[str, float, str]]]:
         for i in clause:
             best = int(p[i].argmax())
             found.setdefault(best, []).append(i)
-        total = {x: sum(letters[i][0] * (2 if letters[i][1] == "wide" else 1) for i in v) for x, v in found.items()}
+        total = {x: sum(letters[i][0] * (2 if letters[i][1] in ("wide", "hangul") else 1) for i in v) for x, v in found.items()}
         main = max(total, key=lambda x: (total[x], -x))
         for x in sorted(found, key=lambda x: (-total[x], x)):
             sure = max(float(p[i][x]) for i in found[x])

@@ -143,6 +143,19 @@ def test_segments(model):
     assert langid.judge(model, [None, "", "!!! 12:30 😀", "@abc http://x.example"]) == [[], [], [], []]
 
 
+def test_passages_without_final_marks_are_parted():
+    kinds = lambda text: [k for k, s in langid.segments(langid.cleaned(text, langid.BORDER))]
+    assert kinds("店が閉まった RT @yuzu_hi: 다락방에서 책을 읽었다") == ["wide", "hangul"]
+    assert kinds("мы закрыли старую дверь the old man read") == ["cyrillic", "narrow"]
+    assert kinds("the old man read http://x.example/a der alte mann las") == kinds("the old man read RT @abc: der alte mann las") == ["narrow", "narrow"]
+    assert kinds("the old #tag man read") == ["narrow"]
+
+
+def test_both_languages_around_an_erased_mention(model):
+    for text in ("the old man read a short letter in the garden RT @abc: wir haben das schwere buch wieder ausgeliehen", "we borrowed the heavy book from the library again http://x.example/a niemand sah die kleine grüne tür am fluss"):
+        assert sorted(x[0] for x in langid.judge(model, [text])[0]) == ["de", "en"]
+
+
 def test_labels(spark, frame):
     rows = [("JA", "ja"), ("ja-JP", "ja"), ("jpn", "ja"), (" en_US", "en"), ("und", None), ("", None), (None, None), ("xx", None), ("it", "it")]
     df = frame(rows, "l string, e string").select(langid.label(F.col("l")).alias("got"), "e")
