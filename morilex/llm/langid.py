@@ -281,7 +281,7 @@ def training_rows(tweets: DataFrame, docs: DataFrame) -> tuple[list[str], list[s
     d = docs.where(F.col("text").isNotNull()).select("text", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(*[x for x in LANGS if x != "ja"]))
     d = d.select(F.explode(F.split("text", "\n")).alias("text"), "lang").where((F.length("text") > 30) & ~F.col("text").rlike("[ぁ-ヿ]")).distinct()
     d = d.orderBy(F.xxhash64("text"), "text", "lang").limit(MAX_TRAIN // 2)
-    rows = t.unionByName(d.select(F.substring("text", 1, 300).alias("text"), "lang")).collect()
+    rows = t.unionByName(d).collect()
     return [cleaned(r[0]) for r in rows], [r[1] for r in rows]
 
 

@@ -143,6 +143,12 @@ def test_segments(model):
     assert langid.judge(model, [None, "", "!!! 12:30 😀", "@abc http://x.example"]) == [[], [], [], []]
 
 
+def test_training_rows_are_whole_lines(frame):
+    line = "the old man read a short letter in the garden " * 20 + "zebra"
+    texts, _ = langid.training_rows(frame([], "text string, lang string"), frame([(line + "\nshort", "en")], "text string, lang string"))
+    assert texts == [line]
+
+
 def test_passages_without_final_marks_are_parted():
     kinds = lambda text: [k for k, s in langid.segments(langid.cleaned(text, langid.BORDER))]
     assert kinds("店が閉まった RT @yuzu_hi: 다락방에서 책을 읽었다") == ["wide", "hangul"]
