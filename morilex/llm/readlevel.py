@@ -100,7 +100,7 @@ def running_text(text: str) -> tuple[str, float]:
     return "\n".join(kept), own / (own + other) if own else 0.0
 
 
-_VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.ShortType()))])
+_VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
 def _vectors(batches):
@@ -113,7 +113,7 @@ def _vectors(batches):
             u, n = np.unique(np.array(words(kept), dtype=np.int32), return_counts=True)
             ids.append(i)
             buckets.append(u)
-            counts.append(np.minimum(n, 32767).astype(np.int16))
+            counts.append(n.astype(np.int32))
             offsets.append(offsets[-1] + len(u))
         if ids:
             offs = pa.array(np.array(offsets, dtype=np.int32))

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -256,6 +257,13 @@ def test_reading_levels(spark, frame):
     assert {r["band"] for r in none.collect()} == {"medium"}
 
 
+def test_words_of_very_long_documents_all_count():
+    text = "カタカナをみつけました。\n" * 40_000
+    got = next(readlevel._vectors([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))
+    assert got.schema.equals(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+    assert sum(got.column("counts")[0].as_py()) == len(readlevel.words(readlevel.running_text(text)[0])) and max(got.column("counts")[0].as_py()) >= 40_000
+
+
 def test_word_parameters_are_recovered():
     mass = np.full(len(readlevel.GRID), 1000.0)
     psi, beta = np.log(np.array([0.01, 0.002])), np.array([0.8, -0.5])
