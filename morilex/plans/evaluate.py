@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..operators import learn, metrics
-from .registry import TOK, query, table, tokens
+from .registry import LABELLED, TOK, query, table, tokens
 
 _PAIRED = """two as (select doc_id, min(grade) as a, max(grade) as b from reading_labels where grade is not null group by 1 having count(*) = 2)"""
 
@@ -101,10 +101,10 @@ def ml11_parameter_mixing(spark, sf):
     return got.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("class_id") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-@query(f"""with {TOK}, e as (select lang as label, token as feature from tok where lang in ('ja', 'en', 'zh')), n as (select label, count(*) as n from e group by 1), c as (select label, feature, count(*) as c from e group by 1, 2)
+@query(f"""with {TOK}, {LABELLED}, e as (select lang as label, token as feature from named where lang is not null), n as (select label, count(*) as n from e group by 1), c as (select label, feature, count(*) as c from e group by 1, 2)
 select label, feature, round(greatest(ln(c / n), ln(0.0001)), 6) as log_p from c join n using (label) where c >= 3""")
 def ml12_naive_bayes(spark, sf):
-    """Log-probabilities of words for each label of the table, spellings of a label as one; the registered SQL knows ja, en and zh only."""
+    """Log-probabilities of words for each label of the table, spellings of a label as one."""
     ev = tokens(spark, sf).select(chars.language(F.col("lang")).alias("label"), F.col("token").alias("feature")).where("label is not null")
     _, like = learn.naive_bayes(ev, "label", "feature")
     often = ev.groupBy("label", "feature").agg(F.count("*").alias("c")).where("c >= 3").drop("c")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..operators import rules
-from .registry import HEAD, TOK, headwords, query, table, tokens
+from .registry import HEAD, LABELLED, TOK, headwords, query, table, tokens
 
 #: A rule file in the engine's own words, for tokens without an analyser.
 DETECTION = """
@@ -88,13 +88,13 @@ def f22_feature_threshold(spark, sf):
     return f.groupBy("ftype").agg(F.count("*").alias("features"), F.count_if(F.col("freq") >= 5).alias("kept"), F.sum("freq").alias("mass"), F.round(F.lit(100.0) * F.sum(F.when(F.col("freq") < 5, F.col("freq")).otherwise(0)) / F.sum("freq"), 6).alias("lost_percent"))
 
 
-@query(f"""with {TOK}, c as (select lang, token, count(*) as n from tok where lang in ('en', 'de', 'fr', 'es') group by 1, 2), s as (select *, n / sum(n) over (partition by lang) as share from c),
-p as (select a.lang, b.lang as other, a.token, a.n from s a join (select distinct lang from c) b on b.lang <> a.lang where a.n >= 2 and a.share > 0.00001 and not exists (select 1 from c x where x.lang = b.lang and x.token = a.token))
-select lang, other, count(*) as distinctive, cast(sum(n) as bigint) as mass from p group by 1, 2""")
+@query(f"""with {TOK}, {LABELLED}, c as (select lang, token, count(*) as n from named where lang is not null group by 1, 2), s as (select *, n / sum(n) over (partition by lang) as share from c),
+l as (select distinct lang from c), p as (select a.lang, l.lang as other, a.n, x.token is null as lacked from s a join l on l.lang <> a.lang left join c x on x.lang = l.lang and x.token = a.token where a.n >= 2 and a.share > 0.00001)
+select lang, other, count(*) as distinctive, cast(sum(n) as bigint) as mass from p where lacked group by 1, 2""")
 def f25_distinctive(spark, sf):
     """Words of one language that another lacks, with their mass for each pair of languages of the table.
 
-    Spellings of a label count as one; the registered SQL knows en, de, fr and es only. Words are taken for each language
+    Spellings of a label count as one. Words are taken for each language
     as a whole, less those it shares with the other: rows grow with the languages that have a word, not with those that lack it.
     """
     c = tokens(spark, sf).select(chars.language(F.col("lang")).alias("lang"), "token").where("lang is not null").groupBy("lang", "token").agg(F.count("*").alias("n"))

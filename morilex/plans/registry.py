@@ -13,6 +13,10 @@ SQL: dict[str, str] = {}
 #: Tokens of documents in SQL: runs of one script.
 TOK = f"""tok as (select doc_id, domain, source, lang, unnest(range(1, len(a) + 1)) as pos, unnest(a) as token
   from (select *, regexp_extract_all(text, '{chars.TOKEN}') as a from documents where text is not null))"""
+#: Tokens with the language that their document's label names, in whatever spelling.
+LABELLED = """labels as (select lang as raw, split_part(replace(lower(trim(lang)), '_', '-'), '-', 1) as base from (select distinct lang from documents where lang is not null)),
+codes(code, lang) as (values %s), named as (select doc_id, token, coalesce(codes.lang, nullif_code(base)) as lang from tok join labels on tok.lang = labels.raw left join codes on codes.code = base)""" % ", ".join(f"('{a}', '{b}')" for a, b in chars.LANGUAGES.items())
+LABELLED = LABELLED.replace("nullif_code(base)", "case when base not in (%s) then base end" % ", ".join(f"'{x}'" for x in chars.NO_LANGUAGE))
 #: Headwords of the dictionary in SQL.
 HEAD = "head as (select *, unnest(map_keys(midasi)) as head from dictionary)"
 
