@@ -1,17 +1,26 @@
 """Problem 7: lines that belong to the site, not to the page.
 
-Method: content-defined chunking. A rolling hash over the last eight characters of the normalised text decides where a
-chunk ends, so equal stretches fall into equal chunks wherever they stand; a line feed ends a chunk as well, because a
-case is a whole line, and because chunks that run over line ends would hide short lines between changing neighbours.
-Distinct documents are counted for each (domain, chunk); a line all of whose chunks are repeated excessively is a
-candidate, and an exact count of distinct documents for each (domain, line) confirms it. Confirmed lines are cut.
+Method: content-defined chunking with a rolling hash instead of newlines. The normalised text of a document is one stream
+in which a line feed is a character like any other. A rolling hash over the last WINDOW characters is taken at every place;
+a chunk ends where the hash is smaller than at the `reach` places before and after it, so chunks have at least reach + 1
+characters, end where the same characters stand whatever is around them, and run over line ends. A stretch without such a
+place is cut every LONGEST characters, counted from its start. Chunks are taken at several scales (REACHES); a line is
+looked at at the coarsest scale that puts a whole chunk within the line and its two feeds (its own chunks). Distinct
+documents are counted for each (domain, chunk); chunks in at least `least` documents of a domain are excessive. A line all
+of whose own chunks are excessive is a candidate, and the exact count of distinct documents for each (domain, line)
+confirms it. Confirmed lines are cut.
+
+Scale and own chunks of a line depend on its characters only. A line too short to hold a chunk at any scale is cut whole,
+feeds included, as one chunk: without this fallback the method finds the share of cases that the README gives, with it all.
 
 Lines are the same if they differ only in white space, width or compatibility form, or in the digits of numbers.
 
-Plan: one pass in Arrow batches writes the chunk list of each document; chunks are counted by a 64-bit key with map-side
-sums, so a domain or a line that holds a third of all rows is summed before the shuffle; only occurrences of repeated
-chunks go on. Defined results: null or empty text has no lines; a null domain is no domain and has no cases, nor has a row without doc_id; a doc_id that
-occurs in several rows counts once; blank lines are no cases but keep their number.
+Plan: one pass in Arrow batches writes the own chunks of each line, once for each line of a document; documents are
+counted for each 64-bit (domain, chunk) with map-side sums; only the chunks' counts are joined back. Keys that hold a
+large share of all rows (a line of a site that holds a third of the corpus) are spread over many places in that join.
+
+Defined results: null or empty text has no lines; a null domain is no domain and has no cases, nor has a row without
+doc_id; a doc_id that occurs in several rows counts once; blank lines are no cases but keep their number.
 """
 
 from __future__ import annotations
@@ -27,17 +36,20 @@ from pyspark.sql import types as T
 
 from . import common
 
-WINDOW, MASK, LEAST_DOCUMENTS = 8, 31, 5
+#: Characters of the rolling hash, places to both sides among which an end has the least hash (powers of two), longest chunk.
+WINDOW, REACHES, LONGEST = 3, (32, 16, 8, 4, 2, 1), 256
+LEAST_DOCUMENTS = 5
+#: Characters that are handled in one go, a longer text by itself: bounds the arrays in memory.
+BATCH_CHARS = 2_000_000
 _SPACE = re.compile(r"[^\S\n]+")
 _DIGITS = re.compile(r"\d+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(text: str) -> str:
-    """Same lines become equal; line feeds stay."""
+    """Same lines become equal; line feeds stay. Line by line: a mark at the start of a line joins nothing before it."""
     if not unicodedata.is_normalized("NFKC", text):
-        # a line feed is kept apart: marks at the start of a line must not join it
-        text = unicodedata.normalize("NFKC", text)
+        text = "\n".join([unicodedata.normalize("NFKC", x) for x in text.split("\n")])
     return _DIGITS.sub("0", _SPACE.sub("", text))
 
 
@@ -48,91 +60,158 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For normalised texts: (text index, line number from 1, chunk hash, line hash) of every chunk, in order.
-
-    One vectorised pass over the characters of all texts; the hash of a chunk depends on its characters only.
-    """
-    joined = "\n".join(texts) + "\n"
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    feed = c == 10
+def rolling(c: np.ndarray) -> np.ndarray:
+    """The rolling hash of the last WINDOW characters at every place; the first places lack some of them."""
     m = _mix(c.astype(np.uint64))
     h = np.zeros(len(c), dtype=np.uint64)
-    power = np.uint64(1)
+    for j in range(min(WINDOW, len(c))):
+        h[j:] += m[: len(c) - j] * np.uint64(pow(int(_BASE), j, 1 << 64))
+    return _mix(h)
+
+
+def ends(h: np.ndarray) -> dict[int, np.ndarray]:
+    """For each scale the places (of their last character) where content ends a chunk: strictly the least hash in reach."""
+    out, low, step = {}, h, 1  # low[i]: the least of the `step` hashes from i on
+    while step <= max(REACHES):
+        n = len(h) - 2 * step
+        if n <= 0:
+            at = np.zeros(0, dtype=np.int64)
+        else:
+            here = h[step : step + n]
+            at = np.flatnonzero((here < low[:n]) & (here < low[step + 1 : step + 1 + n])) + step
+        if step in REACHES:
+            out[step] = at[at >= step + WINDOW - 1]
+        low = np.minimum(low[: max(0, len(low) - step)], low[step:])
+        step *= 2
+    return out
+
+
+def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For normalised texts: (text index, line number from 1, line hash, chunk hash, whole) of the own chunks of all lines.
+
+    whole marks the fallback: a line too short to hold a chunk of its own. Blank lines have none. One vectorised pass; all
+    hashes depend on the characters of the line alone.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    joined = "".join(["\n" + t + "\n" for t in texts])
+    if not joined:
+        return none, none.astype(np.int32), none, none, none.astype(bool)
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for j in range(WINDOW):  # the last WINDOW characters
-            if j < len(c):
-                h[j:] += m[: len(c) - j] * power
-            power = power * _BASE
-        line_of = np.cumsum(feed) - feed  # number of the line each character stands in
-        starts = np.concatenate([[0], np.flatnonzero(feed)[:-1] + 1]) if feed.any() else np.zeros(1, int)
-        at = np.arange(len(c)) - starts[line_of]
-        # within the first characters of a line the window would reach over the line feed: no cut there
-        cut = ((_mix(h) >> np.uint64(40)) & np.uint64(MASK) == 0) & (at >= WINDOW) & ~feed
-        cut |= feed
-        ends = np.flatnonzero(cut)
-        begin = np.concatenate([[0], ends[:-1] + 1])
-        longest = int((ends - begin).max(initial=0)) + 2
-        powers = np.full(longest, _BASE, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        size = ends - begin + 1
-        within = np.arange(len(c)) - np.repeat(begin, size)
-        value = _mix(np.add.reduceat(m * powers[within], begin))
-        # a cut that falls on the last character of a line leaves an empty rest: only the line feed
-        empty = (size == 1) & feed[begin]
-        line = line_of[ends]
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        order = np.arange(len(line)) - np.repeat(first, np.diff(np.concatenate([first, [len(line)]])))
-        lines = _mix(np.add.reduceat(np.where(empty, np.uint64(0), _mix(value + order.astype(np.uint64) * _BASE)), first))
-    counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
-    text_of_line = np.repeat(np.arange(len(texts)), counts)
-    first_line = np.cumsum(counts) - counts
-    keep = ~empty
-    line, value = line[keep], value[keep]
-    t = text_of_line[line]
-    return t, (line - first_line[t] + 1).astype(np.int32), value.view(np.int64), lines[line].view(np.int64)
-
-
-_CHUNKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("domain_key", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line_key", T.LongType()), T.StructField("chunks", T.ArrayType(T.LongType()))])
+        feed = np.flatnonzero(c == 10)
+        begin, end = feed[:-1] + 1, feed[1:]  # a line's characters are c[begin:end]
+        size = end - begin
+        # prefix sums of a polynomial hash: the value of any stretch comes from two of them
+        m = _mix(c.astype(np.uint64))
+        powers = np.cumprod(np.full(len(c) + 1, _BASE, dtype=np.uint64), dtype=np.uint64)
+        inverse = np.cumprod(np.full(len(c) + 1, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64), dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m * powers[:-1], dtype=np.uint64)])
+        value = lambda a, b: _mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _BASE)
+
+        at_scale = ends(rolling(c))
+        has = np.zeros(len(size), dtype=bool)
+        own, key = [none], [np.zeros(0, dtype=np.uint64)]
+        for reach in REACHES:
+            e = at_scale[reach]
+            if len(e) < 2:
+                continue
+            line = np.searchsorted(feed, e[:-1], side="right") - 1  # the line, or the feed before it, in which the chunk before ends
+            # all places on which both ends depend lie within the line and its feeds
+            inside = (line >= 0) & (line < len(size))
+            inside &= (e[:-1] - reach - WINDOW + 1 >= feed[line]) & (e[1:] + reach <= feed[np.minimum(line + 1, len(feed) - 1)])
+            inside &= ~has[np.minimum(line, len(size) - 1)]
+            a, b, line = e[:-1][inside] + 1, e[1:][inside] + 1, line[inside]
+            cuts = -(-(b - a) // LONGEST)
+            owner = np.repeat(np.arange(len(a)), cuts)
+            at = a[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * LONGEST
+            own.append(line[owner])
+            key.append(value(at, np.minimum(at + LONGEST, b[owner])))
+            has[line] = True
+        own, key = np.concatenate(own), np.concatenate(key)
+        short = np.flatnonzero(~has & (size > 0))
+        lines = value(begin, end)
+        which = np.concatenate([own, short])
+        key = np.concatenate([key, value(begin[short] - 1, end[short] + 1)])
+    whole = np.arange(len(which)) >= len(own)
+    # the feed before a text starts it: texts are parted by two feeds
+    heads = np.cumsum([len(t) + 2 for t in texts]) - np.array([len(t) + 2 for t in texts])
+    text = np.searchsorted(heads, begin[which] - 1, side="right") - 1
+    first_line = np.searchsorted(feed, heads)
+    order = np.lexsort((whole, which))
+    which, text, key, whole = which[order], text[order], key[order], whole[order]
+    return text, (which - first_line[text] + 1).astype(np.int32), lines[which].view(np.int64), key.view(np.int64), whole
+
+
+_CHUNKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("domain_key", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line_key", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("chunks", T.ArrayType(T.LongType()))])
+
+
+def _pieces(text: str):
+    """(lines before, part of the text) of at most about BATCH_CHARS characters each, parted at line feeds."""
+    before = 0
+    while len(text) > BATCH_CHARS:
+        cut = text.find("\n", BATCH_CHARS)
+        if cut < 0:
+            break
+        yield before, text[:cut]
+        before += text.count("\n", 0, cut) + 1
+        text = text[cut + 1 :]
+    yield before, text
 
 
 def _chunked(batches):
     for b in batches:
-        texts = [normalised(x) for x in b.column("text").to_pylist()]
         ids, dom = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("domain_key").to_numpy(zero_copy_only=False)
+        pieces = [(i, before, part) for i, x in enumerate(b.column("text").to_pylist()) for before, part in _pieces(normalised(x))]
         at = 0
-        while at < len(texts):
+        while at < len(pieces):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):  # bounds the arrays in memory
-                size += len(texts[end])
+            while end < len(pieces) and (end == at or size + len(pieces[end][2]) < BATCH_CHARS):
+                size += len(pieces[end][2])
                 end += 1
-            t, no, value, line = chunks(texts[at:end])
+            rows, before = np.array([p[0] for p in pieces[at:end]]), np.array([p[1] for p in pieces[at:end]])
+            t, no, line, value, whole = chunks([p[2] for p in pieces[at:end]])
+            at = end
             if len(t):
                 first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (no[1:] != no[:-1])]))
                 offsets = np.concatenate([first, [len(t)]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][t[first]]), pa.array(dom[at:end][t[first]]), pa.array(no[first]), pa.array(line[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], names=_CHUNKS.names)
-            at = end
+                row, no = rows[t[first]], (no[first] + before[t[first]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(dom[row]), pa.array(no), pa.array(line[first]), pa.array(whole[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))], names=_CHUNKS.names)
 
 
 def chunked_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, domain, text) -> one row for each non-blank line: (doc_id, domain_key, line_no, line_key, chunks)."""
+    """docs(doc_id, domain, text) -> one row for each non-blank line: (doc_id, domain_key, line_no, line_key, whole, chunks)."""
     kept = docs.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("domain").alias("domain_key"), "text")
     return common.spread(kept).mapInArrow(_chunked, _CHUNKS)
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(doc_id, line_no) of every line that stands in at least `least` documents of its domain."""
-    lines = common.written(chunked_lines(docs).withColumn("line_key", F.xxhash64("domain_key", "line_key")), "chunked")
+def site_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, fallback: bool = True) -> DataFrame:
+    """(doc_id, line_no, line_key) of every line that stands in at least `least` documents of its domain.
+
+    fallback: whether lines too short to hold a chunk take part.
+    """
+    lines = chunked_lines(docs)
+    if not fallback:
+        lines = lines.where("not whole")
+    lines = common.written(lines.select("doc_id", "line_no", F.xxhash64("domain_key", "line_key").alias("line_key"), "domain_key", "chunks"), "chunked")
     key = F.xxhash64("domain_key", "chunk").alias("key")
-    # occurrences bound distinct documents from above: enough to drop what is rare
-    counted = lines.select("domain_key", F.explode("chunks").alias("chunk")).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
-    often = common.written(counted, "often")
-    flat = lines.select("doc_id", "line_no", "line_key", "domain_key", F.size("chunks").alias("n_chunks"), F.explode("chunks").alias("chunk")).select("doc_id", "line_no", "line_key", "n_chunks", key)
-    hit = flat.join(often, "key", "left_semi").groupBy("doc_id", "line_no", "line_key", "n_chunks").agg(F.count("*").alias("hits")).where("hits >= n_chunks")
-    candidates = common.written(hit.select("doc_id", "line_no", "line_key"), "site-lines")
-    site = candidates.groupBy("line_key", "doc_id").agg(F.lit(1).alias("one")).groupBy("line_key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least).select("line_key")
-    return candidates.join(site, "line_key", "left_semi").select("doc_id", "line_no").distinct()
+    # documents for each (domain, chunk): a document counts once, in whatever rows and lines it has the chunk
+    flat = lines.select("doc_id", "domain_key", F.explode("chunks").alias("chunk")).select("doc_id", key)
+    counted = flat.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least)
+    often = common.written(counted.select("key", "n"), "often")
+    # a line all of whose chunks are excessive is a candidate
+    asked = lines.select("doc_id", "line_no", "line_key", F.size("chunks").alias("n_chunks"), "domain_key", F.explode("chunks").alias("chunk")).select("doc_id", "line_no", "line_key", "n_chunks", key)
+    hit = common.join_hot(asked, often, ["key"], "n", "left_semi").groupBy("doc_id", "line_no", "line_key", "n_chunks").agg(F.count("*").alias("hits")).where("hits >= n_chunks")
+    candidates = common.written(hit.select("doc_id", "line_no", "line_key"), "line-candidates")
+    common.free(lines, often)
+    # the exact check: distinct documents of each candidate line
+    docs_of = candidates.groupBy("line_key", "doc_id").agg(F.count("*").alias("n")).groupBy("line_key").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least)
+    site = common.written(docs_of.select("line_key", "n"), "site-lines")
+    return common.join_hot(candidates, site, ["line_key"], "n", "left_semi")
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, fallback: bool = True) -> DataFrame:
+    """(doc_id, line_no) of every line that stands in at least `least` documents of its domain."""
+    return site_lines(docs, least, fallback).select("doc_id", "line_no").distinct()
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
@@ -142,25 +221,34 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 def p7_site_lines(spark, sf_dir: str) -> DataFrame:
     """The lines of each domain: one spelling of each, and how often and in how many documents it stands."""
     docs = common.read(spark, sf_dir, "documents")
-    found = repeated_lines(docs.select("doc_id", "domain", "text"))
-    split = docs.where("domain is not null").select("doc_id", "domain", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("line", T.StringType()), T.StructField("line_form", T.StringType())])
+    found = site_lines(docs.select("doc_id", "domain", "text"))
+    per = found.groupBy("line_key", "doc_id").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    counted = per.groupBy("line_key").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    # one occurrence of each line, fetched from its document
+    first = counted.select("line_key", "occurrences", "docs", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    fetched = first.join(docs.where("domain is not null and text is not null").select("doc_id", "domain", "text"), "doc_id").withColumn("example", F.try_element_at(F.split("text", "\n", -1), F.col("line_no"))).where("example is not null").select("domain", F.xxhash64("domain").alias("domain_key"), "line_key", "occurrences", "docs", "example")
+    schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("domain_key", T.LongType()), T.StructField("line_key", T.LongType()), T.StructField("occurrences", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("example", T.StringType()), T.StructField("line_form", T.StringType()), T.StructField("form_key", T.LongType())])
 
     def forms(batches):
         for b in batches:
-            form = pa.array([normalised(x) for x in b.column("line").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:3]), form], names=schema.names)
+            texts = [normalised(x) for x in b.column("example").to_pylist()]
+            keys = np.zeros(len(texts), dtype=np.int64)
+            if texts:
+                t, _, line, _, _ = chunks(texts)
+                keys[t] = line
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(keys)], names=schema.names)
 
-    # the form by which the operator holds lines for the same
-    same = found.join(split, ["doc_id", "line_no"]).select(*schema.names[:3]).mapInArrow(forms, schema)
-    counted = same.groupBy("domain", "line_form").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs"), F.min("line").alias("example"))
-    # only where a doc_id has several rows does the join bring in lines that are not the site's: they are in fewer documents
-    return counted.where(F.col("docs") >= LEAST_DOCUMENTS)
+    # where a doc_id has several rows only the row with this very line counts
+    own = fetched.mapInArrow(forms, schema).where(F.xxhash64("domain_key", "form_key") == F.col("line_key"))
+    return own.groupBy("domain", "line_form", "occurrences", "docs").agg(F.min("example").alias("example"))
 
 
 def p7_cleaned(spark, sf_dir: str) -> DataFrame:
     """Every document without the lines of its site."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "document_id", "domain", "text")
-    cut = repeated_lines(docs.select("doc_id", "domain", "text")).groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
-    body = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> cut is null or not array_contains(cut, i + 1)), '\\n')")
-    return docs.join(cut, "doc_id", "left").select("doc_id", "document_id", body.alias("text"), F.coalesce(F.size("cut"), F.lit(0)).alias("lines_cut"))
+    # at most the lines of the document itself
+    cut = repeated_lines(docs.select("doc_id", "domain", "text")).groupBy("doc_id").agg(F.collect_list("line_no").alias("cut"))
+    kept = "array_except(sequence(1, size(lines)), coalesce(cut, array()))"  # keeps the order, by a hash of the numbers
+    body = F.expr(f"case when text is null or cut is null or domain is null then text else array_join(transform({kept}, i -> lines[i - 1]), '\n') end")
+    split = docs.withColumn("lines", F.split("text", "\n", -1))
+    return split.join(cut, "doc_id", "left").select("doc_id", "document_id", body.alias("text"), F.when(F.col("domain").isNull(), 0).otherwise(F.coalesce(F.size("cut"), F.lit(0))).alias("lines_cut"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.storage import prefix_sum, scratch, spread, written
+from ..operators.storage import free, hadoop_path, join_hot, prefix_sum, scratch, spread, written
 
-__all__ = ["prefix_sum", "read", "scratch", "spread", "written"]
+__all__ = ["free", "hadoop_path", "join_hot", "prefix_sum", "read", "scratch", "spread", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

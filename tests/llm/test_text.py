@@ -4,6 +4,7 @@ import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from morilex.llm import boilerplate, lookalike, mojibake, sentences
@@ -116,11 +117,27 @@ def test_a_site_line_is_one_row_in_all_its_spellings(spark, sf):
 
 def test_chunks_do_not_depend_on_neighbours():
     a, b = "x" * 5 + "\n" + "この一行はどこにあっても同じ塊になるはずである。" * 3, "全く別の行\nもう一つ\n" + "この一行はどこにあっても同じ塊になるはずである。" * 3
-    t, no, value, line = boilerplate.chunks([a, b])
-    assert list(value[(t == 0) & (no == 2)]) == list(value[(t == 1) & (no == 3)]) and len(set(line[(t == 0) & (no == 2)]) | set(line[(t == 1) & (no == 3)])) == 1
+    t, no, line, key, whole = boilerplate.chunks([a, b])
+    first, second = (t == 0) & (no == 2), (t == 1) & (no == 3)
+    assert list(key[first]) == list(key[second]) and len(set(line[first]) | set(line[second])) == 1 and not whole[first].any()
+    # an end depends on the characters around it alone: the same stretch inside other lines has the same chunks
+    assert set(key[first]) & set(boilerplate.chunks(["前の部分" + a.split("\n")[1] + "後の部分"])[3])
     assert len(boilerplate.chunks([""])[0]) == 0 and len(boilerplate.chunks([])[0]) == 0
 
 
+def test_chunk_bounds_and_blocks_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    c = rng.integers(0x3040, 0x3060, 20_000).astype(np.uint32)
+    for reach, e in boilerplate.ends(boilerplate.rolling(c)).items():
+        assert len(e) > 20_000 / (4 * reach) and np.diff(e).min() >= reach + 1
+    text = "\n".join("".join(rng.choice(list("あいうえお漢字"), 30)) for _ in range(50)) + "\n" + "a" * 1000
+    rows = lambda: sorted((int(i), n, k, tuple(c)) for b in boilerplate._chunked([pa.RecordBatch.from_pydict({"doc_id": [7], "domain_key": [1], "text": [text]})]) for i, n, k, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "line_no", "line_key", "chunks"))))
+    whole = rows()
+    assert [r[1] for r in whole] == list(range(1, 52)) and len(whole[-1][3]) >= 1
+    monkeypatch.setattr(boilerplate, "BATCH_CHARS", 100)
+    assert rows() == whole
+
+
 def test_no_documents(spark, sf):
     d = sf(documents=([], DOCS))
     assert boilerplate.p7_found(spark, d).count() == 0 and boilerplate.p7_cleaned(spark, d).count() == 0
