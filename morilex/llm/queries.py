@@ -15,6 +15,7 @@ WHERE = {
     "p2_surprise": "pairs",
     "p3_found": "termcounts",
     "p3_terms": "termcounts",
+    "p3_after_changes": "termcounts",
     "p4_found": "langid",
     "p4_languages": "langid",
     "p5_found": "sentences",

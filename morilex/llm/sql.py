@@ -15,9 +15,12 @@ words as (select least(w1.repname, w2.repname) as repname_a, greatest(w1.repname
 pairs as (select repname_a, repname_b, cast(sum(cnt) as bigint) as n_ab, count(distinct document_id) as docs from words group by 1, 2),
 n as (select repname, cast(sum(cnt) as bigint) as n from counted where repname is not null group by 1)"""
 
+_CHANGED = _TERMS.replace("uni as (select distinct shard_id, document_id, midasi, repname, word_class, cnt from ngram_uni)", "uni as (select distinct shard_id, document_id, midasi, repname, word_class, case when shard_id = 1 then cnt + 1 else cnt end as cnt from ngram_uni where shard_id is distinct from 2)").replace("from ngram_uni) then", "from uni) then")
+
 SQL: dict[str, str] = {
     "p2_found": f"""{_PAIRS} select repname_a, repname_b from pairs join n a on a.repname = repname_a join n b on b.repname = repname_b
 where n_ab >= 8 and docs >= 5 and n_ab * (select sum(cnt) from counted) >= 10 * a.n * b.n""",
     "p3_found": f"{_TERMS} select field, term, mark from marked where mark <> 'useful'",
+    "p3_after_changes": f"{_CHANGED} select field, term, cnt, docs, mark from marked",
     "p3_terms": f"{_TERMS} select field, term, cnt, docs, mark from marked",
 }

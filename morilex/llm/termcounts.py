@@ -1,25 +1,34 @@
 """Problem 3: how often every term occurs, in how many records, and which terms are too rare or too common.
 
-Method: incremental signed deltas. A persistent state holds the live distinct records, partitioned by a hash of their
-document, and the count of every term, partitioned by a hash of the term. A batch of added (+1), deleted (-1) or changed
-(-1 of the old, +1 of the new form) records is compared with the records of the touched partitions only; the difference
-gives signed changes of occurrences and of document counts, which are merged into the touched partitions of the counts.
-Untouched partitions are not rewritten: a manifest names the version of each.
+Method: incremental signed deltas. The persistent state is two logs of runs: the signed records (+1 appeared, -1 went),
+partitioned by a hash of their document, and the signed changes of the count of every term. A batch of added (+1), deleted
+(-1) or changed (-1 of the old, +1 of the new form) records is compared only with the live records of the documents it
+touches; what differs is appended as a run of records, and the changes of occurrences and of document counts that follow
+are appended as a run of counts. Nothing else is rewritten. Runs of like size are merged, so a record is rewritten a
+logarithmic number of times.
+
+Cost of a batch: its own rows and the partitions of its documents. A run has as many partitions as its own size asks for
+(powers of two, ROWS_PER_BUCKET rows each), so one scheme serves a thousand rows and 10^13.
+
+Failures: runs have unique names and count only once the manifest names them, so a failed job can be tried again; what it
+left, and runs that were merged, are deleted by the next batch. A table that was read from the state stays valid until then.
 
 Defined results: a record that equals a live one is delivered again and changes nothing; a deletion of an unknown record
 changes nothing; terms that are null are not counted; a record without document adds occurrences but no document; an
-empty batch leaves the state as it is; an empty state has no terms and zero documents. The number of partitions is a
-parameter; nothing that grows with the data is collected (only partition numbers and one total).
+empty batch leaves the state as it is; an empty state has no terms and zero documents. Nothing that grows with the terms
+or records is collected: only partition numbers and row counts of runs.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lookup import small
 from . import common
 
 #: Marks that stand for borders between words, not for words.
@@ -31,85 +40,137 @@ def counted_word(midasi: Column) -> Column:
     return midasi.isNotNull() & ~midasi.isin(*BORDER_MARKS)
 
 
+#: Rows of a run for each of its partitions.
+ROWS_PER_BUCKET = 1_000_000
+
+
 class TermCounts:
     """Persistent counts of the terms of records.
 
     record: the columns that make a record; doc, cnt: its document and its number of occurrences; terms: names of the
-    term columns; counts_if: which records count. parts: partitions of each of the two tables.
+    term columns; counts_if: which records count.
     """
 
-    def __init__(self, spark: SparkSession, path: str, record: T.StructType, doc: str, cnt: str, terms: list[str], counts_if: Column, parts: int = 32):
-        self.spark, self.path, self.record, self.doc, self.cnt, self.terms, self.counts_if, self.parts = spark, path, record, doc, cnt, terms, counts_if, parts
-        self.counts_schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("cnt", T.LongType()), T.StructField("docs", T.LongType())])
-        self.version, self.places = self._manifest()
-
-    # -- the manifest: which version holds each partition; at most 2 * parts entries
-    def _manifest(self) -> tuple[int, dict[str, dict[str, int]]]:
-        fs, root = self._fs(f"{self.path}/manifest")
+    def __init__(self, spark: SparkSession, path: str, record: T.StructType, doc: str, cnt: str, terms: list[str], counts_if: Column, rows_per_bucket: int = ROWS_PER_BUCKET):
+        self.spark, self.path, self.record, self.doc, self.cnt, self.terms, self.counts_if, self.rows_per_bucket = spark, path, record, doc, cnt, terms, counts_if, rows_per_bucket
+        self.schemas = {
+            "records": T.StructType([*record.fields, T.StructField("_sign", T.IntegerType())]),
+            "counts": T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("cnt", T.LongType()), T.StructField("docs", T.LongType())]),
+        }
+        self.version, self.runs = self._manifest()
+
+    # -- the manifest names the runs of each log, oldest first: [name, level, rows]; a run has 2 ** level partitions
+    def _manifest(self) -> tuple[int, dict[str, list]]:
+        fs, root = common.hadoop_path(self.spark, f"{self.path}/manifest")
         versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root)] if fs.exists(root) else []
         for v in sorted(versions, reverse=True):
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/v{v}/_SUCCESS")
-            if fs.exists(done):
+            if fs.exists(common.hadoop_path(self.spark, f"{self.path}/manifest/v{v}/_SUCCESS")[1]):
                 return v, json.loads(self.spark.read.text(f"{self.path}/manifest/v{v}").first()[0])
-        return 0, {"records": {}, "counts": {}}
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _load(self, table: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
-        at = self.places[table]
-        paths = [f"{self.path}/{table}/v{v}/bucket={b}" for b, v in at.items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return 0, {"records": [], "counts": []}
 
-    def _save(self, df: DataFrame, table: str, buckets: list[int], version: int) -> dict[str, int]:
-        path = f"{self.path}/{table}/v{version}"
-        df.write.partitionBy("bucket").parquet(path)
-        fs, _ = self._fs(path)
-        there = {b for b in buckets if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"))}
-        kept = {b: v for b, v in self.places[table].items() if int(b) not in buckets}
-        return kept | {str(b): version for b in sorted(there)}
-
-    def _bucket(self, *cols: str) -> Column:
-        return F.pmod(F.xxhash64(*cols), F.lit(self.parts)).cast("int")
+    def _commit(self, runs: dict[str, list]) -> None:
+        version = self.version + 1
+        # a version that a failed attempt began is written again
+        self.spark.createDataFrame([(json.dumps(runs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/v{version}")
+        self.version, self.runs = version, runs
+
+    def vacuum(self) -> None:
+        """Deletes the runs that the manifest does not name: merged ones, and what failed attempts left."""
+        for log, runs in self.runs.items():
+            fs, root = common.hadoop_path(self.spark, f"{self.path}/{log}")
+            named = {r[0] for r in runs}
+            for s in fs.listStatus(root) if fs.exists(root) else []:
+                if s.getPath().getName() not in named:
+                    fs.delete(s.getPath(), True)
+
+    def _hash(self) -> Column:
+        return F.xxhash64(self.doc)
+
+    def _load(self, log: str, runs: list, hashes: set[int] | None = None, level: int = 0) -> DataFrame:
+        """The rows of runs; hashes: only partitions for these remainders of the document's hash modulo 2 ** level."""
+        out = self.spark.createDataFrame([], self.schemas[log])
+        for name, own, _ in runs:
+            path = f"{self.path}/{log}/{name}"
+            paths = [path]
+            if hashes is not None and own:
+                fs, root = common.hadoop_path(self.spark, path)
+                there = {int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root) if "=" in s.getPath().getName()}
+                paths = [f"{path}/bucket={b}" for b in sorted(there & {h % 2**own for h in hashes})]
+            if paths:
+                one = self.spark.read.schema(self.schemas[log]).option("basePath", path).parquet(*paths)
+                out = out.unionByName(one.select(*self.schemas[log].names))
+        return out
+
+    def _append(self, df: DataFrame, log: str, rows: int) -> list | None:
+        """Writes a run of at most `rows` rows."""
+        level = max(0, (rows // self.rows_per_bucket).bit_length()) if log == "records" else 0
+        name = uuid.uuid4().hex
+        path = f"{self.path}/{log}/{name}"
+        if level:
+            df = df.withColumn("bucket", F.pmod(self._hash(), F.lit(2**level)))
+            if level > 4:  # many partitions: their rows are brought together, so that each has few files
+                df = df.hint("rebalance", "bucket")
+            df.write.partitionBy("bucket").parquet(path)
+        else:
+            df.write.parquet(path)
+        n = self.spark.read.schema(self.schemas[log]).parquet(path).count()
+        return [name, level, n] if n else None
+
+    def _merged(self, log: str, runs: list) -> list:
+        """Merges the newest runs while one is at least half as large as the one before it."""
+        while len(runs) > 1 and runs[-1][2] * 2 >= runs[-2][2]:
+            both = self._load(log, runs[-2:])
+            keys = self.record.names if log == "records" else ["field", "term"]
+            sums = {"_sign": F.sum("_sign").cast("int")} if log == "records" else {"cnt": F.sum("cnt"), "docs": F.sum("docs")}
+            df = both.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()]).where(" or ".join(f"{k} <> 0" for k in sums))
+            new = self._append(df.select(*self.schemas[log].names), log, runs[-1][2] + runs[-2][2])
+            runs = [*runs[:-2], *([new] if new else [])]
+        return runs
 
     def apply(self, changes: DataFrame, sign: str = "sign") -> None:
         """Merge signed records: `changes` has the record's columns and +1 or -1 in `sign`; other columns are ignored."""
+        self.vacuum()
         cols = self.record.names
-        delta = changes.select(*[F.col(f.name).cast(f.dataType) for f in self.record], F.lit(0).alias("_old"), F.col(sign).cast("int").alias("_sign"))
-        delta = delta.withColumn("bucket", self._bucket(self.doc))
-        buckets = sorted(r[0] for r in delta.select("bucket").distinct().collect())
-        if not buckets:
-            return
-        version = self.version + 1
-        old = self._load("records", self.record, buckets).select(*cols, F.lit(1).alias("_old"), F.lit(0).alias("_sign")).withColumn("bucket", self._bucket(self.doc))
+        delta = changes.select(*[F.col(f.name).cast(f.dataType) for f in self.record], F.lit(0).alias("_was"), F.col(sign).cast("int").alias("_sign"))
+        runs = self.runs["records"]
+        if runs:
+            delta = common.written(delta, "term-batch")
+            level = max(r[1] for r in runs)
+            hashes = {r[0] for r in delta.select(F.pmod(self._hash(), F.lit(2**level))).distinct().collect()}  # at most the partitions of a run
+            touched = small(delta.select(self._hash().alias("_h")).distinct())
+            old = self._load("records", runs, hashes, level).withColumn("_h", self._hash()).join(touched, "_h", "left_semi").drop("_h")
+            delta = delta.unionByName(old.select(*cols, F.col("_sign").alias("_was"), F.lit(0).alias("_sign")))
         # one shuffle by the whole record: no key is hot, however skewed documents or terms are
-        state = old.unionByName(delta).groupBy(*cols, "bucket").agg(F.max("_old").alias("_old"), F.signum(F.sum("_sign")).cast("int").alias("_net"))
+        state = delta.groupBy(*cols).agg(F.sum("_was").cast("int").alias("_old"), F.signum(F.sum("_sign")).cast("int").alias("_net"))
         state = state.withColumn("_new", F.when(F.col("_net") > 0, 1).when(F.col("_net") < 0, 0).otherwise(F.col("_old")))
-        state = common.written(state.where("_old = 1 or _new = 1").select(*cols, "bucket", F.col("_old").cast("byte"), F.col("_new").cast("byte")), "term-state")
-        records = self._save(state.where("_new = 1").select(*cols, "bucket"), "records", buckets, version)
+        state = common.written(state.where("_old = 1 or _new = 1").select(*cols, F.col("_old").cast("byte"), F.col("_new").cast("byte")), "term-state")
+        changed = state.where("_old <> _new").select(*cols, (F.col("_new") - F.col("_old")).cast("int").alias("_sign"))
+        rows = changed.count()
+        if not rows:
+            return
+        records = self._append(changed, "records", rows)
 
         # signed changes of every (term, document) whose records changed
-        named = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("term")), *[F.struct(F.lit(t).alias("field"), F.when(self.counts_if, F.col(t)).alias("term")) for t in self.terms])
-        seen = state.select(F.explode(named).alias("k"), F.col(self.doc).alias("doc"), F.col(self.cnt).alias("c"), "_old", "_new").where("k.term is not null")
-        per_doc = seen.groupBy("k.field", "k.term", "doc").agg(F.sum(F.col("c") * (F.col("_new") - F.col("_old"))).alias("d_cnt"), (F.max("_new") - F.max("_old")).alias("d_doc"), F.max(F.col("_new") != F.col("_old")).alias("_touched")).where("_touched")
-        signed = per_doc.groupBy("field", "term").agg(F.sum("d_cnt").alias("cnt"), F.sum(F.when(F.col("doc").isNotNull(), F.col("d_doc")).otherwise(0)).cast("long").alias("docs"), F.lit(0).alias("_was")).where("cnt <> 0 or docs <> 0")
-        signed = common.written(signed.withColumn("bucket", self._bucket("field", "term")), "term-delta")
-        hit = sorted(r[0] for r in signed.select("bucket").distinct().collect())
-        counts = self.places["counts"]
-        if hit:
-            merged = self._load("counts", self.counts_schema, hit).withColumn("bucket", self._bucket("field", "term")).unionByName(signed.drop("_was")).groupBy("bucket", "field", "term").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs")).where("cnt <> 0 or docs <> 0")
-            counts = self._save(merged, "counts", hit, version)
-        self.places, self.version = {"records": records, "counts": counts}, version
-        self.spark.createDataFrame([(json.dumps(self.places),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/v{version}")
+        named = F.array(*[F.struct(F.lit(t).alias("field"), F.when(self.counts_if, F.col(t)).alias("term")) for t in self.terms])
+        seen = state.select(F.explode(named).alias("k"), F.col(self.doc).alias("doc"), F.col(self.cnt).alias("c"), "_old", "_new").select("k.field", "k.term", "doc", "c", "_old", "_new").where("term is not null")
+        per_doc = seen.groupBy("field", "term", "doc").agg(F.sum(F.col("c") * (F.col("_new") - F.col("_old"))).alias("d_cnt"), (F.max("_new") - F.max("_old")).alias("d_doc")).where("d_cnt <> 0 or d_doc <> 0")
+        signed = per_doc.groupBy("field", "term").agg(F.sum("d_cnt").alias("cnt"), F.sum(F.when(F.col("doc").isNotNull(), F.col("d_doc")).otherwise(0)).cast("long").alias("docs")).where("cnt <> 0 or docs <> 0")
+        # the number of documents is kept as the count of a term without a name
+        docs = state.where(F.col(self.doc).isNotNull()).groupBy(self.doc).agg((F.max("_new") - F.max("_old")).alias("d")).agg(F.sum("d").alias("docs")).where("docs <> 0")
+        signed = signed.unionByName(docs.select(F.lit("").alias("field"), F.lit("").alias("term"), F.lit(0).cast("long").alias("cnt"), F.col("docs").cast("long").alias("docs")))
+        counts = self._append(signed, "counts", rows)
+        common.free(state)
+        self._commit({"records": self._merged("records", [*self.runs["records"], records]), "counts": self._merged("counts", [*self.runs["counts"], *([counts] if counts else [])])})
+
+    def _totals(self) -> DataFrame:
+        return self._load("counts", self.runs["counts"]).groupBy("field", "term").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs")).where("cnt <> 0 or docs <> 0")
 
     def counts(self) -> DataFrame:
         """(field, term, cnt, docs) of every term."""
-        return self._load("counts", self.counts_schema).where("field <> ''")
+        return self._totals().where("field <> ''")
 
     def documents(self) -> int:
-        row = self._load("counts", self.counts_schema).where("field = ''").agg(F.sum("docs")).first()
+        row = self._load("counts", self.runs["counts"]).where("field = ''").agg(F.sum("docs")).first()
         return row[0] or 0
 
     def marked(self, rare_count: int = RARE_COUNT, rare_docs: int = RARE_DOCUMENTS, common_share: float = COMMON_SHARE) -> DataFrame:
@@ -141,3 +202,13 @@ def p3_terms(spark, sf_dir: str) -> DataFrame:
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
     return vocabulary(spark, sf_dir).marked().where("mark <> 'useful'").select("field", "term", "mark")
+
+
+def p3_after_changes(spark, sf_dir: str) -> DataFrame:
+    """The counts after a third batch: every record of shard 1 is corrected (one occurrence more), those of shard 2 go."""
+    state = vocabulary(spark, sf_dir)
+    uni = common.read(spark, sf_dir, "ngram_uni").select(*state.record.names).where("shard_id in (1, 2)").distinct()
+    gone = uni.withColumn("sign", F.lit(-1))
+    corrected = uni.where("shard_id = 1 and cnt is not null").withColumn("cnt", (F.col("cnt") + 1).cast("long")).withColumn("sign", F.lit(1))
+    state.apply(gone.unionByName(corrected))
+    return state.marked()

@@ -78,7 +78,7 @@ RECORD = T.StructType([T.StructField("document_id", T.StringType()), T.StructFie
 
 
 def state(spark, path):
-    return termcounts.TermCounts(spark, path, RECORD, "document_id", "cnt", ["midasi"], termcounts.counted_word(F.col("midasi")), parts=4)
+    return termcounts.TermCounts(spark, path, RECORD, "document_id", "cnt", ["midasi"], termcounts.counted_word(F.col("midasi")), rows_per_bucket=10)
 
 
 def test_deltas_equal_a_count_from_scratch(spark, tmp_path):
@@ -99,11 +99,67 @@ def test_deltas_equal_a_count_from_scratch(spark, tmp_path):
         expected = {m: (n[m], len(docs[m] - {None})) for m in n}
         assert {r["term"]: (r["cnt"], r["docs"]) for r in s.counts().collect()} == expected
         assert s.documents() == len({doc for doc, _, _ in live} - {None})
+        assert len(s.runs["records"]) <= 4 and all(a[2] > b[2] for a, b in zip(s.runs["records"], s.runs["records"][1:]))
     before = s.version
     s.apply(spark.createDataFrame([], "document_id string, midasi string, cnt long, sign int"))
     assert s.version == before
 
 
+def size_of(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_batch_costs_its_own_documents(spark, tmp_path):
+    """The second batch reads and writes the partitions of its documents only, and a failed attempt can be tried again."""
+    path = tmp_path / "state"
+    s = termcounts.TermCounts(spark, str(path), RECORD, "document_id", "cnt", ["midasi"], termcounts.counted_word(F.col("midasi")), rows_per_bucket=100)
+    s.apply(spark.range(20_000).selectExpr("concat('d', id % 4000) as document_id", "concat('w', id % 977) as midasi", "id % 5 + 1 as cnt", "1 as sign"))
+    base, (name, level, rows) = size_of(path), s.runs["records"][0]
+    assert level == 8 and rows == 20_000
+    read = []
+    load = s._load
+    s._load = lambda log, runs, *a: read.append(load(log, runs, *a)) or read[-1]
+    delta = spark.createDataFrame([("d7", "w7", 9, 1), ("d8", "w8", 4, -1)], "document_id string, midasi string, cnt long, sign int")
+    append, calls = s._append, []
+
+    def fails(df, log, n):
+        calls.append(log)
+        if len(calls) == 2:
+            raise RuntimeError("the cluster went away")
+        return append(df, log, n)
+
+    s._append = fails
+    with pytest.raises(RuntimeError):
+        s.apply(delta)
+    s._append = append
+    read.clear()
+    s.apply(delta)
+    assert len({f.rpartition("/")[0] for f in read[0].inputFiles()}) <= 2 and read[0].count() < 20_000 / 50
+    assert size_of(path) - base < base / 20 and s.runs["records"][0][0] == name
+    got = {r["term"]: (r["cnt"], r["docs"]) for r in state_counts(spark, path).collect()}
+    n, docs = Counter(), defaultdict(set)
+    for i in range(20_000):
+        n[f"w{i % 977}"] += i % 5 + 1
+        docs[f"w{i % 977}"].add(i % 4000)
+    n["w7"] += 9
+    docs["w7"].add(7)
+    assert got["w7"] == (n["w7"], len(docs["w7"])) and got["w9"] == (n["w9"], len(docs["w9"]))
+
+
+def state_counts(spark, path):
+    return termcounts.TermCounts(spark, str(path), RECORD, "document_id", "cnt", ["midasi"], termcounts.counted_word(F.col("midasi"))).counts()
+
+
+def test_changes_and_deletions_of_the_query(spark, sf):
+    uni = [(s, f"d{i % 7}", f"w{i % 5}", None, "c", i % 3 + 1, None, "") for s in (0, 1, 2) for i in range(30)]
+    got = {r["term"]: (r["cnt"], r["docs"]) for r in termcounts.p3_after_changes(spark, sf(ngram_uni=(uni, UNI))).collect()}
+    n, docs = Counter(), defaultdict(set)
+    for s, d, m, _, _, c, *_ in {(s, d, m, r, k, c + (s == 1), *x) for s, d, m, r, k, c, *x in set(uni) if s != 2}:
+        n[m] += c
+        docs[m].add(d)
+    assert got == {m: (n[m], len(docs[m])) for m in n}
+
+
 def test_marks(spark, sf):
     uni = [(0, f"d{i}", "common", None, "c", 9, None, "") for i in range(20)] + [(0, "d1", "rare", "r/r", "c", 99, None, ""), (0, "e", None, "n", "c", 1, None, "")]
     uni += [(0, f"d{i}", "useful", None, "c", 2, None, "") for i in range(3)]
