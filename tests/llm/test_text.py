@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from morilex.llm import boilerplate, lookalike, mojibake, sentences
 
@@ -30,6 +31,26 @@ def test_lookalikes_are_found_and_words_stay_apart(spark, sf):
     assert forms[lines.index("ダロカ")] == "ダロカ"
 
 
+def test_many_copies_of_one_sentence(spark, sf):
+    """Copies are one text: 10,000 of one sentence and three of its variant give 30,000 pairs, none among the copies."""
+    rows = [(i, None, "line", "タロカを読む。" if i >= 3 else "夕ロ力を読む。", "") for i in range(10_003)]
+    d = sf(dictionary=([], DICT), sentences=(rows, SENT))
+    got = lookalike.p1_found(spark, d)
+    assert got.count() == 30_000 and got.where("id_a < 3 and id_b >= 3").count() == 30_000
+
+
+@pytest.mark.parametrize("a, b", [("αιρυ", "aipu"), ("κ", "к"), ("ΑΒ", "AB"), ("Ԁ", "Ԁ"), ("ɑ", "ɑ"), ("Іван", "Iван"), ("Տ", "S"), ("ℬ", "B"), ("⼝", "口"), ("ロ", "口")])
+def test_public_confusables_are_folded(spark, frame, a, b):
+    r = frame([(a, b)], "a string, b string").select(lookalike.folded(spark, F.col("a")).alias("a"), lookalike.folded(spark, F.col("b")).alias("b")).first()
+    assert r["a"] == r["b"]
+
+
+@pytest.mark.parametrize("a, b", [("士", "土"), ("日", "曰"), ("未", "末"), ("1", "l"), ("0", "O"), ("З", "3"), ("シ", "ツ"), ("I", "l"), ("m", "rn")])
+def test_different_characters_stay_apart(spark, frame, a, b):
+    r = frame([(a, b)], "a string, b string").select(lookalike.folded(spark, F.col("a")).alias("a"), lookalike.folded(spark, F.col("b")).alias("b")).first()
+    assert r["a"] != r["b"]
+
+
 def test_garbled_text_takes_no_part_in_lookalikes(spark, sf):
     bad = "表記".encode().decode("cp932", "replace")
     d = sf(dictionary=([], DICT), sentences=([(1, None, "line", bad, ""), (2, None, "line", bad + "​", "")], SENT))
