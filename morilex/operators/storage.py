@@ -82,7 +82,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """rows joined with keyed (one row for each key) where some keys may hold a large share of rows.
+    """rows joined with keyed where some keys may hold a large share of rows.
 
     weight: a column of keyed with how many rows a key has (or a bound of it); it is dropped. Keys with more than one in
     HOT_KEYS of all are fewer than HOT_KEYS, so their list is broadcast; their rows are spread over SALTS places, and the
@@ -92,7 +92,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how:
     hot = keyed.where(F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)) if total > HOT_KEYS * SALTS else keyed.limit(0)
     if total <= HOT_KEYS * SALTS or hot.isEmpty():
         return rows.join(keyed.drop(weight), on, how)
-    hot = hot.select(*on, F.lit(True).alias("_hot"))
+    hot = hot.select(*on).distinct().withColumn("_hot", F.lit(True))
     place = F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(SALTS)).cast("int")
     left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), place).otherwise(0)).drop("_hot")
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
