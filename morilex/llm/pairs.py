@@ -8,6 +8,8 @@ each distinct item frequency, one scalar Z). The number of baskets with the pair
 baskets' sizes; its upper tail is the p-value, and the Benjamini-Hochberg procedure over all possible pairs controls the
 false-discovery rate.
 
+Baskets of like size (within 5 %, exact up to 20 slots) are taken at their mean size, which keeps the number of slots.
+
 What reaches the driver: the histogram of item frequencies and the histogram of basket sizes. Distinct whole numbers that
 add up to S are fewer than 2 * sqrt(S), which bounds both. Pairs are counted with map-side partial sums; a pair that
 fills a third of all rows is spread over its baskets first.
@@ -19,6 +21,7 @@ an item does not pair with itself; empty tables give no pairs.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -32,8 +35,11 @@ from .termcounts import counted_word
 ALPHA = 0.05
 
 
-def fit_null(degrees: np.ndarray, items: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights x by item frequency, and Z = 1 - sum x^2: solves x (1 - x) = k Z / (2 S) for every frequency k, sum x = 1."""
+def fit_null(degrees: np.ndarray, items: np.ndarray, rounds: int = 10_000) -> tuple[np.ndarray, float]:
+    """Weights x by item frequency, and Z = 1 - sum x^2: solves x (1 - x) = k Z / (2 S) for every frequency k, sum x = 1.
+
+    Rounds go on until Z stands still; a warning tells if it does not.
+    """
     k, n = degrees.astype(float), items.astype(float)
     total = float((k * n).sum())  # = 2 S
     if total <= 0:
@@ -48,6 +54,8 @@ def fit_null(degrees: np.ndarray, items: np.ndarray, rounds: int = 200) -> tuple
         x, z = new, z_new
         if done:
             break
+    else:
+        warnings.warn(f"the null has not converged: Z still moves at {z}", stacklevel=2)
     return x, z
 
 
@@ -132,8 +140,10 @@ def surprise(pairs: DataFrame, sizes: DataFrame, alpha: float = ALPHA) -> DataFr
     slots, n_items = float((s * m).sum()), int(deg.n.sum()) if len(deg) else 0
     # weights by frequency: fewer than 2 * sqrt(slots) rows
     weight = spark.createDataFrame(pd.DataFrame({"k": deg.k.astype("int64"), "x": x}), T.StructType([T.StructField("k", T.LongType()), T.StructField("x", T.DoubleType())]))
-    w = items.join(F.broadcast(weight), "k").select("item", "x")
-    got = pairs.join(w.select(F.col("item").alias("a"), F.col("x").alias("x_a")), "a").join(w.select(F.col("item").alias("b"), F.col("x").alias("x_b")), "b")
+    w = items.join(F.broadcast(weight), "k").select("item", "x", "k")
+    # an item that is in a third of all pairs is spread over many places
+    got = common.join_hot(pairs, w.select(F.col("item").alias("a"), F.col("x").alias("x_a"), "k"), ["a"], "k")
+    got = common.join_hot(got, w.select(F.col("item").alias("b"), F.col("x").alias("x_b"), "k"), ["b"], "k")
     got = got.withColumn("rate", F.lit(2.0 / z) * F.col("x_a") * F.col("x_b")).drop("x_a", "x_b")
     got = got.withColumn("expected_slots", F.col("rate") * F.lit(slots))
 
@@ -155,12 +165,10 @@ def occurrences(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(events a, b, basket, cnt of neighbouring words; distinct counted rows of the single words)."""
     fbi = common.read(spark, sf_dir, "ngram_fbi")
     kept = fbi.where(counted_word(F.col("w1.midasi")) & counted_word(F.col("w2.midasi")) & F.col("w1.repname").isNotNull() & F.col("w2.repname").isNotNull() & (F.col("w1.repname") != F.col("w2.repname")))
-    # all other columns of a record as one 128-bit number: equal records in a basket count once
-    rest = ["shard_id", "w1.repname", "w1.midasi", "w2.midasi", "w1.word_class", "w2.word_class", "cnt"]
-    shape = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in rest])  # hashes skip nulls
-    kept = kept.select(F.least("w1.repname", "w2.repname").alias("a"), F.greatest("w1.repname", "w2.repname").alias("b"), F.col("document_id").alias("basket"), "cnt", F.xxhash64(shape, *rest).alias("_h1"), F.xxhash64(F.lit(7), *reversed(rest), shape).alias("_h2"))
+    # equal records in a basket count once, by all of their columns: a and b with `turned` are the two names
+    kept = kept.select(F.least("w1.repname", "w2.repname").alias("a"), F.greatest("w1.repname", "w2.repname").alias("b"), F.col("document_id").alias("basket"), "cnt", "shard_id", (F.col("w1.repname") > F.col("w2.repname")).alias("turned"), F.col("w1.midasi").alias("m1"), F.col("w2.midasi").alias("m2"), F.col("w1.word_class").alias("c1"), F.col("w2.word_class").alias("c2"))
     # partitioned once by pair and basket: duplicates and sums within a basket need no further shuffle
-    events = kept.repartition("a", "b", "basket").dropDuplicates(["a", "b", "basket", "cnt", "_h1", "_h2"])
+    events = kept.repartition("a", "b", "basket").distinct()
     uni = common.read(spark, sf_dir, "ngram_uni").where(counted_word(F.col("midasi"))).select("shard_id", "document_id", "midasi", "repname", "word_class", "cnt").distinct()
     return events.select("a", "b", "basket", "cnt"), uni
 
@@ -174,12 +182,15 @@ def p2_surprise(spark, sf_dir: str) -> DataFrame:
     got = surprise(pairs, sizes)
     n_a = n.where("repname is not null").select(F.col("repname").alias("a"), F.col("n").alias("n_a"))
     n_b = n.where("repname is not null").select(F.col("repname").alias("b"), F.col("n").alias("n_b"))
-    got = got.join(n_a, "a", "left").join(n_b, "b", "left")
+    # an item's occurrences bound its pairs only loosely: hot is what holds a large share of them
+    got = common.join_hot(got, n_a.withColumn("k", F.col("n_a")), ["a"], "k", "left")
+    got = common.join_hot(got, n_b.withColumn("k", F.col("n_b")), ["b"], "k", "left")
     return got.select(F.col("a").alias("repname_a"), F.col("b").alias("repname_b"), "n_ab", F.col("baskets").alias("docs"), "n_a", "n_b", F.lit(total).cast("long").alias("n_all"), "expected_slots", "p_value", "significant")
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    """Pairs far beyond chance: at least 8 times in at least 5 documents, ten times the product of the single shares."""
-    got = p2_surprise(spark, sf_dir).where("n_ab >= 8 and docs >= 5 and n_a is not null and n_b is not null")
+    """Pairs far beyond chance: significant under the null at the false-discovery rate, at least 8 times in at least 5
+    documents, and ten times the product of the single shares."""
+    got = p2_surprise(spark, sf_dir).where("significant and n_ab >= 8 and docs >= 5 and n_a is not null and n_b is not null")
     wide = "decimal(38,0)"
     return got.where(F.col("n_ab").cast(wide) * F.col("n_all") >= F.col("n_a").cast(wide) * F.col("n_b") * 10).select("repname_a", "repname_b")
