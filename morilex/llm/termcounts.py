@@ -143,12 +143,18 @@ class TermCounts:
         # one shuffle by the whole record: no key is hot, however skewed documents or terms are
         state = delta.groupBy(*cols).agg(F.sum("_was").cast("int").alias("_old"), F.signum(F.sum("_sign")).cast("int").alias("_net"))
         state = state.withColumn("_new", F.when(F.col("_net") > 0, 1).when(F.col("_net") < 0, 0).otherwise(F.col("_old")))
-        state = common.written(state.where("_old = 1 or _new = 1").select(*cols, F.col("_old").cast("byte"), F.col("_new").cast("byte")), "term-state")
-        changed = state.where("_old <> _new").select(*cols, (F.col("_new") - F.col("_old")).cast("int").alias("_sign"))
-        rows = changed.count()
-        if not rows:
+        if runs:
+            state = common.written(state.where("_old = 1 or _new = 1").select(*cols, F.col("_old").cast("byte"), F.col("_new").cast("byte")), "term-state")
+            changed = state.where("_old <> _new").select(*cols, (F.col("_new") - F.col("_old")).cast("int").alias("_sign"))
+            rows = changed.count()
+            records = self._append(changed, "records", rows) if rows else None
+        else:  # the first batch: all that is live is its run
+            rows = changes.count()
+            records = self._append(state.where("_new = 1").select(*cols, F.lit(1).alias("_sign")), "records", rows) if rows else None
+        if not records:
             return
-        records = self._append(changed, "records", rows)
+        if not runs:
+            state = self._load("records", [records]).select(*cols, F.lit(0).cast("byte").alias("_old"), F.lit(1).cast("byte").alias("_new"))
 
         # signed changes of every (term, document) whose records changed
         named = F.array(*[F.struct(F.lit(t).alias("field"), F.when(self.counts_if, F.col(t)).alias("term")) for t in self.terms])
