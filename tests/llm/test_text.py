@@ -1,5 +1,6 @@
 """Problems 1, 5, 6, 7 against fixtures and brute force."""
 
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -81,6 +82,58 @@ def test_round_trip_of_what_can_be_restored(true, wrong):
     assert mojibake.repair(twice) == (TEXTS[2], "restored")
 
 
+LONG = "昨日は図書館でとても古い本を借りて、庭でゆっくり読んだ。"
+LEGACY = [(LONG, "euc_jp"), (LONG, "cp932"), ("昨天我们在图书馆借了一本很旧的书，我在家里看了很久。", "gbk"), ("昨天我們在圖書館借了一本很舊的書，我在家裡看了很久。", "big5"), ("어제 도서관에서 아주 오래된 책을 빌려서 정원에서 천천히 읽었다.", "euc_kr"), ("вчера мы взяли старую книгу в библиотеке и долго читали", "cp1251"), ("вчера мы взяли старую книгу в библиотеке и долго читали", "koi8_r"), ("เมื่อวานนี้เรายืมหนังสือเก่าจากห้องสมุด", "cp874")]
+
+
+@pytest.mark.parametrize("text, codec", LEGACY)
+def test_legacy_bytes_read_as_latin(text, codec):
+    assert mojibake.repair(text.encode(codec).decode("latin-1")) == (text, "restored")
+
+
+def test_legacy_bytes_that_fit_several_encodings_are_lost():
+    bad = "雨毒和".encode("euc_jp").decode("latin-1")
+    assert mojibake.repair(bad) == (bad, "lost")
+    assert mojibake.repair(bad, "ja") == ("雨毒和", "restored")
+
+
+@pytest.mark.parametrize("true, wrong", [("koi8_r", "cp1251"), ("cp1251", "koi8_r")])
+def test_cyrillic_read_as_other_cyrillic(true, wrong):
+    text = "Вчера мы взяли старую книгу в библиотеке"
+    assert mojibake.repair(text.encode(true).decode(wrong)) == (text, "restored")
+    assert mojibake.repair("ВЧЕРА МЫ ВЗЯЛИ СТАРУЮ КНИГУ") == ("ВЧЕРА МЫ ВЗЯЛИ СТАРУЮ КНИГУ", "clean")
+
+
+@pytest.mark.parametrize("layers", range(1, 8))
+def test_any_number_of_layers(layers):
+    bad = TEXTS[2]
+    for _ in range(layers):
+        bad = bad.encode().decode("latin-1")
+    assert mojibake.repair(bad) == (TEXTS[2], "restored")
+
+
+def test_search_in_batches_misses_nothing():
+    rng = np.random.default_rng(6)
+    codecs = ["utf-8", "euc_jp", "cp932", "gbk", "big5", "euc_kr", "koi8_r", "cp1251", "cp866", "latin-1", "cp1252", "mac_roman"]
+    texts = [*TEXTS, LONG, *[t for t, _ in LEGACY], "a" * 3000, "été à l'œuvre", "路旗徳", "ﾀﾛｶ"]
+    for _ in range(600):
+        t, a, b = str(rng.choice(texts[:14])), str(rng.choice(codecs)), str(rng.choice(codecs))
+        i, j = sorted(rng.integers(0, len(t) + 1, 2))
+        texts.append(t[:i] + t[i:j].encode(a, "ignore").decode(b, "replace") + t[j:])
+    assert mojibake.repair_all([*texts, None, "", *texts]) == [mojibake.repair(t) for t in [*texts, None, "", *texts]]
+
+
+def test_time_grows_with_length():
+    def took(n):
+        text = ("かな漢字" + "ﾀﾛｶ表記".encode().decode("cp932", "replace") + "¤³¤ì¤Ï") * n
+        began = time.perf_counter()
+        mojibake.repair_all([text])
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16_000) < 8 * took(4_000) + 0.5
+
+
 @pytest.mark.parametrize("text", [None, "", "plain", "価格$B級", "正規表現の \\d+ と \\xff", "ΩとΔ £5 ½", "ｱｸｱﾄﾞﾗｲを見た｡", "さて､日記のｵｱﾎｰﾎﾟが軽い｡", "« Où ? » demanda-t-elle…", "„Wo ist das?“, fragte er.", "塔姆莉莉", "글자를 읽었다."] + TEXTS)
 def test_clean_text_is_left_alone(text):
     assert mojibake.repair(text) == (text, "clean")
