@@ -31,6 +31,9 @@ from pyspark.sql.classic.column import Column as _column
 from . import common
 from .mojibake import repair_udf
 
+#: Marked as not deterministic so that it stays above the join: only members of classes with several texts are judged.
+_judged = repair_udf.asNondeterministic()
+
 # Letters of other scripts that look like the second of the pair.
 LATIN_LOOKALIKES = {
     "АВЕЅІЈКМНОРСТУХ": "ABESIJKMHOPCTYX",
@@ -155,7 +158,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     v = values(spark, sf_dir, lines_only=True).where(F.col("text").isNotNull())
     keyed = keyed_texts(v, ["tbl"], "text")
     members = common.join_hot(keyed, classes(keyed, ["tbl"], "text"), ["tbl", "key"], "n_texts").select("tbl", "key", "text", "n")
-    clean = common.written(members.withColumn("_state", repair_udf("text")["state"]).where("_state = 'clean'").drop("_state"), "look-alike-members")
+    clean = common.written(members.withColumn("_state", _judged("text")["state"]).where("_state = 'clean'").drop("_state"), "look-alike-members")
     ids = common.written(common.join_hot(v.distinct(), clean.select("tbl", "text", "n"), ["tbl", "text"], "n"), "look-alike-rows")
     # pairs of distinct texts, the more frequent one first
     side = lambda x: clean.select("tbl", "key", F.col("text").alias(f"text_{x}"), F.col("n").alias(f"n_{x}"))
