@@ -3,12 +3,15 @@
 Method: document-centred disambiguation. Where a full stop may end an abbreviation, the unambiguous occurrences of the same
 word elsewhere in the document decide whether it is one (it stands before a small letter, a digit or a comma with its
 stop; or it occurs in running text without), and whether the capitalised word that follows is a proper name (capitalised
-inside a sentence) or a common word (written small). Where the document says nothing, the whole corpus is asked. Scripts
-without spaces or stops have their own terminators: ideographic marks for Japanese and Chinese, spaces for Thai.
-
-Plan: ambiguous sites (block, word, follower) are found in one pass; evidence is counted for the words of sites only, by
-(document, word) with map-side sums, so that no document is gathered in one place; the verdicts of a block's own sites
-come back to it as a short list. Defined results: a null or blank block has no sentences; the last sentence ends the
+inside a sentence) or a common word (written small). Whether a figure with a stop is an ordinal is decided by how often the
+word after it stands after such figures and how often it starts a sentence elsewhere. Where the document says nothing, the
+whole corpus is asked, and only where that is silent as well do the short lists below decide. Scripts without spaces or
+stops have their own terminators: ideographic marks for Japanese and Chinese, spaces for Thai.
+
+Plan: ambiguous sites (block, word, follower) are found in one pass. Their words set bits in a map of fixed size, by which
+the evidence pass leaves out all other words; evidence is counted by (document, word) with map-side sums, so that no
+document is gathered in one place; the verdicts of a block's own sites come back to it as a short list. All passes over a
+text take time in proportion to its length. Defined results: a null or blank block has no sentences; the last sentence ends the
 block; what stands in quotes or brackets inside a sentence is not split off; a document_id that is null counts only the
 corpus; repeated rows give repeated evidence but one result.
 """
@@ -16,8 +19,12 @@ corpus; repeated rows give repeated evidence but one result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,52 +45,69 @@ _GOES_ON = re.compile(r"(?:と(?!ころ|にかく|りあえず|なり|もだ|し
 _NUMBER = re.compile(r"\d|[０-９]")
 
 
+_KANA, _HAN, _THAI, _HANGUL, _LETTER = re.compile("[ぁ-ヿ]"), re.compile("[一-鿿]"), re.compile("[ก-๛]"), re.compile("[가-힣]"), re.compile(r"[^\W\d_]")
+_FILLED = re.compile(r"\S")
+
+
 def script(text: str) -> str:
     """'ja', 'zh', 'th', 'ko' or 'spaced': by the letters that stand in the text."""
-    n = Counter()
-    for c in text:
-        if "ぁ" <= c <= "ヿ":
-            n["ja"] += 3
-        elif "一" <= c <= "鿿":
-            n["zh"] += 2
-        elif "ก" <= c <= "๛":
-            n["th"] += 1
-        elif "가" <= c <= "힣":
-            n["ko"] += 2
-        elif c.isalpha():
-            n["spaced"] += 1
-    if n["ja"] and n["ja"] * 10 >= n["zh"] and n["ja"] + n["zh"] >= n["spaced"]:
+    if text.isascii():
+        return "spaced"
+    kana, han, thai, hangul = (len(p.findall(text)) for p in (_KANA, _HAN, _THAI, _HANGUL))
+    others = len(_LETTER.findall(text)) - len(re.findall("[ぁ-ゖゝ-ゟァ-ヺー-ヿ]", text)) - han - len(re.findall("[ก-ะาำเ-ๆ]", text)) - hangul
+    n = {k: v for k, v in (("ja", 3 * kana), ("zh", 2 * han), ("th", thai), ("ko", 2 * hangul), ("spaced", others)) if v > 0}
+    if n.get("ja") and n["ja"] * 10 >= n.get("zh", 0) and n["ja"] + n.get("zh", 0) >= n.get("spaced", 0):
         return "ja"
     return max(n, key=lambda k: (n[k], k)) if n else "spaced"
 
 
+def _filled(text: str, a: int, b: int) -> bool:
+    """Whether something other than white space stands in text[a:b]."""
+    return a < b and _FILLED.search(text, a, b) is not None
+
+
+def _end(text: str, e: int) -> int:
+    """The end of text[:e] without white space behind."""
+    while e and text[e - 1].isspace():
+        e -= 1
+    return e
+
+
+_BRACKET = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + '"]')
+
+
 def _brackets(text: str) -> tuple[list[int], dict[int, int]]:
     """How many brackets or quotes are open at each character, and {end: start} of the outermost ones.
 
     A bracket that is never closed opens nothing.
     """
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing marks that open ones wait for
     pairs: list[tuple[int, int]] = []
     straight = -1
-    for i, c in enumerate(text):
+    for m in _BRACKET.finditer(text):
+        i, c = m.start(), m.group()
         if c == '"':
             if straight >= 0:
                 pairs.append((straight, i))
                 straight = -1
             else:
                 straight = i
-        elif c in _CLOSE and any(s == c for s, _ in stack):
+        elif c in _CLOSE and waiting[c]:
             while stack:
                 s, at = stack.pop()
+                waiting[s] -= 1
                 if s == c:
                     pairs.append((at, i))
                     break
         elif c in _OPEN:
             stack.append((_OPEN[c], i))
-    depth = [0] * (len(text) + 1)
+            waiting[_OPEN[c]] += 1
+    steps = [0] * (len(text) + 2)
     for a, b in pairs:
-        for i in range(a, b + 1):
-            depth[i] += 1
+        steps[a] += 1
+        steps[b + 1] -= 1
+    depth = list(accumulate(steps[: len(text) + 1]))
     outer: dict[int, int] = {}
     reach = -1
     for a, b in sorted(pairs):
@@ -115,15 +139,30 @@ def _past_tail(text: str, i: int) -> int:
     return i
 
 
+#: What may end a sentence, open or close a bracket, or begin a tail.
+_NOTABLE = re.compile("[\n" + _MARKS + re.escape("".join(_OPEN) + "".join(_CLOSE)) + '"oO笑泣wｗ＼\\\\ヽ♪♫☆★♡♥✨😀-🙏]')
+_NUMBERED = re.compile(r"[(（][\d０-９]+[)）]")
+
+
 def _wide(text: str, kind: str) -> list[int]:
     """Ends (exclusive) of the sentences of Japanese or Chinese text."""
     ends, n = [], len(text)
     depth, outer = _brackets(text)
+    closes, nearest = sorted(outer), 0
     i, start = 0, 0
     while i < n:
+        if not depth[i]:  # on to what may end a sentence or open a bracket
+            m = _NOTABLE.search(text, i)
+            if not m:
+                break
+            i = m.start()
+        if depth[i] and i not in outer:  # on to the end of the outermost bracket
+            while closes[nearest] < i:
+                nearest += 1
+            i = closes[nearest]
         c = text[i]
         if c == "\n":
-            if text[start:i].strip():
+            if _filled(text, start, i):
                 ends.append(i)
             start = i = i + 1
             continue
@@ -131,7 +170,7 @@ def _wide(text: str, kind: str) -> list[int]:
             if i in outer and i and text[i - 1] in _MARKS and c not in ")）]】":
                 # a quotation that ends in a mark: a sentence of its own unless something goes on
                 j = _past_tail(text, i + 1)
-                heads = not text[start : outer[i]].strip()
+                heads = not _filled(text, start, outer[i])
                 rest = text[j : j + 6].lstrip(" 　")
                 if not rest or text[j] == "\n":
                     pass  # the line's end closes it
@@ -166,13 +205,13 @@ def _wide(text: str, kind: str) -> list[int]:
             continue
         if kind == "ja" and i > start:
             m = _FACE.match(text, i)
-            if m and (text[i - 1] not in " 　" or True) and not (c in "(（" and re.match(r"[(（][\d０-９]+[)）]", text[i:])):
+            if m and not (c in "(（" and _NUMBERED.match(text, i)):
                 j = _past_tail(text, m.end())
                 ends.append(j)
                 start = i = j
                 continue
         i += 1
-    if text[start:].strip():
+    if _filled(text, start, n):
         ends.append(n)
     return ends
 
@@ -190,8 +229,6 @@ def _thai(text: str) -> list[int]:
     return [*ends, len(text)]
 
 
-_STOP = re.compile(r"[.!?…。？！]+")
-_WORD_BEFORE = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*)\Z")
 # Words before an ordinal that is written with a stop.
 _ORDINAL = re.compile(r"\b(?:[Aa]m|[Dd]e[rsmn]|[Vv]om|[Zz]um|[Bb]is|[Ss]eit|[Aa]b)\s+\d{1,2}\Z")
 # Titles that stand before names.
@@ -199,6 +236,22 @@ TITLES = frozenset("Prof Mme Mlle Sra Srta Dra Ing Rev Gen Capt Hon Fr Hr Frau H
 _VOWEL = re.compile(r"[aeiouyàâäéèêëíîïóôöúùûüáñæœаеёиоуыэюя]", re.I)
 _CASED = re.compile(r"[A-Za-zÀ-ɏͰ-ӿ]")
 _WORD_AFTER = re.compile(r"[^\w]*?([^\W\d_]+)")
+_SITE_STOP = re.compile(r"\.(?=\s+\S)")
+_EVIDENCE_WORD = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*)(\.?)(?=(\s*)(\S?))")
+_SPACED_STOP = re.compile(r"[.!?…。？！]+|\n")
+
+
+def _word_before(text: str, a: int, first: int = 0) -> str:
+    """The word that ends right before a, with stops inside it."""
+    k = a
+    while k > first and (text[k - 1].isalpha() or (text[k - 1] == "." and k < a and k - 1 > first and text[k - 2].isalpha())):
+        k -= 1
+    return text[k:a]
+
+
+def _figure_before(text: str, a: int) -> bool:
+    """Whether a figure of one or two digits ends right before a, inside a line."""
+    return bool(re.search(r"\S[ \u00a0]\d{1,2}\Z", text[max(0, a - 5) : a]))
 
 
 def _lines(text: str) -> str:
@@ -217,34 +270,50 @@ def sites(text: str) -> list[tuple[str, str]]:
     out = []
     if script(text) not in ("spaced", "ko"):
         return out
-    for m in re.finditer(r"\.(?=\s+\S)", text):
-        b = _WORD_BEFORE.search(text, max(0, m.start() - 24), m.start())
+    for m in _SITE_STOP.finditer(text):
         a = _WORD_AFTER.match(text, m.end())
-        if b and len(b.group(1)) <= 8:
-            out.append((b.group(1), a.group(1) if a else ""))  # a figure may follow as well
+        w = _word_before(text, m.start())
+        if w:
+            out.append((w, a.group(1) if a else ""))  # a figure may follow as well
+        elif a and _figure_before(text, m.start()):
+            out.append(("", a.group(1)))
     return out
 
 
-def evidence(text: str) -> list[tuple[str, str]]:
+def evidence(text: str, wanted=None) -> list[tuple[str, str]]:
     """(kind, word): 'abbr' with a stop before a small letter or comma; 'figure' and 'end' with a stop before a figure, or
-    before anything else; 'last' with the stop that ends the text; 'word' without a stop; 'small' and 'name': written small, or capitalised inside a sentence."""
+    before anything else; 'last' with the stop that ends the text; 'word' without a stop; 'small' and 'name': written small,
+    or capitalised inside a sentence; 'ordinal' and 'start': capitalised after a short figure, or a word, with a stop.
+    wanted(word, lower): whether a word may be of use."""
     out = []
     if script(text) not in ("spaced", "ko"):
         return out
     flat = text.replace("\n", " ")
-    for m in re.finditer(r"([^\W\d_]+(?:\.[^\W\d_]+)*)(\.?)(?=(\s*)(\S?))", flat):
-        w, stop, gap, nxt = m.groups()
-        if stop and len(w) <= 8:
-            goes_on = nxt.islower() and gap or nxt and nxt in ",;:"
-            out.append(("abbr" if goes_on else "figure" if nxt.isdigit() else "end" if nxt else "last", w))
-        elif not stop:
-            out.append(("word", w))
-        if w[0].islower():
-            out.append(("small", w.lower()))
-        else:
-            before = flat[: m.start()].rstrip()
-            if before and before[-1] not in ".!?…:¿¡«„“”\"'(—–-»":
-                out.append(("name", w.lower()))
+    for m in _EVIDENCE_WORD.finditer(flat):
+        w = m.group(1)
+        lower = w.lower()
+        own, next_ = (True, True) if wanted is None else (wanted("=" + w), wanted("~" + lower))
+        if not own and not next_:
+            continue
+        stop, gap, nxt = m.group(2), m.group(3), m.group(4)
+        if own:
+            if stop:
+                goes_on = nxt.islower() and gap or nxt and nxt in ",;:"
+                out.append(("abbr" if goes_on else "figure" if nxt.isdigit() else "end" if nxt else "last", w))
+            else:
+                out.append(("word", w))
+        if next_:
+            if w[0].islower():
+                out.append(("small", lower))
+            else:
+                e = _end(flat, m.start())
+                if e and flat[e - 1] not in ".!?…:¿¡«„“”\"'(—–-»":
+                    out.append(("name", lower))
+                elif e > 1 and flat[e - 1] == "." and e < m.start():
+                    if _figure_before(flat, e - 1):
+                        out.append(("ordinal", lower))
+                    elif flat[e - 2].isalpha():
+                        out.append(("start", lower))
     return out
 
 
@@ -266,6 +335,17 @@ def is_abbreviation(word: str, doc: dict, corpus: dict) -> bool:
     return word in TITLES or (len(word) <= 3 and word[0].isupper()) or (len(word) <= 4 and not _VOWEL.search(word))
 
 
+def after_ordinal(word: str, doc: dict, corpus: dict) -> bool | None:
+    """Whether a figure with a stop before this word is an ordinal; None if nothing tells."""
+    for seen in (doc, corpus):
+        ordinal, start = seen.get(("ordinal", word.lower()), 0), seen.get(("start", word.lower()), 0)
+        if ordinal >= 2 and ordinal > 2 * start:
+            return True
+        if start > ordinal:
+            return False
+    return None
+
+
 def starts_sentence(word: str, doc: dict, corpus: dict) -> bool:
     """Whether a capitalised word after an abbreviation starts a sentence: it is no proper name."""
     for seen in (doc, corpus):
@@ -279,12 +359,12 @@ def _spaced(text: str, kind: str, doc: dict, corpus: dict) -> list[int]:
     flat = _lines(text) if kind != "ko" else text
     ends, depth, n = [], _depths(flat), len(flat)
     start = 0
-    for m in re.finditer(r"[.!?…。？！]+|\n", flat):
+    for m in _SPACED_STOP.finditer(flat):
         a, b = m.span()
         if a < start:
             continue
         if m.group() == "\n":
-            if not depth[a] and flat[start:a].strip() and (kind != "ko" or re.search(r"[.!?…”\"」)]\s*\Z", flat[:a])):
+            if not depth[a] and _filled(flat, start, a) and (kind != "ko" or flat[_end(flat, a) - 1] in ".!?…”\"」)"):
                 ends.append(a)
                 start = b
             continue
@@ -305,34 +385,36 @@ def _spaced(text: str, kind: str, doc: dict, corpus: dict) -> list[int]:
         while j < n and (TAIL.match(flat, j + 1) if flat[j] == " " else None):
             j = TAIL.match(flat, j + 1).end()
             b = j
-        rest = flat[b:]
-        gap = len(rest) - len(rest.lstrip())
-        if not rest.strip():
+        following = _FILLED.search(flat, b)
+        if not following:
             break
-        if not gap:
+        if following.start() == b:
             continue  # inside a figure, an address or an abbreviation
-        head = re.sub(r"^[\s—–\-]+", "", rest[:40])
+        head = re.sub(r"^[\s—–\-]+", "", flat[following.start() : following.start() + 40])
         first = re.sub(r"^[^\w]+", "", head)[:1]
         if first.islower() and not flat[a:b].startswith("…") and not re.match(r"[«„“\"¿¡]", head):
             continue
         if first.islower():
             continue
         if m.group() == ".":
-            w = _WORD_BEFORE.search(flat, max(0, a - 24), a)
-            if w and len(w.group(1)) <= 8 and _CASED.match(w.group(1)) and is_abbreviation(w.group(1), doc, corpus):
+            w = _word_before(flat, a, start)
+            if w and _CASED.match(w) and is_abbreviation(w, doc, corpus):
                 if first.isdigit():
                     continue
                 nxt = _WORD_AFTER.match(flat, b)
                 if nxt and not starts_sentence(nxt.group(1), doc, corpus):
                     continue
-        if m.group() == "." and _ORDINAL.search(flat, max(0, a - 16), a):
-            continue  # a day of the month, not the end
+            if not w and _figure_before(flat, a):
+                nxt = _WORD_AFTER.match(flat, b)
+                told = after_ordinal(nxt.group(1), doc, corpus) if nxt else None
+                if told or (told is None and _ORDINAL.search(flat, max(0, a - 16), a)):
+                    continue  # a day of the month, not the end
         # a figure that numbers what follows goes with it
-        if m.group() == "." and re.search(r"(?:^|\s)\d{1,3}\Z", flat[start:a]) and not re.search(r"[^\W\d_]", flat[start:a]):
+        if m.group() == "." and not _LETTER.search(flat, start, a) and re.search(r"(?:^|\s)\d{1,3}\Z", flat[max(start, a - 4) : a]):
             continue
         ends.append(b)
         start = b
-    if flat[start:].strip():
+    if _filled(flat, start, n):
         ends.append(n)
     return ends
 
@@ -345,40 +427,57 @@ def split(text: str | None, doc: dict | None = None, corpus: dict | None = None)
     ends = _wide(text, kind) if kind in ("ja", "zh") else _thai(text) if kind == "th" else _spaced(text, kind, doc or {}, corpus or {})
     out = []
     for e in ends:
-        e = len(text[:e].rstrip())
-        if e and (not out or e > out[-1]) and text[out[-1] if out else 0 : e].strip():
+        e = _end(text, e)
+        if e and (not out or e > out[-1]) and _filled(text, out[-1] if out else 0, e):
             out.append(e)
-    last = len(text.rstrip())
+    last = _end(text, len(text))
     if out and out[-1] != last:
         out[-1] = last
     return out
 
 
-_SITE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("document_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("word", T.StringType())])
+_SITE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("document_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("bit", T.IntegerType())])
 _EVIDENCE = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 _END = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("sentence", T.StringType())])
 
 
+_OF_WORD, _OF_NEXT = ("abbr", "figure", "end", "last", "word"), ("small", "name", "ordinal", "start")
+#: Bits of the map of words that are asked for: fixes what is collected and broadcast; more words only mean more chance hits.
+BITS = 1 << 20
+
+
+@lru_cache(200_000)
+def _bit(key: str) -> int:
+    """key: '=' and a word, or '~' and a word in small letters."""
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % BITS
+
+
 def _find_sites(batches):
     for b in batches:
         rows = []
         for i, d, t in zip(*(b.column(c).to_pylist() for c in ("row_id", "document_id", "raw"))):
             for w, nxt in set(sites(t)):
-                rows += [(i, d, k, w) for k in ("abbr", "figure", "end", "last", "word")]
+                if w:
+                    rows += [(i, d, k, w, _bit("=" + w)) for k in _OF_WORD]
                 if nxt:
-                    rows += [(i, d, "small", nxt.lower()), (i, d, "name", nxt.lower())]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=_SITE.names)
+                    nxt = nxt.lower()
+                    rows += [(i, d, k, nxt, _bit("~" + nxt)) for k in _OF_NEXT]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()))], names=_SITE.names)
 
 
-def _find_evidence(batches):
-    for b in batches:
-        n: Counter = Counter()
-        for d, t in zip(b.column("document_id").to_pylist(), b.column("raw").to_pylist()):
-            for k, w in evidence(t):
-                n[(d, k, w)] += 1
-        cols = list(zip(*n)) if n else [[]] * 3
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=_EVIDENCE.names)
+def _find_evidence(bits):
+    def run(batches):
+        here = bits.value
+        for b in batches:
+            n: Counter = Counter()
+            for d, t in zip(b.column("document_id").to_pylist(), b.column("raw").to_pylist()):
+                for k, w in evidence(t, lambda key: here[_bit(key)]):
+                    n[(d, k, w)] += 1
+            cols = list(zip(*n)) if n else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=_EVIDENCE.names)
+
+    return run
 
 
 def _split_rows(batches):
@@ -400,13 +499,16 @@ def _split_rows(batches):
 def sentences_of(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
     """blocks, corpus(row_id, document_id, raw) -> (row_id, place, start_char, end_char, sentence)."""
     blocks = blocks.where(F.col("raw").isNotNull()).select("row_id", "document_id", "raw")
-    asked = common.written(common.spread(blocks).mapInArrow(_find_sites, _SITE), "sites").distinct()
+    asked = common.written(common.spread(blocks).mapInArrow(_find_sites, _SITE).distinct(), "sites")
+    bits = np.zeros(BITS, dtype=bool)
+    bits[[r[0] for r in asked.select("bit").distinct().collect()]] = True  # at most BITS rows
+    asked = asked.drop("bit")
     spaced = corpus.where(F.col("raw").isNotNull()).select("document_id", "raw")
-    counted = common.spread(spaced).mapInArrow(_find_evidence, _EVIDENCE)
+    counted = common.spread(spaced).mapInArrow(_find_evidence(blocks.sparkSession.sparkContext.broadcast(bits)), _EVIDENCE)
     wanted = asked.select("kind", "word").distinct()
-    seen = common.written(counted.join(wanted, ["kind", "word"], "left_semi").groupBy("document_id", "kind", "word").agg(F.sum("n").alias("n")), "evidence")
+    seen = common.written(counted.groupBy("document_id", "kind", "word").agg(F.sum("n").alias("n")).join(wanted, ["kind", "word"], "left_semi"), "evidence")
     everywhere = seen.groupBy("kind", "word").agg(F.sum("n").alias("in_corpus"))
-    verdicts = asked.join(seen.where("document_id is not null").withColumnRenamed("n", "in_doc"), ["document_id", "kind", "word"], "left").join(everywhere, ["kind", "word"], "left")
+    verdicts = asked.join(seen.where("document_id is not null").withColumnRenamed("n", "in_doc"), ["document_id", "kind", "word"], "left").join(everywhere, ["kind", "word"], "left").where("in_doc is not null or in_corpus is not null")
     # as long as the block's own list of sites
     lists = verdicts.groupBy("row_id").agg(F.collect_set(F.struct("kind", "word", "in_doc", "in_corpus")).alias("seen"))
     return blocks.join(lists, "row_id", "left").select("row_id", "raw", "seen").mapInArrow(_split_rows, _END)

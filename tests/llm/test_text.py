@@ -248,6 +248,45 @@ def test_abbreviations_by_document_then_corpus():
     assert len(sentences.split(text, {("abbr", "Xan"): 2, ("small", "tandrik"): 1}, {})) == 3
 
 
+def test_ordinals_by_evidence_then_the_list():
+    text = "Er kam zu uns, und zwar noch 6. Brumal sagte er. Dann ging er."
+    assert len(sentences.split(text)) == 3
+    assert len(sentences.split(text, {}, {("ordinal", "brumal"): 3, ("start", "brumal"): 1})) == 2
+    assert len(sentences.split("Am 6. Mai kam sie.", {}, {("start", "mai"): 3})) == 2  # evidence goes before the list
+    assert ("ordinal", "mai") in sentences.evidence("Sie kam am 6. Mai und blieb.") and ("start", "dann") in sentences.evidence("Sie kam. Dann ging sie.")
+
+
+def test_abbreviations_of_any_length():
+    text = "Die Verwaltungsabteilungsltg. Tandrik schrieb. Ende."
+    assert ("Verwaltungsabteilungsltg", "Tandrik") in sentences.sites(text)
+    assert len(sentences.split(text, {}, {("abbr", "Verwaltungsabteilungsltg"): 4})) == 2
+
+
+@pytest.mark.parametrize("unit", ["「あ。」と言った（笑）。次は「い。」だ。", 'Dr. Tan came (he left. No). "So e.g. this." ', "（", "「「あ。", "A. B. C. ", " \n", "\"a.", "เมื่อวาน พ่อ "])
+def test_time_of_long_texts_grows_with_length(unit):
+    def took(n):
+        text = unit * (n // len(unit))
+        began = time.perf_counter()
+        sentences.split(text)
+        sentences.evidence(text)
+        sentences.sites(text)
+        return time.perf_counter() - began
+
+    took(50_000)
+    assert took(800_000) < 8 * took(200_000) + 0.5
+
+
+def test_ten_megabytes():
+    text = "He met Dr. Tan in the garden. " * 350_000
+    began = time.perf_counter()
+    assert len(sentences.split(text)) == 350_000 and time.perf_counter() - began < 60
+
+
+def test_evidence_keeps_to_the_words_that_are_asked_for():
+    text = "He saw Dr. Tan again. The tan dog."
+    assert set(sentences.evidence(text, lambda key: key in ("=Dr", "~tan"))) == {x for x in sentences.evidence(text) if x[1] == "Dr" or x[1] == "tan" and x[0] in ("small", "name", "start")}
+
+
 @pytest.mark.parametrize("text, ends", [(None, []), ("", []), (" \n", []), ("。", [1]), ("あ", [1]), ("（あ。", [3]), ("a" * 50_000, [50_000])])
 def test_odd_blocks(text, ends):
     assert sentences.split(text) == ends
