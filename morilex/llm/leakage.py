@@ -5,15 +5,20 @@ item holds one of its quarters whole. Quarters are partitioned by size, a factor
 upper bound u, documents are looked at through windows of 2u shingles that start every u shingles, so each quarter stands
 whole in some window and the Jaccard similarity that a given containment implies is bounded from below (0.24 at 80 %).
 With 32 hash functions, bands of one row and three equal minima asked for, half an item is missed with probability under
-1 %. Windows in which no shingle is the minimum of any quarter cannot match and are not sketched. Candidates are verified
-by the exact containment of shingles, and the passage is followed across scattered one-character slips; its share of the
-item decides.
+1 %. Windows in which no shingle is the minimum of any quarter of the partition cannot match and are not sketched.
+Candidates are verified by the exact containment of shingles, and the passage is followed across scattered one-character
+slips; its share of the item decides.
 
-Plan: the items (a fixed query set) are broadcast in blocks of at most MAX_ITEMS_CHARS characters, each block in one pass
-over all documents, in Arrow batches, without any shuffle of text; only (doc_id, item_id) is made distinct at the end.
+Shingles have SHINGLE characters for items of SMALL characters and more. Quarters of shorter items hold too few of them for
+a sketch to be smaller than the set itself: such items are searched by all of their (shorter) shingles, SIZES by length,
+and verified in the same way; items under SIZES' last length by any stretch of half their characters.
 
-Defined results: null and empty texts and items have no passages, rows without an id are left out; items shorter than a shingle are found only if nothing
-else is asked of them than to stand whole in a document; equal items are found each under its own id.
+Plan: the items (a fixed query set) become flat arrays once, on the driver, in blocks of at most MAX_ITEMS_CHARS characters
+(about 60 bytes a character); each block is broadcast and searched in one pass over all documents, in Arrow batches,
+without any shuffle of text; only (doc_id, item_id) is made distinct at the end.
+
+Defined results: null and empty texts and items have no passages, nor have items without letters or digits; rows without
+an id are left out; equal items are found each under its own id.
 """
 
 from __future__ import annotations
@@ -32,10 +37,13 @@ from pyspark.sql import types as T
 from . import common
 
 SHINGLE, HASHES, SHARE, PARTS = 12, 32, 0.5, 4
+#: Items under SMALL characters are searched by all of their shingles: (least length, characters of a shingle).
+SMALL = 4 * (SHINGLE + 6)
+SIZES = ((24, 6), (12, 3))
 #: Equal minima of an item and a document that make a candidate; distinct shared shingles, as a share of the item, that
 #: the exact containment asks for before a passage is followed.
 LEAST_MATCHES, LEAST_CONTAINMENT = 3, 0.12
-MAX_ITEMS_CHARS = 8_000_000
+MAX_ITEMS_CHARS = 2_000_000
 BATCH_CHARS = 1_000_000
 _DROP = re.compile(r"[\W_]+")
 _MULT = (np.random.default_rng(20240229).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -50,28 +58,28 @@ def plain(text: str) -> str:
     return _DROP.sub("", text.lower())
 
 
-def shingles(text: str) -> np.ndarray:
-    """64-bit hashes of the shingles that start at each character (the last SHINGLE - 1 starts are left out)."""
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles that start at each character (the last size - 1 starts are left out)."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(c) - SHINGLE + 1
+    n = len(c) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
         c = (c + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15)
         c ^= c >> np.uint64(29)
         h = np.zeros(n, dtype=np.uint64)
-        for j in range(SHINGLE):
+        for j in range(size):
             h = h * np.uint64(0xD6E8FEB86659FD93) + c[j : j + n]
         h ^= h >> np.uint64(32)
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _csr(table: dict[int, set[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """{key: values} as sorted keys, offsets and values."""
-    keys = sorted(table)
-    values = [sorted(table[x]) for x in keys]
-    offsets = np.cumsum([0] + [len(v) for v in values])
-    return np.array(keys, dtype=np.uint64), offsets, np.array([x for v in values for x in v], dtype=np.int64)
+def _csr(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, value) pairs as sorted distinct keys, offsets and values."""
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    distinct, first = np.unique(keys, return_index=True)
+    return distinct, np.append(first, len(keys)), values
 
 
 def _expand(which: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,44 +90,65 @@ def _expand(which: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple
     return owner, values[offsets[which][owner] + within]
 
 
+class Postings:
+    """Where the shingles of one size stand in the items that are searched by them: flat arrays."""
+
+    def __init__(self, size: int, texts: list[str], which: list[int]):
+        self.size, self.which = size, np.array(which, dtype=np.int64)
+        own = [shingles(texts[k], size) for k in which]
+        self.lengths = np.array([len(texts[k]) for k in which], dtype=np.int64)
+        key = np.concatenate([np.zeros(0, np.uint64), *own])
+        item = np.repeat(np.arange(len(which)), [len(h) for h in own])
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in own]])
+        # values: number of the item in `which`, and the place in it
+        self.keys, self.offsets, self.values = _csr(key, (item << 32) | place)
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in h where a shingle of an item stands, its number among the keys)."""
+        at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+        if not len(at) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[which] == h[at]
+        return at[same], which[same]
+
+    def places(self, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For known places: (place in the text, shingle, item, place in the item), one row for each posting."""
+        owner, value = _expand(which, self.offsets, self.values)
+        return at[owner], which[owner], self.which[value >> 32], value & 0xFFFFFFFF
+
+
 class Items:
-    """The search structure of a block of items; each task builds it from the broadcast texts."""
+    """The search structure of a block of items: flat arrays, built once and broadcast."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
         self.text = [plain(t) for _, t in rows]
-        self.size = np.array([len(t) for t in self.text])
-        self.index: list[dict[int, list[int]]] = []
-        parts: dict[int, list[dict[int, set[int]]]] = defaultdict(lambda: [defaultdict(set) for _ in range(HASHES)])
-        every: dict[int, set[int]] = defaultdict(set)
-        minima: set[int] = set()
-        self.short: list[int] = []
-        for k, t in enumerate(self.text):
-            h = shingles(t)
-            at = defaultdict(list)
-            for j, x in enumerate(h.tolist()):
-                at[x].append(j)
-                every[x].add(k)
-            self.index.append(dict(at))
-            if len(h) == 0:
-                if t:
-                    self.short.append(k)
-                continue
-            step = max(1, -(-len(t) // PARTS))
-            for a in range(0, len(t), step):
+        self.size = np.array([len(t) for t in self.text], dtype=np.int64)
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k, n in enumerate(self.size.tolist()):
+            if n:
+                by_size[SHINGLE if n >= SMALL else next((s for least, s in SIZES if n >= least), -(-n // 2))].append(k)
+        self.main = Postings(SHINGLE, self.text, by_size.pop(SHINGLE, []))
+        self.small = [Postings(s, self.text, own) for s, own in sorted(by_size.items())]
+        minima: dict[int, list[list]] = defaultdict(lambda: [[] for _ in range(HASHES)])
+        for k in self.main.which.tolist():
+            h, n = shingles(self.text[k]), int(self.size[k])
+            step = -(-n // PARTS)
+            for a in range(0, n, step):
                 own = h[a : max(a + step - SHINGLE + 1, a + 1)]
-                if not len(own):
-                    continue
-                bound = self.bound(len(own))
-                for f in range(HASHES):
-                    low = int(own[np.argmin(own * _MULT[f])])
-                    parts[bound][f][low].add(k)
-                    minima.add(low)
-        self.parts = {bound: [_csr(t) for t in tables] for bound, tables in parts.items()}
-        self.minima = np.array(sorted(minima), dtype=np.uint64)
-        self.all = _csr(every)
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.all[0] >> np.uint64(42)).astype(np.int64)] = True
+                if len(own):
+                    with np.errstate(over="ignore"):
+                        low = own[np.argmin(own[None, :] * _MULT[:, None], axis=1)]
+                    for f in range(HASHES):
+                        minima[self.bound(len(own))][f].append((int(low[f]), k))
+        self.parts, self.minima = {}, {}
+        for bound, tables in minima.items():
+            pairs = [(np.array([x for x, _ in t], dtype=np.uint64), np.array([k for _, k in t], dtype=np.int64)) for t in tables]
+            self.parts[bound] = [_csr(*p) for p in pairs]
+            self.minima[bound] = np.unique(np.concatenate([x for x, _ in pairs]))
 
     @staticmethod
     def bound(n: int) -> int:
@@ -158,20 +187,18 @@ def passage(a: str, b: str, i: int, j: int, size: int) -> tuple[int, int]:
     return run(i, j, -1), run(i + size - 1, j + size - 1, 1)
 
 
-def verify(items: Items, k: int, text: str, places: list[int], h: list[int]) -> bool:
-    """Whether at least SHARE of item k stands in the text as one passage; places: where shingles (h) of it stand."""
-    a, index = items.text[k], items.index[k]
+def verify(a: str, text: str, places: list[int], own: list[int], size: int) -> bool:
+    """Whether at least SHARE of item a stands in the text as one passage; its shingles stand at own in it, at places here."""
     need = SHARE * len(a)
     done: dict[int, int] = {}  # diagonal -> where the passage on it ends
-    for j, x in zip(places, h):
-        for i in index[x]:
-            d = j - i
-            if any(done.get(d + s, -1) >= j for s in (0, -1, 1, -2, 2)) or a[i : i + SHINGLE] != text[j : j + SHINGLE]:
-                continue
-            lo, hi = passage(a, text, i, j, SHINGLE)
-            if hi - lo + 1 >= need:
-                return True
-            done[d] = max(done.get(d, -1), d + hi)
+    for j, i in zip(places, own):
+        d = j - i
+        if any(done.get(d + s, -1) >= j for s in (0, -1, 1, -2, 2)) or a[i : i + size] != text[j : j + size]:
+            continue
+        lo, hi = passage(a, text, i, j, size)
+        if hi - lo + 1 >= need:
+            return True
+        done[d] = max(done.get(d, -1), d + hi)
     return False
 
 
@@ -181,12 +208,12 @@ def candidates(items: Items, h: np.ndarray, doc_of: np.ndarray, known: np.ndarra
     h: shingle hashes of a stretch of text; doc_of: the document of each; known: where shingles of items stand.
     """
     none = np.zeros(0, dtype=np.int64)
-    maybe = known[np.isin(h[known], items.minima)]
-    if not len(maybe):
-        return none
     n, seen = len(items.ids), []
     with np.errstate(over="ignore"):
         for tag, (bound, tables) in enumerate(items.parts.items()):
+            maybe = known[np.isin(h[known], items.minima[bound])]
+            if not len(maybe):
+                continue
             width = 2 * bound
             last = maybe // bound
             windows = np.unique(np.concatenate([last, np.maximum(last - 1, 0)]))
@@ -215,48 +242,50 @@ def candidates(items: Items, h: np.ndarray, doc_of: np.ndarray, known: np.ndarra
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType())])
 
 
+def _verified(items: Items, post: Postings, rows: tuple, doc_of: np.ndarray, starts: np.ndarray, plains: list[str], least: float) -> list[tuple[int, int]]:
+    """(document, item) of the postings that hold, for each document and item together."""
+    place, shingle, item, own = rows
+    n = len(items.ids)
+    pair = doc_of[place] * n + item
+    order = np.lexsort((place, pair))
+    place, shingle, own, pair = place[order], shingle[order], own[order], pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
+    found = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pair)]):
+        d, k = divmod(int(pair[a]), n)
+        if len(np.unique(shingle[a:b])) >= least * items.size[k] and verify(items.text[k], plains[d], (place[a:b] - starts[d]).tolist(), own[a:b].tolist(), post.size):
+            found.append((d, k))
+    return found
+
+
 def leaks_of(items: Items, ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
     """(doc_id, item_id) for a batch of documents."""
     found: list[tuple[int, int]] = []
     at, n = 0, len(items.ids)
-    plains = [plain(t) for t in texts]
     gap = "\0" * SHINGLE
-    while at < len(plains):
-        end, size = at, 0
-        while end < len(plains) and (end == at or size + len(plains[end]) < BATCH_CHARS):
-            size += len(plains[end]) + SHINGLE
+    while at < len(texts):
+        end, size, plains = at, 0, []
+        while end < len(texts) and (end == at or size + len(texts[end]) < BATCH_CHARS):
+            plains.append(plain(texts[end]))
+            size += len(texts[end]) + SHINGLE
             end += 1
-        lengths = np.array([len(t) + SHINGLE for t in plains[at:end]])
+        lengths = np.array([len(t) + SHINGLE for t in plains])
         starts = np.cumsum(lengths) - lengths
-        h = shingles(gap.join(plains[at:end]) + gap)
-        doc_of = np.repeat(np.arange(end - at), lengths)[: len(h)]
-        keys, offsets, values = items.all
-        known = np.flatnonzero(items.bits[(h >> np.uint64(42)).astype(np.int64)])
-        if len(known) and len(keys):
-            which = np.minimum(np.searchsorted(keys, h[known]), len(keys) - 1)
-            same = keys[which] == h[known]
-            known, which = known[same], which[same]
-        pairs = candidates(items, h, doc_of, known) if len(known) and len(keys) else np.zeros(0, dtype=np.int64)
-        if len(pairs):
-            # exact containment of the candidates: distinct shingles of the item in the document
-            owner, item = _expand(which, offsets, values)
-            pair = doc_of[known[owner]] * n + item
-            kept = np.isin(pair, pairs)
-            pair, owner = pair[kept], owner[kept]
-            order = np.argsort(pair, kind="stable")
-            pair, owner = pair[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
-            for a, b in zip(first, [*first[1:], len(pair)]):
-                d, k = divmod(int(pair[a]), n)
-                own = owner[a:b]
-                if len(np.unique(which[own])) < LEAST_CONTAINMENT * items.size[k]:
-                    continue
-                places = known[own]
-                if verify(items, k, plains[at + d], (places - starts[d]).tolist(), h[places].tolist()):
-                    found.append((ids[at + d], items.ids[k]))
-        if items.short:
-            for d in range(at, end):
-                found += [(ids[d], items.ids[k]) for k in items.short if items.text[k] in plains[d]]
+        whole = gap.join(plains) + gap
+        doc_of = np.repeat(np.arange(end - at), lengths)
+        if len(items.main.keys):
+            h = shingles(whole)
+            known, which = items.main.known(h)
+            pairs = candidates(items, h, doc_of[: len(h)], known) if len(known) else np.zeros(0, dtype=np.int64)
+            if len(pairs):
+                # exact containment of the candidates: distinct shingles of the item in the document
+                rows = items.main.places(known, which)
+                kept = np.isin(doc_of[rows[0]] * n + rows[2], pairs)
+                found += [(ids[at + d], items.ids[k]) for d, k in _verified(items, items.main, tuple(x[kept] for x in rows), doc_of, starts, plains, LEAST_CONTAINMENT)]
+        for post in items.small:
+            known, which = post.known(shingles(whole, post.size))
+            if len(known):
+                found += [(ids[at + d], items.ids[k]) for d, k in _verified(items, post, post.places(known, which), doc_of, starts, plains, 0.0)]
         at = end
     return found
 
@@ -276,10 +305,10 @@ def leaks(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
     kept = common.spread(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
     out = spark.createDataFrame([], _FOUND)
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Items(block))
 
         def search(batches, shared=shared):
-            items = Items(shared.value)
+            items = shared.value
             for b in batches:
                 got = leaks_of(items, b.column("doc_id").to_pylist(), b.column("text").to_pylist())
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["doc_id", "item_id"]).astype("int64"), preserve_index=False)

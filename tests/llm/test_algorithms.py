@@ -287,6 +287,35 @@ def test_leaks(spark, frame):
     assert {tuple(r) for r in got.collect()} == expected | {(d, 52) for d, k in expected if k == 0}
 
 
+def half_stands(a, text):
+    """By brute force, without slips: whether a stretch of half of a stands in the text."""
+    need = -(-len(a) // 2)
+    return any(a[i : i + need] in text for i in range(len(a) - need + 1))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 9, 11, 12, 17, 20, 23, 24, 35, 47, 48, 60, 95])
+def test_items_of_every_length_are_found_by_half(size):
+    rng = np.random.default_rng(size)
+    text = lambda n: "".join(rng.choice([chr(c) for c in range(0x4E00, 0x4E00 + 800)], n))
+    items = [(k, text(size)) for k in range(6)]
+    docs = []
+    for d in range(60):
+        k, share = int(rng.integers(0, 6)), (0.5, 1.0, 0.75, 0.3)[d % 4]
+        n = max(1, int(np.ceil(size * share)))
+        at = int(rng.integers(0, size - n + 1))
+        docs.append(text(80) + items[k][1][at : at + n] + text(80))
+    got = set(leakage.leaks_of(leakage.Items(items), list(range(60)), docs))
+    assert got == {(d, k) for d, t in enumerate(docs) for k, a in items if half_stands(a, t)}
+
+
+def test_arrays_of_many_items_stay_small():
+    import pickle
+
+    rng = np.random.default_rng(1)
+    rows = [(k, "".join(rng.choice([chr(c) for c in range(0x4E00, 0x5200)], 250))) for k in range(400)]
+    assert len(pickle.dumps(leakage.Items(rows))) < 100 * 100_000 + 2_000_000
+
+
 def test_passages_cross_slips_but_not_gaps():
     a = "abcdefghijklmnopqrstuvwxyz0123456789"
     assert leakage.passage(a, a[:20] + "#" + a[21:], 2, 2, 8) == (0, 35)
