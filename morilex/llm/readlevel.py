@@ -8,13 +8,17 @@ levels, the sufficient statistics of every word (its count, and its count weight
 and each word's two parameters follow by Newton steps. Readers' grades anchor the levels of the graded documents, so the
 scale runs from easy to hard; the two borders between the bands are placed where the grades are parted best.
 
-Plan: words are hashed into 2**20 buckets, which bounds all that is broadcast (8 MB) or collected (2**20 rows); the word
-vectors of documents are written once, and each round reads them once, summing within a task before anything is shuffled.
-At most MAX_ANCHORS graded documents (a hash order picks them) serve as anchors; all documents take part in every round.
-
-Defined results: only documents whose running text is mainly Japanese get a level. Running text are lines with final
-marks and at least 12 letters; a document without such lines is judged by all its lines. Null and empty texts and
-rows without an id are left out. Without any grade every document is 'medium', the middle of the scale.
+Plan: words are hashed into 2**20 buckets, which bounds all that is broadcast (4 MB) or collected (a slope for each bucket);
+the word vectors of documents are written once. Each round has two distributed halves: the levels of all documents, whose
+statistics are summed within a task before anything is shuffled, and the Newton steps of all words on those sums. Rounds
+end when the levels no longer move. At most MAX_ANCHORS graded documents (a hash order picks them) serve as anchors; all
+documents take part in every round.
+
+Defined results: only documents whose running text is mainly Japanese get a level. All lines count: running text (lines with
+final marks and at least 12 letters) fully, other lines (headings, menus) by LIGHT; a document without running text is
+judged by its other lines alone. A heading of ideographs only goes with the other lines of its document; running text
+without kana is not Japanese. Null and empty texts
+and rows without an id are left out. Without any grade every document is 'medium', the middle of the scale.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-BUCKETS, MAX_ANCHORS, ROUNDS = 1 << 20, 20_000, 7
+BUCKETS, MAX_ANCHORS = 1 << 20, 20_000
+#: Rounds end when the words have moved along the grid by less than MOVED of its steps on average, or after ROUNDS.
+ROUNDS, MOVED = 20, 0.2
+#: What a word counts outside running text.
+LIGHT = 0.1
 GRID = np.linspace(-2, 2, 41)
 #: Grades 1 to 6 on the scale of levels; how tightly a grade binds; weight of the (dependent) words of a document.
 MIDDLE, SPREAD, ANCHOR, TEMPER, RIDGE = 3.5, 1.5 / 2.5, 0.3, 0.2, 2.0
@@ -44,6 +51,7 @@ _KANA = re.compile(r"[ぁ-ヿｦ-ﾟ]")
 _FINAL = re.compile(r"[。！？!?．.]")
 _WORD = re.compile(r"[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+")
 _LETTERS = re.compile(r"[^\W\d_]")
+_HAN_ONLY = re.compile(r"[^\w]*[一-鿿々](?:[一-鿿々\d]|[^\w])*\Z")
 
 
 @lru_cache(200_000)
@@ -59,65 +67,57 @@ def _kana_words(run: str) -> tuple[int, ...]:
 
 
 def words(text: str) -> list[int]:
-    """Buckets of a text's words: ideograph runs, kana in stretches of three, and one for every katakana name."""
+    """Buckets of a text's words: runs of ideographs or katakana, and kana in stretches of three."""
     out: list[int] = []
     for m in _WORD.finditer(text):
         run = m.group()
-        c = run[0]
-        if "ぁ" <= c <= "ゖ":
+        if "ぁ" <= run[0] <= "ゖ":
             out += _kana_words(run)
-        elif c >= "一" or c == "々":
-            out.append(_bucket(run))
         else:
-            out.append(_bucket("ア"))
+            out.append(_bucket(run))
     return out
 
 
-def running_text(text: str) -> tuple[str, float]:
-    """(Japanese running text, its share of all running text)."""
-    kept, rest, own, other = [], [], 0, 0
+def weighted_lines(text: str) -> tuple[list[tuple[str, float]], float]:
+    """([(Japanese line, weight)], the share of Japanese in all lines by letters and weight)."""
+    lines: list[tuple[str, float, int, str]] = []
     for line in text.split("\n"):
         if not line.strip():
             continue
         line = unicodedata.normalize("NFKC", line)
         n = len(_LETTERS.findall(line))
-        japanese = _KANA.search(line) is not None
-        if n >= 12 and _FINAL.search(line):
-            if japanese:
-                own += n
-                kept.append(line)
-            else:
-                other += n
-        else:
-            rest.append((line, n, japanese))
-    if not own and not other:
-        for line, n, japanese in rest:
-            if japanese:
-                own += n
-                kept.append(line)
-            else:
-                other += n
-    return "\n".join(kept), own / (own + other) if own else 0.0
+        running = n >= 12 and _FINAL.search(line) is not None
+        # running text without kana is Chinese; a heading of ideographs may be either
+        kind = "ja" if _KANA.search(line) else "han" if not running and _HAN_ONLY.match(line) else "other"
+        lines.append((line, 1.0 if running else LIGHT, n, kind))
+    top = max((w for _, w, _, _ in lines), default=1.0)
+    mass = {k: sum(w * n for _, w, n, kind in lines if kind == k) for k in ("ja", "han", "other")}
+    own = ("ja", "han") if mass["ja"] > mass["other"] else ("ja",)  # ideographs alone go with the rest
+    total = sum(mass.values())
+    return [(line, w / top) for line, w, _, kind in lines if kind in own], sum(mass[k] for k in own) / total if mass["ja"] else 0.0
 
 
-_VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+_VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType())), T.StructField("n_words", T.LongType())])
 
 
 def _vectors(batches):
     for b in batches:
-        ids, offsets, buckets, counts = [], [0], [], []
+        ids, offsets, buckets, counts, sizes = [], [0], [], [], []
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            kept, share = running_text(text)
+            kept, share = weighted_lines(text)
             if share < JAPANESE_SHARE:
                 continue
-            u, n = np.unique(np.array(words(kept), dtype=np.int32), return_counts=True)
+            full = np.array(words("\n".join(x for x, w in kept if w == 1.0)), dtype=np.int32)
+            light = np.array(words("\n".join(x for x, w in kept if w < 1.0)), dtype=np.int32)
+            u, at = np.unique(np.concatenate([full, light]), return_inverse=True)
             ids.append(i)
             buckets.append(u)
-            counts.append(n.astype(np.int32))
+            counts.append(np.bincount(at, np.concatenate([np.ones(len(full)), np.full(len(light), LIGHT)]), len(u)).astype(np.float32))
+            sizes.append(len(at))
             offsets.append(offsets[-1] + len(u))
         if ids:
             offs = pa.array(np.array(offsets, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(buckets))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(counts)))], names=_VECTORS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(buckets))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(counts))), pa.array(sizes, pa.int64())], names=_VECTORS.names)
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,9 +176,28 @@ def borders(level: np.ndarray, band: np.ndarray) -> tuple[float, float]:
 
 
 _STATS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("s0", T.DoubleType()), T.StructField("s1", T.DoubleType())])
+_SLOPES = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("slopes", T.BinaryType()), T.StructField("z", T.ArrayType(T.DoubleType()))])
 _LEVELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("level", T.DoubleType()), T.StructField("n_words", T.LongType())])
 
 
+def word_step(stats: DataFrame, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of all buckets and z by level, from stats(id, s0, s1): Newton steps where the sums are, a few numbers back."""
+
+    def fit(batches):
+        for b in batches:
+            psi, slope = fit_words(b.column("s0").to_numpy(), b.column("s1").to_numpy(), mass)
+            z = np.zeros(len(GRID))
+            for at in range(0, len(psi), 20_000):
+                z += np.exp(psi[at : at + 20_000, None] + slope[at : at + 20_000, None] * GRID).sum(0)
+            yield pa.RecordBatch.from_pylist([{"ids": b.column("id").to_numpy().astype(np.int32).tobytes(), "slopes": slope.astype(np.float32).tobytes(), "z": z.tolist()}], schema=pa.schema([("ids", pa.binary()), ("slopes", pa.binary()), ("z", pa.list_(pa.float64()))]))
+
+    beta, z = np.zeros(BUCKETS, dtype=np.float32), np.zeros(len(GRID))
+    for r in stats.where("id >= 0").mapInArrow(fit, _SLOPES).collect():  # eight bytes a bucket, at most BUCKETS of them
+        beta[np.frombuffer(r["ids"], dtype=np.int32)] = np.frombuffer(r["slopes"], dtype=np.float32)
+        z += np.array(r["z"])
+    return beta, z
+
+
 def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, text), grades(doc_id, grade) -> (doc_id, level, n_words, band) of mainly Japanese documents."""
     spark = docs.sparkSession
@@ -188,7 +207,7 @@ def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) ->
     mean = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.avg("grade").alias("grade"))
     graded = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ANCHORS).toPandas()
     if not len(graded):
-        return vectors.select("doc_id", F.lit(0.0).alias("level"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"), F.lit("medium").alias("band"))
+        return vectors.select("doc_id", F.lit(0.0).alias("level"), "n_words", F.lit("medium").alias("band"))
     order = np.argsort(graded.doc_id.to_numpy())
     anchors = sc.broadcast((graded.doc_id.to_numpy()[order], ((graded.grade.to_numpy() - MIDDLE) * SPREAD)[order]))
 
@@ -197,7 +216,9 @@ def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) ->
         p = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
         return np.where(keys[p] == ids, at[p], np.nan)
 
-    def collect(shared, anchored_only: bool):
+    def document_step(shared, anchored_only: bool) -> DataFrame:
+        """Level of every document, given the words: the words' sums, and (id < 0) the words at each level of the grid."""
+
         def stats(batches):
             s0, s1, mass = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(GRID))
             for b in batches:
@@ -209,30 +230,30 @@ def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) ->
                     beta, z = shared.value
                     at, use = levels(np.bincount(row, n * beta[bucket], len(ids)), total, z, anchor), np.ones(len(ids), bool)
                 w = n * use[row]
-                np.add.at(s0, bucket, w)
-                np.add.at(s1, bucket, w * GRID[at][row])
+                s0 += np.bincount(bucket, w, BUCKETS)
+                s1 += np.bincount(bucket, w * GRID[at][row], BUCKETS)
                 mass += np.bincount(at, total * use, len(GRID))
             there = np.flatnonzero(s0)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([there, -1 - np.arange(len(GRID))]).astype(np.int32)), pa.array(np.concatenate([s0[there], mass])), pa.array(np.concatenate([s1[there], np.zeros(len(GRID))]))], names=_STATS.names)
 
-        return vectors.mapInArrow(stats, _STATS).groupBy("id").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1")).toPandas()
+        return common.written(vectors.mapInArrow(stats, _STATS).groupBy("id").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1")), "word-sums")
 
-    shared = None
+    shared, before = None, None
     for k in range(rounds):
-        got = collect(shared, k == 0)
+        sums = document_step(shared, k == 0)
+        mass = np.zeros(len(GRID))
+        for r in sums.where("id < 0").collect():  # one row for each level of the grid
+            mass[-1 - r["id"]] = r["s0"]
         if shared is not None:
             shared.unpersist()
-        mass = np.zeros(len(GRID))
-        own = got[got.id < 0]
-        mass[-1 - own.id.to_numpy()] = own.s0.to_numpy()
-        got = got[got.id >= 0]
-        psi, slope = fit_words(got.s0.to_numpy(), got.s1.to_numpy(), mass)
-        beta = np.zeros(BUCKETS, dtype=np.float32)
-        beta[got.id.to_numpy()] = slope
-        z = np.zeros(len(GRID))
-        for at in range(0, len(psi), 20_000):
-            z += np.exp(psi[at : at + 20_000, None] + slope[at : at + 20_000, None] * GRID).sum(0)
-        shared = sc.broadcast((beta, z))
+        shared = sc.broadcast(word_step(sums, mass))
+        common.free(sums)
+        share = mass / max(mass.sum(), 1e-12)
+        # how far the words have moved along the grid, in steps
+        moved = np.inf if before is None else np.abs(np.cumsum(share - before)).sum()
+        before = share
+        if k > 1 and moved < MOVED:
+            break
     final = shared
 
     def judge(batches):
@@ -241,11 +262,12 @@ def reading_levels(docs: DataFrame, grades: DataFrame, rounds: int = ROUNDS) ->
             ids, row, bucket, n = _flat(b)
             total = np.bincount(row, n, len(ids))
             at = levels(np.bincount(row, n * beta[bucket], len(ids)), total, z, np.full(len(ids), np.nan))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(GRID[at]), pa.array(total.astype(np.int64))], names=_LEVELS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(GRID[at]), b.column("n_words")], names=_LEVELS.names)
 
     judged = common.written(vectors.mapInArrow(judge, _LEVELS), "levels")
+    common.free(vectors)
     marks = spark.createDataFrame(graded, "doc_id long, grade double")
-    seen = judged.join(marks, "doc_id").select("level", "grade").toPandas()  # at most MAX_ANCHORS rows
+    seen = judged.join(F.broadcast(marks), "doc_id").select("level", "grade").toPandas()  # at most MAX_ANCHORS rows
     low, high = borders(seen.level.to_numpy(), np.digitize(seen.grade.to_numpy(), [2.5, 4.5])) if len(seen) else (GRID[0] - 1, GRID[-1] + 1)
     return judged.withColumn("band", F.when(F.col("level") < low, BANDS[0]).when(F.col("level") < high, BANDS[1]).otherwise(BANDS[2]))
 

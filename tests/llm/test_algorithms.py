@@ -343,10 +343,20 @@ def test_reading_levels(spark, frame):
 
 
 def test_words_of_very_long_documents_all_count():
-    text = "カタカナをみつけました。\n" * 40_000
+    text = "カタカナを庭でみつけました。\n" * 40_000 + "見出し\n"
     got = next(readlevel._vectors([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))
-    assert got.schema.equals(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
-    assert sum(got.column("counts")[0].as_py()) == len(readlevel.words(readlevel.running_text(text)[0])) and max(got.column("counts")[0].as_py()) >= 40_000
+    assert got.schema.equals(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32())), ("n_words", pa.int64())]))
+    n = len(readlevel.words(text))
+    assert got.column("n_words")[0].as_py() == n and max(got.column("counts")[0].as_py()) >= 40_000
+    assert sum(got.column("counts")[0].as_py()) == pytest.approx(n - (1 - readlevel.LIGHT) * len(readlevel.words("見出し")))
+
+
+def test_all_lines_count():
+    kept, share = readlevel.weighted_lines("トップ\n猫がいました。みんなで笑いました。\n日本国憲法。\nAll rights reserved")
+    assert [w for _, w in kept] == [readlevel.LIGHT, 1.0, readlevel.LIGHT] and share > 0.8
+    assert readlevel.weighted_lines("短い\nもの") == ([("短い", 1.0), ("もの", 1.0)], 1.0)
+    assert readlevel.weighted_lines("昨天我们在图书馆借了一本很旧的书。\n日本")[1] == 0.0
+    assert len(set(readlevel.words("モレゼニとカボチャ"))) == 3
 
 
 def test_word_parameters_are_recovered():
