@@ -27,6 +27,7 @@ import re
 import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,28 +55,20 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _HAN_ONLY = re.compile(r"[^\w]*[一-鿿々](?:[一-鿿々\d]|[^\w])*\Z")
 
 
-@lru_cache(200_000)
 def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
-@lru_cache(100_000)
-def _kana_words(run: str) -> tuple[int, ...]:
-    if len(run) <= 3:
-        return (_bucket(run),)
-    return tuple(_bucket(run[i : i + 3]) for i in range(len(run) - 2))
+@lru_cache(300_000)
+def _run_words(run: str) -> tuple[int, ...]:
+    if "ぁ" <= run[0] <= "ゖ" and len(run) > 3:
+        return tuple([_bucket(run[i : i + 3]) for i in range(len(run) - 2)])
+    return (_bucket(run),)
 
 
 def words(text: str) -> list[int]:
     """Buckets of a text's words: runs of ideographs or katakana, and kana in stretches of three."""
-    out: list[int] = []
-    for m in _WORD.finditer(text):
-        run = m.group()
-        if "ぁ" <= run[0] <= "ゖ":
-            out += _kana_words(run)
-        else:
-            out.append(_bucket(run))
-    return out
+    return list(chain.from_iterable(map(_run_words, _WORD.findall(text))))
 
 
 def weighted_lines(text: str) -> tuple[list[tuple[str, float]], float]:
@@ -107,12 +100,13 @@ def _vectors(batches):
             kept, share = weighted_lines(text)
             if share < JAPANESE_SHARE:
                 continue
-            full = np.array(words("\n".join(x for x, w in kept if w == 1.0)), dtype=np.int32)
-            light = np.array(words("\n".join(x for x, w in kept if w < 1.0)), dtype=np.int32)
-            u, at = np.unique(np.concatenate([full, light]), return_inverse=True)
+            full, light = (words("\n".join([x for x, w in kept if (w == 1.0) == running])) for running in (True, False))
+            u, at = np.unique(np.array(full + light, dtype=np.int32), return_inverse=True)
+            weight = np.ones(len(at), dtype=np.float32)
+            weight[len(full) :] = LIGHT
             ids.append(i)
             buckets.append(u)
-            counts.append(np.bincount(at, np.concatenate([np.ones(len(full)), np.full(len(light), LIGHT)]), len(u)).astype(np.float32))
+            counts.append(np.bincount(at, weight, len(u)).astype(np.float32))
             sizes.append(len(at))
             offsets.append(offsets[-1] + len(u))
         if ids:
@@ -141,13 +135,16 @@ def fit_words(s0: np.ndarray, s1: np.ndarray, mass: np.ndarray) -> tuple[np.ndar
     psi, beta = np.log((s0 + 0.5) / max(mass.sum(), 1.0)), np.zeros(len(s0))
     for at in range(0, len(s0), 20_000):
         p, e, a, b = psi[at : at + 20_000], beta[at : at + 20_000], s0[at : at + 20_000], s1[at : at + 20_000]
-        for _ in range(12):
+        for _ in range(30):
             mu = mass * np.exp(p[:, None] + e[:, None] * GRID)
             h00, h01, h11 = mu.sum(1), mu @ GRID, mu @ GRID**2 + RIDGE
             g0, g1 = a + 0.5 - h00, b - h01 - RIDGE * e
             det = np.maximum(h00 * h11 - h01**2, 1e-12)
+            step = np.clip((h00 * g1 - h01 * g0) / det, -2, 2)
             p += np.clip((h11 * g0 - h01 * g1) / det, -2, 2)
-            e += np.clip((h00 * g1 - h01 * g0) / det, -2, 2)
+            e += step
+            if np.abs(step).max(initial=0.0) < 1e-5:
+                break
         psi[at : at + 20_000], beta[at : at + 20_000] = p, e
     return psi, beta
 
@@ -185,11 +182,14 @@ def word_step(stats: DataFrame, mass: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     def fit(batches):
         for b in batches:
-            psi, slope = fit_words(b.column("s0").to_numpy(), b.column("s1").to_numpy(), mass)
+            # most words are rare and share their sums with many others: each pair of sums is fitted once
+            sums = np.stack([b.column("s0").to_numpy(), b.column("s1").to_numpy()]).round(6)
+            pairs, which, times = np.unique(sums, axis=1, return_inverse=True, return_counts=True)
+            psi, slope = fit_words(pairs[0], pairs[1], mass)
             z = np.zeros(len(GRID))
             for at in range(0, len(psi), 20_000):
-                z += np.exp(psi[at : at + 20_000, None] + slope[at : at + 20_000, None] * GRID).sum(0)
-            yield pa.RecordBatch.from_pylist([{"ids": b.column("id").to_numpy().astype(np.int32).tobytes(), "slopes": slope.astype(np.float32).tobytes(), "z": z.tolist()}], schema=pa.schema([("ids", pa.binary()), ("slopes", pa.binary()), ("z", pa.list_(pa.float64()))]))
+                z += (times[at : at + 20_000, None] * np.exp(psi[at : at + 20_000, None] + slope[at : at + 20_000, None] * GRID)).sum(0)
+            yield pa.RecordBatch.from_pylist([{"ids": b.column("id").to_numpy().astype(np.int32).tobytes(), "slopes": slope[which.ravel()].astype(np.float32).tobytes(), "z": z.tolist()}], schema=pa.schema([("ids", pa.binary()), ("slopes", pa.binary()), ("z", pa.list_(pa.float64()))]))
 
     beta, z = np.zeros(BUCKETS, dtype=np.float32), np.zeros(len(GRID))
     for r in stats.where("id >= 0").mapInArrow(fit, _SLOPES).collect():  # eight bytes a bucket, at most BUCKETS of them
