@@ -53,7 +53,10 @@ def script(text: str) -> str:
     """'ja', 'zh', 'th', 'ko' or 'spaced': by the letters that stand in the text."""
     if text.isascii():
         return "spaced"
-    kana, han, thai, hangul = (len(p.findall(text)) for p in (_KANA, _HAN, _THAI, _HANGUL))
+    kana = len(_KANA.findall(text))
+    if 3 * kana >= len(text):
+        return "ja"  # whatever the rest is, it is outweighed
+    han, thai, hangul = (len(p.findall(text)) for p in (_HAN, _THAI, _HANGUL))
     others = len(_LETTER.findall(text)) - len(re.findall("[ぁ-ゖゝ-ゟァ-ヺー-ヿ]", text)) - han - len(re.findall("[ก-ะาำเ-ๆ]", text)) - hangul
     n = {k: v for k, v in (("ja", 3 * kana), ("zh", 2 * han), ("th", thai), ("ko", 2 * hangul), ("spaced", others)) if v > 0}
     if n.get("ja") and n["ja"] * 10 >= n.get("zh", 0) and n["ja"] + n.get("zh", 0) >= n.get("spaced", 0):
@@ -284,18 +287,18 @@ def evidence(text: str, wanted=None) -> list[tuple[str, str]]:
     """(kind, word): 'abbr' with a stop before a small letter or comma; 'figure' and 'end' with a stop before a figure, or
     before anything else; 'last' with the stop that ends the text; 'word' without a stop; 'small' and 'name': written small,
     or capitalised inside a sentence; 'ordinal' and 'start': capitalised after a short figure, or a word, with a stop.
-    wanted(word, lower): whether a word may be of use."""
+    wanted(word): whether the word, and its small form as what follows, may be of use."""
     out = []
     if script(text) not in ("spaced", "ko"):
         return out
     flat = text.replace("\n", " ")
     for m in _EVIDENCE_WORD.finditer(flat):
         w = m.group(1)
-        lower = w.lower()
-        own, next_ = (True, True) if wanted is None else (wanted("=" + w), wanted("~" + lower))
+        own, next_ = wanted(w) if wanted else (True, True)
         if not own and not next_:
             continue
         stop, gap, nxt = m.group(2), m.group(3), m.group(4)
+        lower = w.lower()
         if own:
             if stop:
                 goes_on = nxt.islower() and gap or nxt and nxt in ",;:"
@@ -436,17 +439,19 @@ def split(text: str | None, doc: dict | None = None, corpus: dict | None = None)
     return out
 
 
-_SITE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("document_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("bit", T.IntegerType())])
-_EVIDENCE = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+_SITE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("document_id", T.StringType()), T.StructField("key", T.StringType()), T.StructField("bit", T.IntegerType())])
+_OF_WORD, _OF_NEXT = ("abbr", "figure", "end", "last", "word"), ("small", "name", "ordinal", "start")
+_KIND = {k: ("=", i) for i, k in enumerate(_OF_WORD)} | {k: ("~", i) for i, k in enumerate(_OF_NEXT)}
+#: Evidence for a key ('=' and a word, or '~' and a word in small letters): one count for each kind.
+_COUNTS = [f"n{i}" for i in range(len(_OF_WORD))]
+_EVIDENCE = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("key", T.StringType()), *[T.StructField(c, T.LongType()) for c in _COUNTS]])
 _END = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("sentence", T.StringType())])
 
 
-_OF_WORD, _OF_NEXT = ("abbr", "figure", "end", "last", "word"), ("small", "name", "ordinal", "start")
 #: Bits of the map of words that are asked for: fixes what is collected and broadcast; more words only mean more chance hits.
 BITS = 1 << 20
 
 
-@lru_cache(200_000)
 def _bit(key: str) -> int:
     """key: '=' and a word, or '~' and a word in small letters."""
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % BITS
@@ -456,26 +461,28 @@ def _find_sites(batches):
     for b in batches:
         rows = []
         for i, d, t in zip(*(b.column(c).to_pylist() for c in ("row_id", "document_id", "raw"))):
-            for w, nxt in set(sites(t)):
-                if w:
-                    rows += [(i, d, k, w, _bit("=" + w)) for k in _OF_WORD]
-                if nxt:
-                    nxt = nxt.lower()
-                    rows += [(i, d, k, nxt, _bit("~" + nxt)) for k in _OF_NEXT]
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()))], names=_SITE.names)
+            keys = {k for w, nxt in sites(t) for k in ("=" + w if w else "", "~" + nxt.lower() if nxt else "") if k}
+            rows += [(i, d, k, _bit(k)) for k in keys]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=_SITE.names)
 
 
 def _find_evidence(bits):
     def run(batches):
         here = bits.value
+
+        @lru_cache(200_000)
+        def wanted(w: str) -> tuple[bool, bool]:
+            return bool(here[_bit("=" + w)]), bool(here[_bit("~" + w.lower())])
+
         for b in batches:
-            n: Counter = Counter()
+            n: dict[tuple, list[int]] = {}
             for d, t in zip(b.column("document_id").to_pylist(), b.column("raw").to_pylist()):
-                for k, w in evidence(t, lambda key: here[_bit(key)]):
-                    n[(d, k, w)] += 1
-            cols = list(zip(*n)) if n else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=_EVIDENCE.names)
+                for k, w in evidence(t, wanted):
+                    mark, i = _KIND[k]
+                    n.setdefault((d, mark + w), [0] * len(_COUNTS))[i] += 1
+            keys, counts = list(zip(*n)) if n else [[]] * 2, list(zip(*n.values())) if n else [[]] * len(_COUNTS)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in keys], *[pa.array(c, pa.int64()) for c in counts]], names=_EVIDENCE.names)
 
     return run
 
@@ -484,13 +491,16 @@ def _split_rows(batches):
     for b in batches:
         rows = []
         for i, t, seen in zip(*(b.column(c).to_pylist() for c in ("row_id", "raw", "seen"))):
-            doc = {(s["kind"], s["word"]): s["in_doc"] for s in seen or [] if s["in_doc"]}
-            corpus = {(s["kind"], s["word"]): s["in_corpus"] for s in seen or [] if s["in_corpus"]}
+            doc, corpus = {}, {}
+            for x in seen or []:
+                kinds = _OF_WORD if x["key"][0] == "=" else _OF_NEXT
+                for told, counts in ((doc, x["in_doc"]), (corpus, x["in_corpus"])):
+                    told |= {(k, x["key"][1:]): n for k, n in zip(kinds, counts or []) if n}
             at = 0
             for k, e in enumerate(split(t, doc, corpus)):
-                s = t[at:e]
-                start = at + len(s) - len(s.lstrip())
-                rows.append((i, k, start, e, s.strip()))
+                own = t[at:e]
+                start = at + len(own) - len(own.lstrip())
+                rows.append((i, k, start, e, own.strip()))
                 at = e
         cols = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=_END.names)
@@ -505,12 +515,13 @@ def sentences_of(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
     asked = asked.drop("bit")
     spaced = corpus.where(F.col("raw").isNotNull()).select("document_id", "raw")
     counted = common.spread(spaced).mapInArrow(_find_evidence(blocks.sparkSession.sparkContext.broadcast(bits)), _EVIDENCE)
-    wanted = asked.select("kind", "word").distinct()
-    seen = common.written(counted.groupBy("document_id", "kind", "word").agg(F.sum("n").alias("n")).join(wanted, ["kind", "word"], "left_semi"), "evidence")
-    everywhere = seen.groupBy("kind", "word").agg(F.sum("n").alias("in_corpus"))
-    verdicts = asked.join(seen.where("document_id is not null").withColumnRenamed("n", "in_doc"), ["document_id", "kind", "word"], "left").join(everywhere, ["kind", "word"], "left").where("in_doc is not null or in_corpus is not null")
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    wanted = asked.select("key").distinct()
+    seen = common.written(counted.groupBy("document_id", "key").agg(*sums).join(wanted, "key", "left_semi"), "evidence")
+    everywhere = seen.groupBy("key").agg(*sums).select("key", F.array(*_COUNTS).alias("in_corpus"))
+    verdicts = asked.join(seen.where("document_id is not null").select("document_id", "key", F.array(*_COUNTS).alias("in_doc")), ["document_id", "key"], "left").join(everywhere, "key", "left").where("in_doc is not null or in_corpus is not null")
     # as long as the block's own list of sites
-    lists = verdicts.groupBy("row_id").agg(F.collect_set(F.struct("kind", "word", "in_doc", "in_corpus")).alias("seen"))
+    lists = verdicts.groupBy("row_id").agg(F.collect_set(F.struct("key", "in_doc", "in_corpus")).alias("seen"))
     return blocks.join(lists, "row_id", "left").select("row_id", "raw", "seen").mapInArrow(_split_rows, _END)
 
 
