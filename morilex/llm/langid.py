@@ -5,14 +5,19 @@ follow-the-regularised-leader and elastic-net penalties, followed by temperature
 Labels are noisy: after a first fit, rows whose own label the model finds very unlikely are left out, and the model is
 fitted again.
 
-The classifier is fitted on a bounded sample: at most MAX_TRAIN labelled rows in the order of a hash. Document
-frequencies of n-grams cover all texts (2**18 buckets are collected, which is their bound). A text is split into segments
+The classifier is fitted on a bounded sample: at most MAX_TRAIN labelled rows in the order of a hash, which a threshold on
+the hash picks before anything is shuffled. Document frequencies of n-grams cover all texts (2**18 buckets are collected,
+which is their bound). A text is split into segments
 at final marks, line ends, brackets, erased links, mentions and RT, and changes of script (kana with ideographs, Hangul,
 Thai, Cyrillic, other letters); segments are classified and joined; a language counts for a
 mixed text if its segments hold a clause (CLAUSE letters), so single foreign words, names, tags, links and mentions do not
 make a text mixed.
 
-Defined results: a text that is null or has no words has no language; repeated statuses give one row.
+Segments in a script that none of the ten languages is written in, and texts whose best language has a confidence below
+REJECT, are in another language: UNKNOWN ('und'), which is reported but is no case.
+
+Defined results: a text that is null or has no words has no language; repeated statuses give one row. A label is held for
+wrong only if the text's language has at least DOUBT.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ LANGS = ("ja", "en", "zh", "ko", "es", "pt", "de", "fr", "ru", "th")
 CODES = chars.LANGUAGES
 BITS, ORDERS, MAX_TRAIN, EPOCHS = 18, 4, 10_000, 3
 #: Letters that make a clause, by kind of script.
-CLAUSE = {"wide": 5, "hangul": 5, "narrow": 14, "cyrillic": 14, "thai": 10}
-DOUBT = 0.75
+CLAUSE = {"wide": 5, "hangul": 5, "narrow": 14, "cyrillic": 14, "thai": 10, "foreign": 10}
+DOUBT, REJECT, UNKNOWN = 0.75, 0.3, "und"
 
 _NOISE = re.compile(r"https?://\S+|www\.\S+|[@＠]\w+|[#＃]\w+|\bRT\b:?|>>\s*\d+")
 #: Left where a link, a mention or RT is erased: a passage ends there.
@@ -47,7 +52,8 @@ _KIND = (
     ("hangul", re.compile(r"[가-힣ᄀ-ᇿ]")),
     ("thai", re.compile(r"[ก-๛]")),
     ("cyrillic", re.compile(r"[Ѐ-ԯ]")),
-    ("narrow", re.compile(r"[^\W\d_]")),
+    ("narrow", re.compile(r"[A-Za-zªºÀ-ɏḀ-ỿ]")),
+    ("foreign", re.compile(r"[^\W\d_]")),
 )
 
 
@@ -255,11 +261,20 @@ def judge(model: Model, texts: list[str]) -> list[list[tuple[str, float, str]]]:
     for k, own in enumerate(by):
         if not own:
             continue
+        foreign = [i for i in own if letters[i][1] == "foreign" and letters[i][0] >= CLAUSE["foreign"]]
+        own = [i for i in own if letters[i][1] != "foreign"]
+        if foreign:
+            out[k].append((UNKNOWN, 1.0, " ".join(parts[i].strip() for i in foreign)))
+        if not own:
+            if not foreign:
+                out[k] = [(UNKNOWN, 1.0, cleaned(texts[k]).strip())]
+            continue
         clause = [i for i in own if letters[i][0] >= CLAUSE[letters[i][1]] and len(parts[i].split()) >= (3 if letters[i][1] in ("narrow", "cyrillic") else 1)]
         if not clause:
-            whole = model.probabilities([cleaned(texts[k])])[0]
-            best = int(whole.argmax())
-            out[k] = [(LANGS[best], float(whole[best]), cleaned(texts[k]).strip())]
+            if not foreign:
+                whole = model.probabilities([cleaned(texts[k])])[0]
+                best = int(whole.argmax())
+                out[k] = [(LANGS[best] if whole[best] >= REJECT else UNKNOWN, float(whole[best]), cleaned(texts[k]).strip())]
             continue
         found: dict[int, list] = {}
         for i in clause:
@@ -270,18 +285,27 @@ def judge(model: Model, texts: list[str]) -> list[list[tuple[str, float, str]]]:
         for x in sorted(found, key=lambda x: (-total[x], x)):
             sure = max(float(p[i][x]) for i in found[x])
             if x == main or sure >= DOUBT:
-                out[k].append((LANGS[x], float(np.average([p[i][x] for i in found[x]], weights=[letters[i][0] for i in found[x]])), " ".join(parts[i].strip() for i in found[x])))
+                mean = float(np.average([p[i][x] for i in found[x]], weights=[letters[i][0] for i in found[x]]))
+                out[k].append((LANGS[x] if sure >= REJECT else UNKNOWN, mean, " ".join(parts[i].strip() for i in found[x])))
     return out
 
 
+def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
+    """The first n distinct rows in the order of a hash of text and lang. An estimate of how many there are sets a threshold
+    on the hash under which twice as many are expected, so only those are shuffled."""
+    h = F.xxhash64("text", "lang")
+    there = rows.agg(F.approx_count_distinct(h)).first()[0]
+    near = rows.where(h < F.lit(int(-(1 << 63) + min(1.0, 2 * n / max(1, there)) * ((1 << 64) - 1)))) if there > 2 * n else rows
+    return near.distinct().orderBy(h, "text", "lang").limit(n)
+
+
 def training_rows(tweets: DataFrame, docs: DataFrame) -> tuple[list[str], list[str]]:
     """At most MAX_TRAIN labelled rows, half of it lines of documents in other languages than Japanese."""
-    t = tweets.where(F.col("text").isNotNull()).select("text", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(*LANGS)).distinct()
-    t = t.orderBy(F.xxhash64("text"), "text", "lang").limit(MAX_TRAIN // 2)
+    t = tweets.where(F.col("text").isNotNull()).select("text", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(*LANGS))
     d = docs.where(F.col("text").isNotNull()).select("text", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(*[x for x in LANGS if x != "ja"]))
-    d = d.select(F.explode(F.split("text", "\n")).alias("text"), "lang").where((F.length("text") > 30) & ~F.col("text").rlike("[ぁ-ヿ]")).distinct()
-    d = d.orderBy(F.xxhash64("text"), "text", "lang").limit(MAX_TRAIN // 2)
-    rows = t.unionByName(d).collect()
+    # a shorter line is a heading or a name, which tells no language
+    d = d.select(F.explode(F.split("text", "\n")).alias("text"), "lang").where((F.length("text") > 30) & ~F.col("text").rlike("[ぁ-ヿ]"))
+    rows = first_by_hash(t, MAX_TRAIN // 2).unionByName(first_by_hash(d, MAX_TRAIN // 2)).collect()
     return [cleaned(r[0]) for r in rows], [r[1] for r in rows]
 
 
@@ -342,4 +366,4 @@ def p4_languages(spark, sf_dir: str) -> DataFrame:
 def p4_found(spark, sf_dir: str) -> DataFrame:
     j = judged(spark, sf_dir)
     wrong = F.col("label").isNull() | ((F.col("label") != F.col("lang")) & (~F.col("label").isin(*LANGS) | (F.col("confidence") >= DOUBT)))
-    return j.where((F.col("n_langs") > 1) | wrong).select("status_id", "lang").distinct()
+    return j.where(((F.col("n_langs") > 1) | wrong) & (F.col("lang") != UNKNOWN)).select("status_id", "lang").distinct()

@@ -3,7 +3,8 @@
 Method: shortest-pack-first over the length histogram. Lengths are placed longest first; each goes into the open packing
 pattern with the most space left, and the counts of the patterns are updated, so the work depends on the capacity and
 not on the number of documents. Then patterns are joined back to documents by the rank of a document among those of its
-length. A document longer than the capacity is split into pieces of the full capacity and a rest.
+length. A document longer than the capacity is split into pieces of the full capacity and a rest, each with the place of
+its characters in the text, so that it can be cut back from it.
 
 Bounds: a step of the placement either uses up a pattern or ends a length, so there are fewer than 2 * capacity patterns
 and, as the distinct lengths of a pattern add up to at most the capacity, at most 2 * capacity * sqrt(2 * capacity) slots
@@ -34,6 +35,15 @@ CAPACITY = 2048
 TOKENIZER = os.environ.get("MORILEX_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def _tiktoken(path: str):
+    import tiktoken
+
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def counter(path: str):
     """A function from texts to their numbers of tokens, by the kind of the tokenizer's file."""
     if path.endswith(".model"):
@@ -42,12 +52,7 @@ def counter(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     if path.endswith(".tiktoken"):
-        import tiktoken
-
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        coding = _tiktoken(path)
         return lambda texts: [len(coding.encode_ordinary(x)) for x in texts]
     from tokenizers import Tokenizer
 
@@ -56,6 +61,30 @@ def counter(path: str):
     return lambda texts: [len(x.ids) for x in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def locator(path: str):
+    """A function from a text to the character each of its tokens begins at."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+        def places(text: str) -> list[int]:
+            # bytes to characters: a continuation byte belongs to the character before
+            data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+            char = np.append(np.cumsum((data & 0xC0) != 0x80) - 1, len(text))
+            return [int(char[min(x.begin, len(data))]) for x in model.encode(text, return_type="proto").pieces]
+
+        return places
+    if path.endswith(".tiktoken"):
+        coding = _tiktoken(path)
+        return lambda text: coding.decode_with_offsets(coding.encode_ordinary(text))[1]
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    return lambda text: [a for a, _ in model.encode(text, add_special_tokens=False).offsets]
+
+
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """[(containers, ((length, times), ...)), ...]: packing patterns with their counts, for {length: documents}."""
     open_by_space: dict[int, list[tuple[int, dict[int, int]]]] = defaultdict(list)
@@ -104,36 +133,39 @@ def slots(patterns) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "start", "times", "base"])
 
 
-_PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType())])
+_PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType())])
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """docs(doc_id, text) -> one row for each document or piece, numbered within its task and length."""
 
     def cut(batches):
-        count = counter(tokenizer)
+        count, locate = counter(tokenizer), locator(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, int, int, int, int, int, int]] = []
             for at in range(0, len(texts), 256):
-                for i, n in zip(ids[at : at + 256], count(texts[at : at + 256])):
+                for i, text, n in zip(ids[at : at + 256], texts[at : at + 256], count(texts[at : at + 256])):
                     n = max(1, n)
-                    for k in range(-(-n // capacity)):
+                    ends = [len(text)]
+                    if n > capacity:  # where each further piece begins, never before the one before it
+                        places = np.maximum.accumulate(np.array(locate(text), dtype=np.int64))
+                        ends = [*places[capacity:n:capacity].tolist(), len(text)]
+                    for k, (a, z) in enumerate(zip([0, *ends], ends)):
                         size = min(capacity, n - k * capacity)
-                        out.append((i, k, size, int(seen[size])))
+                        out.append((i, k, size, a, z, part, int(seen[size])))
                         seen[size] += 1
             if out:
-                i, k, size, seq = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(size, pa.int32()), pa.array([part] * len(i), pa.int32()), pa.array(seq, pa.int64())], names=_PIECES.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=_PIECES.names)
 
     kept = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
     return common.spread(kept).mapInArrow(cut, _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, piece, n_tokens, container), containers from 0."""
+    """docs(doc_id, text) -> (doc_id, piece, n_tokens, start_char, end_char, container), containers from 0."""
     got = common.written(pieces(docs, tokenizer, capacity), "pieces")
     parts = got.groupBy("n_tokens", "part").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in got.groupBy("n_tokens").agg(F.count("*")).collect()}
@@ -156,13 +188,20 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
         return pd.Series(out)
 
     ranked = got.join(before, ["n_tokens", "part"]).withColumn("rank", F.col("before") + F.col("seq"))
-    return ranked.select("doc_id", "piece", "n_tokens", container("n_tokens", "rank").alias("container"))
+    return ranked.select("doc_id", "piece", "n_tokens", "start_char", "end_char", container("n_tokens", "rank").alias("container"))
 
 
 def p8_containers(spark, sf_dir: str) -> DataFrame:
     return pack(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_complete(spark, sf_dir: str) -> DataFrame:
+    """Every document with the characters of its pieces, and whether all of its containers hold what they may."""
+    c = common.written(p8_containers(spark, sf_dir), "containers")
+    used = c.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    return c.join(used, "container").groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("chars"), F.bool_and(F.col("used") <= CAPACITY).alias("fits"))
+
+
 def p8_fill(spark, sf_dir: str) -> DataFrame:
     """How many containers are filled to what tenth."""
     full = p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"))

