@@ -68,13 +68,7 @@ def locator(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-        def places(text: str) -> list[int]:
-            # bytes to characters: a continuation byte belongs to the character before
-            data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-            char = np.append(np.cumsum((data & 0xC0) != 0x80) - 1, len(text))
-            return [int(char[min(x.begin, len(data))]) for x in model.encode(text, return_type="proto").pieces]
-
-        return places
+        return lambda text: [a for a, _ in model.encode(text, return_type="offset_mapping")["offsets"]]
     if path.endswith(".tiktoken"):
         coding = _tiktoken(path)
         return lambda text: coding.decode_with_offsets(coding.encode_ordinary(text))[1]
@@ -140,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """docs(doc_id, text) -> one row for each document or piece, numbered within its task and length."""
 
     def cut(batches):
-        count, locate = counter(tokenizer), locator(tokenizer)
+        count, locate = counter(tokenizer), None
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
@@ -150,7 +144,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 for i, text, n in zip(ids[at : at + 256], texts[at : at + 256], count(texts[at : at + 256])):
                     n = max(1, n)
                     ends = [len(text)]
-                    if n > capacity:  # where each further piece begins, never before the one before it
+                    if n > capacity:
+                        locate = locate or locator(tokenizer)
+                        # where each further piece begins, never before the one before it
                         places = np.maximum.accumulate(np.array(locate(text), dtype=np.int64))
                         ends = [*places[capacity:n:capacity].tolist(), len(text)]
                     for k, (a, z) in enumerate(zip([0, *ends], ends)):
