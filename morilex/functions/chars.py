@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kana import vowel_kana
+
 KATAKANA = "".join(chr(c) for c in range(ord("ァ"), ord("ヶ") + 1))
 HIRAGANA = "".join(chr(ord(c) - 0x60) for c in KATAKANA)
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF = "".join(chr(ord(c) - 0xFEE0) for c in FULL)
 #: Runs of one script: the generic stand-in for an analyser's tokens.
 TOKEN = "[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+"
-#: Kana of the i and e columns; し is left out on purpose.
-IE_COLUMN = "いきぎじちぢにひびぴみりえけげせぜてでねへべぺめれ"
+#: Kana that the stem of a vowel verb may end in: of the i and e columns; し is left out on purpose.
+IE_COLUMN = vowel_kana("ie").replace("し", "")
+#: Kana after which small ゃ, ゅ and ょ may stand.
+BEFORE_SMALL = vowel_kana("i").replace("い", "")
+# What no word begins or ends with; characters of old spelling and place holders.
+BAD_FIRST = "^[っゃゅょぁぃぅぇぉッァィゥェォャュョー〜：・＃○◎●]"
+BAD_LAST = "[：・]$"
+OBSOLETE = "[　〓ゐゑヰヱヽヾゝゞ]"
+#: Content that a phrase begins with.
+PHRASE = "[一-鿿々ァ-ヴーA-Za-z0-9０-９]"
 NOUN_LIKE = ("普通名詞", "副詞", "ナ形容詞")
 #: Other codes of the same languages, and codes that name none.
 LANGUAGES = {"jpn": "ja", "eng": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "kor": "ko", "spa": "es", "por": "pt", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "rus": "ru", "tha": "th"}
@@ -57,14 +67,14 @@ def stem_allowed(stem: Column, pos_s: str) -> Column:
     """Whether a stem can belong to a part of speech."""
     last = F.right(stem, F.lit(1))
     if pos_s == "母音動詞":
-        # the last kana must be of the i or e column; a long mark after katakana never is
-        return hiragana(last).isin(*IE_COLUMN)
+        # the last kana must be of the i or e column; the reading of other characters is not known
+        return ~last.rlike("[ぁ-ゖァ-ヶー]") | hiragana(last).isin(*IE_COLUMN)
     if pos_s == "サ変動詞":
         return stem.rlike("^[一-鿿]$")
     if pos_s == "イ形容詞":
-        return last != "っ"
+        return ~last.isin("っ", "ん", "ッ", "ン")
     if pos_s.startswith("子音動詞") and pos_s != "子音動詞サ行":
-        return ~last.isin("っ", "ん", "ー")
+        return ~last.isin("っ", "ん", "ッ", "ン", "ー")
     return F.lit(True)
 
 
@@ -85,7 +95,7 @@ def pos_consistent(h1: Column, b1: Column, k1: Column, h2: Column, b2: Column, k
 
 def bad_word(stem: Column, pos_s: Column) -> Column:
     noun = pos_s.isin(*NOUN_LIKE)
-    return stem.rlike("^[っゃゅょぁぃぅぇぉッァィゥェォャュョー〜：・＃○◎●]") | stem.rlike("[：・]$") | (pos_s.endswith("名詞") & (F.length(stem) == 1)) | (noun & (stem.rlike("^[ぁ-ゖ]ー$") | stem.endswith("っ")))
+    return stem.rlike(BAD_FIRST) | stem.rlike(BAD_LAST) | (pos_s.endswith("名詞") & (F.length(stem) == 1)) | (noun & (stem.rlike("^[ぁ-ゖ]ー$") | stem.endswith("っ")))
 
 
 def unsafe_word(stem: Column, pos_s: Column) -> Column:
@@ -108,8 +118,22 @@ def japanese_text(c: Column) -> Column:
 
 
 def noisy_line(c: Column, longest: int = 15) -> Column:
-    """Full-width space, obsolete kana, small kana where none can stand, or a run of one script that is too long."""
-    return c.rlike("　|[ゐゑヰヱ]") | c.rlike("(?:^|[^きしちにひみりぎじぢびぴ])[ゃゅょ]") | c.rlike("(?:^|[^ぁ-ゖ])[ぁぃぅぇぉ]|(?:^|[^ァ-ヴ])[ァィゥェォ]") | c.rlike("[ァ-ヴー]{%d,}" % (longest + 1))
+    """Full-width space, obsolete kana or geta, small kana where none can stand, or a phrase that is too long.
+
+    A phrase begins with content after kana or a mark and has at most `longest` characters.
+    """
+    return c.rlike(OBSOLETE) | c.rlike("%s+[ぁ-ゖ]{%d,}|%s{%d,}" % (PHRASE, longest, PHRASE, longest + 1)) | c.rlike(f"(?:^|[^{BEFORE_SMALL}])[ゃゅょ]") | c.rlike("(?:^|[^ぁ-ゖ])[ぁぃぅぇぉ]|(?:^|[^ァ-ヴ])[ァィゥェォ]")
+
+
+def suffix_noise(c: Column) -> dict[str, Column]:
+    """Reasons for which a sentence is of no use for counting suffixes."""
+    return {
+        "corrupt": c.rlike(r"\x{FFFD}|\\x[0-9A-Fa-f]{2}"),
+        "wide_space": c.contains("\u3000"),
+        "small_kana": c.rlike("(?:^|[^ぁ-ゖ])[ぁぃぅぇぉゃゅょっ]"),
+        "no_predicate": ~c.rlike("[ぁ-ゖ]"),
+        "long_phrase": c.rlike(r"[^、。！？「」（）\s]{16,}"),
+    }
 
 
 def host(url: Column) -> Column:

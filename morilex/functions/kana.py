@@ -6,6 +6,7 @@ from functools import lru_cache
 from itertools import product
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,28 +36,56 @@ def romanize(hira: str) -> str:
     return "".join(out)
 
 
-# How alike two characters are, what a long mark stands for, what contracts to a long vowel, and cheap
-# insertions and deletions.
-ALIKE = {("ー", "〜"): 0.2, ("ー", "～"): 0.2, ("〜", "～"): 0.2, ("あ", "ぁ"): 0.3, ("い", "ぃ"): 0.3, ("う", "ぅ"): 0.3, ("え", "ぇ"): 0.3, ("お", "ぉ"): 0.3, ("わ", "ゎ"): 0.3, ("か", "ヵ"): 0.3, ("つ", "っ"): 0.5, ("や", "ゃ"): 0.3, ("ゆ", "ゅ"): 0.3, ("よ", "ょ"): 0.3}
-PROLONGED = {"あ": "かばまゃ", "い": "いきしちにひじけせてへめれげぜでべぺ", "う": "おこそとのほもよろごぞどぼぽょ", "え": "えね"}
-PROLONGED_COST, CONTRACTED_COST = 0.3, -0.6
-CONTRACTED = {"あ": "え", "か": "け", "が": "げ", "さ": "せ", "ざ": "ぜ", "た": "て", "だ": "で", "な": "ね", "は": "へ", "ば": "べ", "ぱ": "ぺ", "ま": "め", "や": "や", "ら": "れ"}
-CONTRACTED_COSTS = {"は": -0.1}
+# What it costs to write one character for another.
+REPLACED = [
+    ("ー", "〜", 0.2), ("ー", "～", 0.2), ("〜", "～", 0.2),
+    ("あ", "ぁ", 0.3), ("い", "ぃ", 0.3), ("う", "ぅ", 0.3), ("え", "ぇ", 0.3), ("お", "ぉ", 0.3), ("わ", "ゎ", 0.3), ("か", "ヵ", 0.3),
+    ("つ", "っ", 0.5), ("や", "ゃ", 0.3), ("ゆ", "ゅ", 0.3), ("よ", "ょ", 0.3),
+]
+# The vowel that a long mark may stand for after a kana.
+PROLONGED = {
+    "か": "あ", "ば": "あ", "ま": "あ", "ゃ": "あ",
+    "い": "い", "き": "い", "し": "い", "ち": "い", "に": "い", "ひ": "い", "じ": "い",
+    "け": "い", "せ": "い", "て": "い", "へ": "い", "め": "い", "れ": "い", "げ": "い", "ぜ": "い", "で": "い", "べ": "い", "ぺ": "い",
+    "お": "う", "こ": "う", "そ": "う", "と": "う", "の": "う", "ほ": "う", "も": "う", "よ": "う", "ろ": "う", "ご": "う", "ぞ": "う", "ど": "う", "ぼ": "う", "ぽ": "う", "ょ": "う",
+    "え": "え", "ね": "え",
+}
+PROLONGED_COST = 0.3
+# Two kana that are also written as one with a long mark, and what that costs.
+MERGED = {
+    "あい": ("え", -0.6), "あえ": ("え", -0.6), "かい": ("け", -0.6), "かえ": ("け", -0.6), "がい": ("げ", -0.6), "がえ": ("げ", -0.6),
+    "さい": ("せ", -0.6), "さえ": ("せ", -0.6), "ざい": ("ぜ", -0.6), "ざえ": ("ぜ", -0.6), "たい": ("て", -0.6), "たえ": ("て", -0.6), "だい": ("で", -0.6), "だえ": ("で", -0.6),
+    "ない": ("ね", -0.6), "なえ": ("ね", -0.6), "はい": ("へ", -0.1), "はえ": ("へ", -0.1), "ばい": ("べ", -0.6), "ばえ": ("べ", -0.6), "ぱい": ("ぺ", -0.6), "ぱえ": ("ぺ", -0.6),
+    "まい": ("め", -0.6), "まえ": ("め", -0.6), "やい": ("や", -0.6), "やえ": ("や", -0.6), "らい": ("れ", -0.6), "らえ": ("れ", -0.6),
+}
+# Characters that are cheap to leave out or put in; marks of length.
 CHEAP = {"ー": 0.3, "〜": 0.3, "～": 0.3, "っ": 0.3}
 LONG_MARKS = "ー～〜"
 
 
-def _swap(a: str, b: str, before_a: str, before_b: str) -> float:
-    best = min(1.0, ALIKE.get((a, b), 1.0), ALIKE.get((b, a), 1.0))
-    for x, mark, px, pm in ((a, b, before_a, before_b), (b, a, before_b, before_a)):
-        if mark not in LONG_MARKS:
-            continue
-        if px == pm:
-            if px and px in PROLONGED.get(x, ""):
-                best = min(best, PROLONGED_COST)
-        elif x in "いえ" and px in CONTRACTED and CONTRACTED[px] == pm:
-            best = min(best, CONTRACTED_COSTS.get(px, CONTRACTED_COST))
-    return best
+@lru_cache(None)
+def _pair_costs() -> dict[str, float]:
+    """Cost of a pair of characters, in either order."""
+    return {a + b: c for x, y, c in REPLACED for a, b in ((x, y), (y, x))}
+
+
+def _substitution(a: str, b: str, before_a: str, before_b: str) -> float:
+    """Cost of one character for another, each with the one before it: the least of what the tables allow, 1 otherwise."""
+    costs = [1.0, _pair_costs().get(a + b, 1.0)]
+    for kana, before, mark, before_mark in ((a, before_a, b, before_b), (b, before_b, a, before_a)):
+        if mark in LONG_MARKS:
+            if before == before_mark and PROLONGED.get(before) == kana:
+                costs.append(PROLONGED_COST)
+            merged, cost = MERGED.get(before + kana, ("", 1.0))
+            if merged and before != before_mark and merged == before_mark:
+                costs.append(cost)
+    return min(costs)
+
+
+@lru_cache(None)
+def vowel_kana(vowels: str) -> str:
+    """Kana of the regular rows whose vowel is one of these."""
+    return "".join(k for row in _ROWS.values() for k, v in zip(row, "aiueo") if v in vowels)
 
 
 def weighted_distance(s: str, t: str) -> float:
@@ -65,7 +94,7 @@ def weighted_distance(s: str, t: str) -> float:
     for i, a in enumerate(s, 1):
         row = [float(i)]
         for j, b in enumerate(t, 1):
-            swap = 0.0 if a == b else _swap(a, b, s[i - 2 : i - 1] if i > 1 else "", t[j - 2 : j - 1] if j > 1 else "")
+            swap = 0.0 if a == b else _substitution(a, b, s[i - 2 : i - 1] if i > 1 else "", t[j - 2 : j - 1] if j > 1 else "")
             row.append(min(above[j] + CHEAP.get(a, 1.0), row[j - 1] + CHEAP.get(b, 1.0), above[j - 1] + swap))
         above = row
     return above[-1]
@@ -80,6 +109,26 @@ def euc_convertible(s: str) -> bool:
     return bool(data) and len(data) == 2 * len(s) and all(b >= 0xA1 for b in data)
 
 
+@lru_cache(None)
+def two_byte_class(syntax: str = "java") -> str:
+    """The characters of the two-byte set as the inside of a character class, by rule from the installed codec."""
+    codes = sorted(c for c in range(0xA1, 0x10000) if not 0xD800 <= c < 0xE000 and euc_convertible(chr(c)))
+    out, at = [], 0
+    while at < len(codes):
+        end = at
+        while end + 1 < len(codes) and codes[end + 1] == codes[end] + 1:
+            end += 1
+        out.append(f"\\x{{{codes[at]:X}}}" if end == at else f"\\x{{{codes[at]:X}}}-\\x{{{codes[end]:X}}}")
+        at = end + 1
+    return "".join(out)
+
+
+def euc_convertible_column(c: Column) -> Column:
+    """euc_convertible() as a JVM expression: nothing is left when the set's characters are taken away."""
+    everything = "".join(chr(x) for x in range(0xA1, 0x10000) if not 0xD800 <= x < 0xE000 and euc_convertible(chr(x)))
+    return (F.length(c) > 0) & (F.length(F.translate(c, everything, "")) == 0)
+
+
 def base_verb(potential: str) -> tuple[str, str] | None:
     """Base verb and its inflection type for a potential verb in dictionary form, or None."""
     # E-column kana before る, the u-column kana of the base verb, its row.

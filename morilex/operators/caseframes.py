@@ -67,6 +67,59 @@ def arguments(bunsetsu: DataFrame, morphemes: DataFrame) -> DataFrame:
     return near.select(*SENT, F.col("p_idx").alias("bnst_idx"), "predicate", "kind", "case", "argument", (F.col("a_idx") == F.col("p_idx") - 1).alias("adjacent"))
 
 
+def valid_from(bunsetsu: DataFrame) -> DataFrame:
+    """Phrases of each sentence after its last predicate that cannot be trusted: a sentence is read from its end and given up
+    there. Not trusted are unclear final predicates, greetings and interjections."""
+    bad = bunsetsu.where(F.col("fstring").rlike("<(?:呼掛|感動詞|用言弱化|解析不能)>")).groupBy(*SENT).agg(F.max("bnst_idx").alias("_bad"))
+    return bunsetsu.join(bad, SENT, "left").where(F.coalesce("_bad", F.lit(-1)) < F.col("bnst_idx")).drop("_bad")
+
+
+#: Checks that a case component must pass: what its phrase may not be marked as.
+_NO_COMPONENT = "<(?:非用言格解析|ハ|モ|副詞|並キ:[^>]*|括弧始|ID:[^>]*)>"
+
+
+def compound_particle(fstring: Column) -> Column:
+    """Case of a compound particle (について and the like), by the kana of its mark, or null."""
+    return F.nullif(F.regexp_extract(fstring, "<複合辞:([ァ-ヴー]+)>", 1), F.lit(""))
+
+
+def components(bunsetsu: DataFrame, morphemes: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, p_idx, a_idx, case, argument, amount, adjacent): case components of predicates after all checks.
+
+    Compound particles count as cases of their own; a component that is not next to its predicate is left out where
+    another predicate stands between them.
+    """
+    p = predicates(valid_from(bunsetsu), morphemes).select(*SENT, F.col("bnst_idx").alias("p_idx"), "predicate", "kind")
+    a = bunsetsu.where((F.coalesce("dpndtype", F.lit("D")) == "D") & ~F.col("fstring").rlike(_NO_COMPONENT))
+    a = a.withColumn("case", F.coalesce(compound_particle(F.col("fstring")), F.when(case_of(F.col("fstring")).isin(*CASES), case_of(F.col("fstring"))))).where("case is not null and case <> 'ノ'")
+    a = a.join(heads(morphemes), [*SENT, "bnst_idx"]).select(*SENT, F.col("bnst_idx").alias("a_idx"), F.col("parent_idx").alias("p_idx"), "case", generalised(F.col("head"), F.col("fstring")).alias("argument"), F.col("fstring").contains("<数量>").alias("amount"))
+    j = a.join(p, [*SENT, "p_idx"]).withColumn("adjacent", F.col("a_idx") == F.col("p_idx") - 1)
+    crossed = intervening(bunsetsu, "a_idx", "p_idx", "<用言:")(j)
+    return crossed.where(F.col("adjacent") | ~F.col("between")).drop("between")
+
+
+def with_no_case(parts: DataFrame, bunsetsu: DataFrame, morphemes: DataFrame) -> DataFrame:
+    """Adds `no`: what stands before a component with の. Where the component is an amount and what stands before it is not,
+    the two change places: of 三人の学生 and 学生の三人 it is the students that act."""
+    h = heads(morphemes)
+    no = bunsetsu.where(case_of(F.col("fstring")) == "ノ").join(h, [*SENT, "bnst_idx"]).select(*SENT, F.col("parent_idx").alias("a_idx"), F.col("bnst_idx").alias("n_idx"), generalised(F.col("head"), F.col("fstring")).alias("no"), F.col("fstring").contains("<数量>").alias("_no_amount"))
+    near = no.groupBy(*SENT, "a_idx").agg(F.max_by(F.struct("no", "_no_amount"), "n_idx").alias("n"))
+    j = parts.join(near, [*SENT, "a_idx"], "left")
+    swap = F.coalesce(F.col("amount") & ~F.col("n._no_amount"), F.lit(False))
+    return j.select(*[c for c in parts.columns if c != "argument"], F.when(swap, F.col("n.no")).otherwise(F.col("argument")).alias("argument"), F.when(swap, F.col("argument")).otherwise(F.col("n.no")).alias("no"))
+
+
+def analysed_cases(bunsetsu: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, bnst_idx, predicate, case, kind, argument) read from the parser's own case analysis: kind is C for a
+    case that is written, N for one that is not, O for an omitted one; cases without an argument are left out."""
+    found = bunsetsu.withColumn("_r", F.regexp_extract("fstring", "<格解析結果:([^>]+)>", 1)).where("_r <> ''")
+    # name/reading:kind of predicate:case/kind/argument/...;case/...
+    head = F.regexp_extract("_r", "^([^:]+):", 1)
+    flat = found.select(*SENT, "bnst_idx", head.alias("predicate"), F.explode(F.split(F.regexp_replace("_r", "^[^:]+:[^:]+:", ""), ";")).alias("c"))
+    part = lambda n: F.try_element_at(F.split("c", "/"), F.lit(n))
+    return flat.select(*SENT, "bnst_idx", "predicate", part(1).alias("case"), part(2).alias("kind"), F.nullif(part(3), F.lit("-")).alias("argument")).where("argument is not null and kind <> 'U'")
+
+
 def noun_frames(bunsetsu: DataFrame, morphemes: DataFrame) -> DataFrame:
     """(noun, feature): what a noun does (its case and predicate), and the nouns it stands before with の."""
     args = arguments(bunsetsu, morphemes).where("case <> 'ノ'").select(F.col("argument").alias("noun"), F.concat_ws(":", "case", "predicate").alias("fname"), F.lit("cf").alias("ftype"))

@@ -56,6 +56,16 @@ def register(found: DataFrame, known: DataFrame, suffixes: DataFrame, safe: bool
     return j.withColumn("outcome", why.otherwise("registered")).drop("_known", "_function")
 
 
+def event_log(registered: DataFrame) -> DataFrame:
+    """(event, stem, pos_s, n): what happened to found words, from rows with stem, pos_s, cnt and outcome."""
+    seen = registered.select(F.lit("example").alias("event"), "stem", "pos_s", F.col("cnt").alias("n"))
+    what = F.when(F.col("outcome") == "registered", "append").otherwise(F.concat(F.lit("reject: "), F.col("outcome")))
+    done = registered.select(what.alias("event"), "stem", "pos_s", F.lit(1).cast("long").alias("n"))
+    # examples are deleted whatever became of the word
+    gone = registered.where("cnt > 0").select(F.lit("delete examples").alias("event"), "stem", "pos_s", F.col("cnt").alias("n"))
+    return seen.unionByName(done).unionByName(gone)
+
+
 def variants_by_distance(entries: DataFrame, least_overlap: float = 0.6, most_length: int = 2, most_distance: float = 0.5) -> DataFrame:
     """(a, b, distance): entries whose readings are close: trigrams of the romanised reading, length, part of speech,
     weighted distance, in this order. entries(entry_id, yomi, hinsi, bunrui, katuyou1)."""

@@ -1,8 +1,8 @@
 """Linear learners, Naive Bayes and iterative parameter mixing.
 
-Training rows are sparse: (row_id, label, feats array<struct<fid,v>>). Sequential updates run within a shard; between
-epochs the weights of all shards are averaged, so no task sees more than its shard. A model has at most
-classes x features weights; its size is checked before it is broadcast.
+Training rows are sparse: (row_id, label, feats array<struct<fid,v>>). Sequential updates run within a shard, which is a
+partition of ROWS_PER_SHARD rows that streams through its task in Arrow batches; between epochs the weights of all shards
+are averaged. A model has at most classes x features weights; its size is checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -11,11 +11,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lookup import small
+
 MAX_WEIGHTS = 50_000_000
+ROWS_PER_SHARD = 100_000
+#: Weights up to which a model is broadcast for scoring; beyond, instances are joined with it.
+MAX_BROADCAST = 5_000_000
 
 
 class Learner:
@@ -37,7 +44,7 @@ class Learner:
 
 
 class Perceptron(Learner):
-    """Promotes the right class; demotes every class that scores higher than it."""
+    """Promotes the right class; demotes every class that scores higher than it, but never class 0, the rest."""
 
     def step(self, y, fid, v):
         s = self.scores(fid, v)
@@ -45,7 +52,8 @@ class Perceptron(Learner):
             return
         self.w[y, fid] += v
         for k in np.flatnonzero(s > s[y]) if (s > s[y]).any() else [int(s.argmax())] if int(s.argmax()) != y else []:
-            self.w[k, fid] -= v
+            if k:
+                self.w[k, fid] -= v
 
 
 class AveragedPerceptron(Perceptron):
@@ -104,7 +112,75 @@ class ConfidenceWeighted(Learner):
             self.var[k, fid] = 1 / (1 / self.var[k, fid] + 2 * alpha * self.phi * v * v / math.sqrt(spread))
 
 
-LEARNERS = {"perceptron": Perceptron, "averaged": AveragedPerceptron, "pa": PassiveAggressive, "cw": ConfidenceWeighted}
+class Binary(Learner):
+    """Two classes by the sign of one score: class 1 has weights, class 0 none."""
+
+    def __init__(self, classes: int, features: int):
+        if classes != 2:
+            raise ValueError("a binary learner has two classes")
+        super().__init__(2, features)
+
+    def margin(self, y: int, fid: np.ndarray, v: np.ndarray) -> tuple[int, float]:
+        """(sign of the right class, score times sign)."""
+        sign = 1 if y else -1
+        return sign, sign * float(self.w[1, fid] @ v)
+
+
+class BinaryPerceptron(Binary):
+    """The averaged perceptron for two classes."""
+
+    def __init__(self, classes, features):
+        super().__init__(classes, features)
+        self.sum, self.t = np.zeros(features), 1
+
+    def step(self, y, fid, v):
+        sign, m = self.margin(y, fid, v)
+        if m <= 0:
+            self.w[1, fid] += sign * v
+            self.sum[fid] += self.t * sign * v
+        self.t += 1
+
+    def result(self):
+        out = self.w.copy()
+        out[1] -= self.sum / self.t
+        return out
+
+
+class BinaryPassiveAggressive(Binary):
+    """Smallest change that gives a margin of one, bounded by c."""
+
+    c = 1.0
+
+    def step(self, y, fid, v):
+        sign, m = self.margin(y, fid, v)
+        norm = float(v @ v)
+        if m < 1 and norm:
+            self.w[1, fid] += sign * min(self.c, (1 - m) / norm) * v
+
+
+class BinarySoftConfidenceWeighted(Binary):
+    """Weights with a variance each; the margin is asked for with probability eta, softly (its exact closed form)."""
+
+    eta, c = 0.9, 1.0
+
+    def __init__(self, classes, features):
+        super().__init__(classes, features)
+        self.var, self.phi = np.ones(features), quantile(self.eta)
+
+    def step(self, y, fid, v):
+        sign, m = self.margin(y, fid, v)
+        var, phi = float((v * v) @ self.var[fid]), self.phi
+        if var <= 0 or phi * math.sqrt(var) - m <= 0:
+            return
+        zeta, psi = 1 + phi * phi, 1 + phi * phi / 2
+        alpha = min(self.c, max(0.0, (-m * psi + math.sqrt(m * m * phi**4 / 4 + var * phi * phi * zeta)) / (var * zeta)))
+        root = (-alpha * var * phi + math.sqrt(alpha * alpha * var * var * phi * phi + 4 * var)) / 2
+        beta = alpha * phi / (root + var * alpha * phi)
+        self.w[1, fid] += alpha * sign * self.var[fid] * v
+        self.var[fid] -= beta * (self.var[fid] * v) ** 2
+
+
+LEARNERS = {"perceptron": Perceptron, "averaged": AveragedPerceptron, "pa": PassiveAggressive, "cw": ConfidenceWeighted, "binary_perceptron": BinaryPerceptron, "binary_pa": BinaryPassiveAggressive, "binary_scw": BinarySoftConfidenceWeighted}
 
 
 def quantile(p: float) -> float:
@@ -122,19 +198,29 @@ def quantile(p: float) -> float:
 _W = T.StructType([T.StructField("class_id", T.IntegerType()), T.StructField("fid", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
 
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, fid, v) of the feats of a batch."""
+    feats = batch.column("feats")
+    inner = feats.flatten()
+    return np.append(0, np.cumsum(np.diff(feats.offsets.to_numpy()))), inner.field("fid").to_numpy(zero_copy_only=False).astype(int), inner.field("v").to_numpy(zero_copy_only=False).astype(float)
+
+
 def _epoch(kind: str, classes: int, features: int, start):
     """One pass over a shard in the order of its rows, from the broadcast weights."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        m = LEARNERS[kind](classes, features)
+    def run(batches):
+        m, seen = LEARNERS[kind](classes, features), False
         m.w = start.value.copy()
-        for r in df.sort_values("row_id").itertuples():
-            fid = np.array([x["fid"] for x in r.feats], dtype=int)
-            v = np.array([x["v"] for x in r.feats], dtype=float)
-            m.step(int(r.label), fid, v)
-        w = m.result()
-        k, f = np.nonzero(w)
-        return pd.DataFrame({"class_id": k.astype("int32"), "fid": f.astype("int32"), "weight": w[k, f]})
+        for b in batches:
+            offsets, fid, v = _sparse(b)
+            for i, y in enumerate(b.column("label").to_pylist()):
+                seen = True
+                m.step(int(y), fid[offsets[i] : offsets[i + 1]], v[offsets[i] : offsets[i + 1]])
+        if seen:
+            w = m.result()
+            k, f = np.nonzero(w)
+            # a row of class -1 says that the shard has taken part
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(f, 0).astype(np.int32)), pa.array(np.append(w[k, f], 1.0))], names=_W.names)
 
     return run
 
@@ -144,29 +230,56 @@ def average(parts: DataFrame, shards: int) -> DataFrame:
     return parts.groupBy("class_id", "fid").agg((F.sum("weight") / shards).alias("weight"))
 
 
-def train_mixed(rows: DataFrame, classes: int, features: int, kind: str = "perceptron", shards: int = 4, epochs: int = 3) -> DataFrame:
+def train_mixed(rows: DataFrame, classes: int, features: int, kind: str = "perceptron", shards: int | None = None, epochs: int = 3) -> DataFrame:
     """Iterative parameter mixing: each epoch every shard trains from the averaged weights, then they are averaged again.
 
-    rows(row_id, label, feats). Rows go to shards by a hash of row_id and are taken in the order of row_id.
+    rows(row_id, label, feats). Rows go to shards by a hash of row_id and are taken in the order of row_id; without
+    `shards` there is one for ROWS_PER_SHARD rows.
     """
     spark = rows.sparkSession
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int")).persist()
+    shards = shards or max(1, -(-rows.count() // ROWS_PER_SHARD))
+    sharded = rows.repartition(shards, "row_id").sortWithinPartitions("row_id").select("label", "feats").persist(StorageLevel.DISK_ONLY)
     weights = np.zeros((classes, features))
     for _ in range(epochs):
         start = spark.sparkContext.broadcast(weights)
-
-        got = average(sharded.groupBy("shard").applyInPandas(_epoch(kind, classes, features, start), _W), shards).toPandas()  # at most classes * features rows
+        got = sharded.mapInArrow(_epoch(kind, classes, features, start), _W).groupBy("class_id", "fid").agg(F.sum("weight").alias("weight")).toPandas()  # at most classes * features rows
+        took_part = float(got.weight[got.class_id < 0].sum()) or 1.0
+        got = got[got.class_id >= 0]
         weights = np.zeros((classes, features))
-        weights[got.class_id.to_numpy(), got.fid.to_numpy()] = got.weight.to_numpy()
+        weights[got.class_id.to_numpy(), got.fid.to_numpy()] = got.weight.to_numpy() / took_part
+        start.unpersist()
     sharded.unpersist()
     k, f = np.nonzero(weights)
     return spark.createDataFrame(pd.DataFrame({"class_id": k.astype("int32"), "fid": f.astype("int32"), "weight": weights[k, f]}), _W)
 
 
+_SCORE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("class_id", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
 def linear_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(row_id, class_id, score): instances joined with weights on the feature, summed."""
-    flat = rows.select("row_id", F.explode("feats").alias("x")).select("row_id", F.col("x.fid").alias("fid"), F.col("x.v").alias("v"))
-    return flat.join(weights, "fid").groupBy("row_id", "class_id").agg(F.sum(F.col("v") * F.col("weight")).alias("score"))
+    """(row_id, class_id, score) of instances, for the classes of the model. A model of bounded size is broadcast as one
+    matrix and whole batches are multiplied; a larger one is joined on the feature."""
+    got = weights.select(F.col("class_id").cast("int"), F.col("fid").cast("int"), F.col("weight").cast("double")).limit(MAX_BROADCAST + 1).toPandas()
+    ids = np.unique(got.class_id.to_numpy())
+    size = int(got.fid.max()) + 1 if len(got) else 0
+    if len(got) > MAX_BROADCAST or size * len(ids) > 10 * MAX_BROADCAST:
+        flat = rows.select("row_id", F.explode("feats").alias("x")).select("row_id", F.col("x.fid").alias("fid"), F.col("x.v").alias("v"))
+        return flat.join(weights, "fid").groupBy("row_id", "class_id").agg(F.sum(F.col("v") * F.col("weight")).alias("score"))
+    w = np.zeros((size, len(ids)))
+    w[got.fid.to_numpy(), np.searchsorted(ids, got.class_id.to_numpy())] = got.weight.to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast((ids.astype(np.int32), w))
+
+    def score(batches):
+        ids, w = shared.value
+        for b in batches:
+            offsets, fid, v = _sparse(b)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            known = (fid >= 0) & (fid < len(w))
+            out = np.zeros((b.num_rows, len(ids)))
+            np.add.at(out, owner[known], w[fid[known]] * v[known, None])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("row_id").to_numpy(zero_copy_only=False), len(ids))), pa.array(np.tile(ids, b.num_rows)), pa.array(out.ravel())], names=_SCORE.names)
+
+    return rows.where("row_id is not null and feats is not null").select(F.col("row_id").cast("long"), "feats").mapInArrow(score, _SCORE)
 
 
 def best_class(scores: DataFrame) -> DataFrame:
@@ -180,10 +293,19 @@ def naive_bayes(events: DataFrame, label: str, feature: str, floor: float = 1e-4
     total = n.agg(F.sum("n")).first()[0] or 0
     priors = n.select(label, "n", F.log(F.col("n") / F.lit(total)).alias("log_prior"))
     c = events.groupBy(label, feature).agg(F.count("*").alias("c"))
-    like = c.join(F.broadcast(priors.select(label, "n")) if total else priors.select(label, "n"), label).select(label, feature, F.greatest(F.log(F.col("c") / F.col("n")), F.lit(math.log(floor))).alias("log_p"))
+    like = c.join(small(priors.select(label, "n")), label).select(label, feature, F.greatest(F.log(F.col("c") / F.col("n")), F.lit(math.log(floor))).alias("log_p"))
     return priors.select(label, "log_prior"), like
 
 
+def save_model(weights: DataFrame, path: str) -> None:
+    """A model as a table, readable by any session; an older one is replaced only when the new one is complete."""
+    weights.select("class_id", "fid", "weight").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_W).parquet(path)
+
+
 def softmax(score: Column, over) -> Column:
     top = F.max(score).over(over)
     return F.exp(score - top) / F.sum(F.exp(score - top)).over(over)

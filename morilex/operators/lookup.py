@@ -46,16 +46,31 @@ def longest_prefix(words: DataFrame, word: str, listed: DataFrame, prefix: str,
     return hits.groupBy("word").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 
-def contained_pairs(words: DataFrame, word: str, n: int = 2) -> DataFrame:
-    """(inner, outer): distinct words (of at least n characters) where inner stands within outer.
+def contained_in(inner: DataFrame, a: str, outer: DataFrame, b: str, n: int = 2) -> DataFrame:
+    """(a, b): distinct words of `inner` that stand within, and are not, a distinct word of `outer`.
 
-    Candidates share inner's rarest n-gram, so a common n-gram never brings a whole block together.
+    Candidates share the inner word's n-gram that is rarest in `outer`, so a common n-gram never brings a whole block
+    together. Words shorter than n are looked up among the grams of their own length.
     """
-    w = words.select(F.col(word).alias("w")).where(F.length("w") >= n).distinct()
-    by_gram = w.select("w", F.explode(grams(F.col("w"), n)).alias("g"))
-    often = by_gram.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = by_gram.join(often, "g").groupBy("w").agg(F.min_by("g", F.struct("n", "g")).alias("g")).withColumnRenamed("w", "inner")
-    return rarest.join(by_gram.withColumnRenamed("w", "outer"), "g").where(F.col("inner") != F.col("outer")).where(F.instr("outer", F.col("inner")) > 0).select("inner", "outer").distinct()
+    small_words = inner.select(F.col(a).alias("w")).where(F.length(a) > 0).distinct()
+    large_words = outer.select(F.col(b).alias("o")).where(F.length(b) > 0).distinct()
+    out = None
+    for size in range(1, n + 1):
+        own = small_words.where(F.length("w") == size) if size < n else small_words.where(F.length("w") >= n)
+        by_gram = large_words.select("o", F.explode(grams(F.col("o"), size)).alias("g"))
+        often = by_gram.groupBy("g").agg(F.count("*").alias("n"))
+        asked = own.select("w", F.explode(grams(F.col("w"), size)).alias("g")).join(often, "g", "left")
+        # a word with a gram that no outer word has stands in none
+        rarest = asked.groupBy("w").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").drop("all")
+        hit = rarest.join(by_gram, "g").where((F.col("w") != F.col("o")) & (F.instr("o", F.col("w")) > 0)).select(F.col("w").alias(a), F.col("o").alias(b))
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
+
+
+def contained_pairs(words: DataFrame, word: str, n: int = 2) -> DataFrame:
+    """(inner, outer): distinct words of any length where inner stands within outer."""
+    w = words.select(F.col(word).alias("w"))
+    return contained_in(w.select(F.col("w").alias("inner")), "inner", w.select(F.col("w").alias("outer")), "outer", n)
 
 
 def overlap_pairs(words: DataFrame, key: str, text: str, n: int = 3, least: float = 0.6) -> DataFrame:

@@ -49,3 +49,36 @@ def skew_divergence(counts: DataFrame, group: str, item: str, n: str, alpha: flo
 
 def share_over(c: Column, *by: str) -> Column:
     return c / F.sum(c).over(W.partitionBy(*by))
+
+
+def gaussian(key: Column, mean: float, deviation: float) -> Column:
+    """A normal draw for each key, the same for the same key: two uniform numbers of its digest, transformed (Box and Muller)."""
+    part = lambda at: F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("double")
+    a, b = (part(1) + 1) / 4294967297.0, part(9) / 4294967296.0
+    return mean + deviation * F.sqrt(-2 * F.log(a)) * F.cos(2 * F.pi() * b)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """[(start, end)] of the matches of a pattern in a text, from 0, in the JVM: what stands between them gives the places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc, m):
+        # matches come in their order: the next one starts where this text stands next
+        start = F.call_function("locate", m, text, acc["at"] + 1) - 1
+        return F.struct((start + F.length(m)).alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), (start + F.length(m)).alias("end"))).alias("out"))
+
+    return F.aggregate(found, zero, step, lambda acc: acc["out"])
+
+
+def regions(tagged: Column, tag: str) -> Column:
+    """[(start, end)] of the regions <tag>...</tag> of a tagged text, as places in the text without tags. Tags do not nest."""
+    parts = F.split(tagged, f"</?{tag}>", -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc, p):
+        end = acc["at"] + F.length(p)
+        out = F.when(acc["inside"], F.array_append(acc["out"], F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
+
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])

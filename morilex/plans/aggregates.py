@@ -153,23 +153,21 @@ def t05_evict_oldest(spark, sf):
     return last.where(F.col("last") >= F.lit(cut)) if cut is not None else last
 
 
+@query("select doc_id, domain from documents order by md5('17-' || doc_id), doc_id limit 50")
 def t08_sample(spark, sf):
-    """Fifty distinct documents in the order of a seeded hash: the same for the same seed, without sorting all."""
+    """Fifty distinct documents in the order of a seeded digest: the same for the same seed, without sorting all."""
     d = table(spark, sf, "documents").select("doc_id", "domain")
-    return d.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(50)
-
-
-query()(t08_sample)
+    return d.orderBy(F.md5(F.concat_ws("-", F.lit("17"), F.col("doc_id").cast("string"))), "doc_id").limit(50)
 
 
 @query("""with s as (select midasi, cast(sum(cnt) as bigint) as c, count(distinct document_id) as d from ngram_uni where midasi is not null group by 1),
 a as (select midasi, row_number() over (order by c desc, midasi) as r from s), b as (select midasi, row_number() over (order by d desc, midasi) as r from s), x as (select midasi, row_number() over (order by length(midasi) desc, midasi) as r from s)
 select a.r as rank, a.midasi as by_count, b.midasi as by_documents, x.midasi as by_length from a join b on a.r = b.r join x on x.r = a.r where a.r <= 100""")
-def t12_three_rankings(spark, sf):
+def t12_three_rankings(spark, sf, first: int = 100):
     s = storage.written(table(spark, sf, "ngram_uni").where("midasi is not null").groupBy("midasi").agg(F.sum("cnt").alias("c"), F.count_distinct("document_id").alias("d")), "counts")
     out = None
     for name, key in (("by_count", F.desc("c")), ("by_documents", F.desc("d")), ("by_length", F.desc(F.length("midasi")))):
-        top = s.orderBy(key, "midasi").limit(100)  # a report of the first hundred
+        top = s.orderBy(key, "midasi").limit(first)  # a report of the first ranks
         one = top.select(F.row_number().over(W.orderBy(key, "midasi")).cast("long").alias("rank"), F.col("midasi").alias(name))
         out = one if out is None else out.join(one, "rank")
     return out

@@ -96,7 +96,7 @@ def ml11_parameter_mixing(spark, sf):
     size = e.select(F.max(F.size("embedding"))).first()[0] or 0
     classes = (e.select(F.max("label")).first()[0] or 0) + 1
     rows = e.select(F.col("vec_id").alias("row_id"), "label", F.transform("embedding", lambda x, i: F.struct(i.alias("fid"), x.cast("double").alias("v"))).alias("feats"))
-    w = learn.train_mixed(rows, classes, size, "averaged", 4, 3)
+    w = learn.train_mixed(rows, classes, size, "averaged", epochs=3)
     got = learn.best_class(learn.linear_scores(rows, w)).join(rows.select("row_id", "label"), "row_id")
     return got.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("class_id") == F.col("label")).cast("double")).alias("accuracy"))
 

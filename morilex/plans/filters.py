@@ -33,11 +33,13 @@ def f01_rule_match(spark, sf):
     return m.where("feature is not null").groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("midasi").alias("words"))
 
 
-@query("""select row_id, regexp_matches(raw, '　|[ゐゑヰヱ]') or regexp_matches(raw, '(?:^|[^きしちにひみりぎじぢびぴ])[ゃゅょ]')
- or regexp_matches(raw, '(?:^|[^ぁ-ゖ])[ぁぃぅぇぉ]|(?:^|[^ァ-ヴ])[ァィゥェォ]') or regexp_matches(raw, '[ァ-ヴー]{16,}') as noisy_line from sentences where raw is not null and unit = 'line'""")
+NOISE = f"""(regexp_matches(raw, '{chars.OBSOLETE}') or regexp_matches(raw, '{chars.PHRASE}+[ぁ-ゖ]{{15,}}|{chars.PHRASE}{{16,}}') or regexp_matches(raw, '(?:^|[^{chars.BEFORE_SMALL}])[ゃゅょ]')
+ or regexp_matches(raw, '(?:^|[^ぁ-ゖ])[ぁぃぅぇぉ]|(?:^|[^ァ-ヴ])[ァィゥェォ]'))"""
+
+
+@query(f"select row_id, {NOISE} as noisy_line from sentences where raw is not null")
 def f04_noise_filter(spark, sf):
-    s = table(spark, sf, "sentences").where("raw is not null and unit = 'line'")
-    return s.select("row_id", chars.noisy_line(F.col("raw")).alias("noisy_line"))
+    return table(spark, sf, "sentences").where("raw is not null").select("row_id", chars.noisy_line(F.col("raw")).alias("noisy_line"))
 
 
 STOP = ["する", "なる", "ある", "いる", "の", "を", "に", "が", "は", "と", "で", "も"]
@@ -50,12 +52,15 @@ def f15_stopword_anti(spark, sf):
     return u.groupBy("midasi").agg(F.sum("cnt").alias("cnt")).where("cnt >= 3")
 
 
-@query(f"""with {HEAD} select entry_id, head, regexp_matches(head, '^[っゃゅょぁぃぅぇぉッァィゥェォャュョー〜：・＃○◎●]') or regexp_matches(head, '[：・]$') or (ends_with(coalesce(bunrui, ''), '名詞') and length(head) = 1) as bad,
- regexp_matches(head, '^[ァ-ヴー]{{1,2}}$') and hinsi = '名詞' as unsafe from head""")
+#: A malformed word in SQL: {w} the word, {p} its part of speech.
+MALFORMED = f"(regexp_matches({{w}}, '{chars.BAD_FIRST}') or regexp_matches({{w}}, '{chars.BAD_LAST}') or (ends_with({{p}}, '名詞') and length({{w}}) = 1) or ({{p}} in ('普通名詞', '副詞', 'ナ形容詞') and (regexp_matches({{w}}, '^[ぁ-ゖ]ー$') or ends_with({{w}}, 'っ'))))"
+
+
+@query(f"""with {HEAD} select entry_id, head, {MALFORMED.format(w="head", p="coalesce(bunrui, hinsi)")} as bad, coalesce(bunrui, hinsi) in ('普通名詞', '副詞', 'ナ形容詞') and regexp_matches(head, '^[ァ-ヴー]{{1,2}}$') as unsafe from head""")
 def f11_bad_words(spark, sf):
-    h = headwords(spark, sf)
-    bad = F.col("head").rlike("^[っゃゅょぁぃぅぇぉッァィゥェォャュョー〜：・＃○◎●]") | F.col("head").rlike("[：・]$") | (F.coalesce("bunrui", F.lit("")).endswith("名詞") & (F.length("head") == 1))
-    return h.select("entry_id", "head", bad.alias("bad"), (F.col("head").rlike("^[ァ-ヴー]{1,2}$") & (F.col("hinsi") == "名詞")).alias("unsafe"))
+    """Malformed headwords, and those that are not safe enough without more evidence."""
+    pos = F.coalesce("bunrui", "hinsi")
+    return headwords(spark, sf).select("entry_id", "head", chars.bad_word(F.col("head"), pos).alias("bad"), chars.unsafe_word(F.col("head"), pos).alias("unsafe"))
 
 
 @query(f"""with {HEAD} select head, count(distinct entry_id) as entries, count(distinct hinsi || '/' || coalesce(bunrui, '') || '/' || coalesce(katuyou1, '')) = 1 as safe from head group by 1""")

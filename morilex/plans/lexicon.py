@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import chars, morphology
+from ..functions import chars, kana, morphology
 from ..operators import detect, dictionaries
 from .acquire import SUFFIXES, suffixes
+from .filters import MALFORMED
 from .registry import HEAD, TOK, headwords, query, table, tokens
 
 _FORMS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in morphology.inflections())
@@ -51,9 +52,12 @@ def f13_function_words(spark, sf):
     return headwords(spark, sf).where(F.length("head") <= 5).join(F.broadcast(s), "head", "left_semi").select("head").distinct()
 
 
-@query(f"""with {HEAD} select entry_id, head, length(head) between 1 and 129 and length(coalesce(yomi, 'あ')) between 1 and 129 as sane from head""")
+@query(f"""with {HEAD} select entry_id, head, length(head) between 1 and 129 and length(coalesce(yomi, 'あ')) between 1 and 129 and regexp_matches(head, '^[{kana.two_byte_class()}]+$') and regexp_matches(coalesce(yomi, 'あ'), '^[{kana.two_byte_class()}]+$')
+ and length(array_to_string(list_transform(coalesce(map_entries(imis), []), lambda e: e.key || ':' || coalesce(e.value, '')), ' ')) <= 1024 as sane from head""")
 def f14_sane_entries(spark, sf):
-    return headwords(spark, sf).select("entry_id", "head", chars.sane_entry(F.col("head"), F.col("yomi"), F.lit("")).alias("sane"))
+    """Entries whose headword, reading and marks have a length that the dictionary takes, in characters that it knows."""
+    text = F.array_join(F.transform(F.map_entries("imis"), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit("")))), " ")
+    return headwords(spark, sf).select("entry_id", "head", (chars.sane_entry(F.col("head"), F.col("yomi"), text) & kana.euc_convertible_column(F.col("head")) & kana.euc_convertible_column(F.coalesce("yomi", F.lit("あ")))).alias("sane"))
 
 
 @query("""select repname, count(distinct midasi) as spellings, cast(sum(cnt) as bigint) as cnt from ngram_uni where repname is not null and midasi is not null
@@ -66,7 +70,7 @@ def f18_variant_names(spark, sf):
     return g.where("spellings > 1 and not k and not h and longest < 8").select("repname", "spellings", "cnt")
 
 
-_STEMS = """st as (select entry_id, coalesce(map_extract(annotation, 'stem')[1], list_min(map_keys(midasi))) as stem, hinsi, katuyou1, try_cast(map_extract(annotation, 'count')[1] as bigint) as cnt from dictionary)"""
+_STEMS = """st as (select entry_id, dict_name, coalesce(map_extract(annotation, 'stem')[1], list_min(map_keys(midasi))) as stem, hinsi, katuyou1, try_cast(map_extract(annotation, 'count')[1] as bigint) as cnt from dictionary)"""
 
 
 @query(f"""with {_STEMS}, v as (select distinct stem, katuyou1 as pos_s from st where katuyou1 is not null) select * from v where not (pos_s = '母音動詞' and (exists (select 1 from v r where r.pos_s = '子音動詞ラ行' and r.stem = v.stem) or exists (select 1 from v k where k.pos_s = '子音動詞カ行' and k.stem || 'い' = v.stem)))""")
@@ -76,14 +80,15 @@ def f19_without_conflicts(spark, sf):
     return dictionaries.without_conflicts(v).select("stem", "pos_s")
 
 
-@query(f"""with {_STEMS}, s(suffix) as (values {_SUFFIX_VALUES}), f as (select stem, hinsi, sum(coalesce(cnt, 0)) as cnt from st where stem is not null group by 1, 2)
-select stem, hinsi, cast(cnt as bigint) as cnt, case when length(stem) <= 5 and stem in (select suffix from s) then 'function word'
- when regexp_matches(stem, '^[っゃゅょぁぃぅぇぉッァィゥェォャュョー〜：・＃○◎●]') or regexp_matches(stem, '[：・]$') or (hinsi = '名詞' and length(stem) = 1) or (hinsi = '副詞' and (regexp_matches(stem, '^[ぁ-ゖ]ー$') or ends_with(stem, 'っ'))) then 'malformed' else 'registered' end as outcome from f""")
+@query(f"""with {_STEMS}, s(suffix) as (values {_SUFFIX_VALUES}), f as (select stem, hinsi, sum(coalesce(cnt, 0)) as cnt from st where stem is not null and dict_name <> 'main' group by 1, 2), kn as (select distinct stem, hinsi from st where dict_name = 'main' and stem is not null)
+select stem, hinsi, cast(cnt as bigint) as cnt, case when exists (select 1 from kn where kn.stem = f.stem and kn.hinsi = f.hinsi) then 'known' when length(stem) <= 5 and stem in (select suffix from s) then 'function word'
+ when {MALFORMED.format(w='stem', p='hinsi')} then 'malformed' else 'registered' end as outcome from f""")
 def st07_registration(spark, sf):
-    """Found words with the outcome of registering them into an empty dictionary."""
+    """Found words with the outcome of registering them into the main dictionary."""
     e = dictionaries.stems(table(spark, sf, "dictionary")).where("stem is not null")
-    found = e.groupBy("stem", F.col("hinsi").alias("pos_s")).agg(F.sum(F.coalesce(F.try_element_at("annotation", F.lit("count")).cast("long"), F.lit(0).cast("long"))).alias("cnt"))
-    got = dictionaries.register(found, found.limit(0), suffixes(spark))
+    known = e.where("dict_name = 'main'").select("stem", F.col("hinsi").alias("pos_s"))
+    found = e.where("dict_name <> 'main'").groupBy("stem", F.col("hinsi").alias("pos_s")).agg(F.sum(F.coalesce(F.try_element_at("annotation", F.lit("count")).cast("long"), F.lit(0).cast("long"))).alias("cnt"))
+    got = dictionaries.register(found, known, suffixes(spark))
     return got.select("stem", F.col("pos_s").alias("hinsi"), "cnt", "outcome")
 
 
@@ -113,7 +118,7 @@ p as (select a, b, sum(n) as n from b group by 1, 2), u as (select midasi as w,
 
 
 @query(f"""with {_NAMED}, k as (select p.a, p.b, any_value(p.n) as n, sum(coalesce(q.n, 0)) as k, sum(coalesce(u2.n, 0)) as u from p join s on s.a = p.a left join p q on q.a = s.other and q.b = p.b left join u u2 on u2.w = s.other group by 1, 2)
-select k.a, k.b, cast(k.n as bigint) as n, round((k.n + 0.01) / (coalesce(u.n, 0) + 300), 8) as p, round((k.k + 0.01) / (k.u + 300), 8) as p_other from k left join u on u.w = k.a""")
+select k.a, k.b, cast(k.n as bigint) as n, round((k.n + 0.01) / (coalesce(u.n, 0) + 300), 8) as p, round((k.k + 0.01) / (k.u + 300), 8) as p_other, ((k.k + 0.01) / (k.u + 300)) / ((k.n + 0.01) / (coalesce(u.n, 0) + 300)) < 0.001 as suspicious from k left join u on u.w = k.a""")
 def st02_likelihood_ratio(spark, sf):
     """For each pair whose first word has other spellings: its probability, and that of the other spellings."""
     f = table(spark, sf, "ngram_fbi").where("w1.midasi is not null and w2.midasi is not null and w1.repname is not null").select(F.col("w1.midasi").alias("a"), F.col("w1.repname").alias("r"), F.col("w2.midasi").alias("b"), "cnt")
@@ -122,13 +127,13 @@ def st02_likelihood_ratio(spark, sf):
     names = f.select("a", "r").distinct()
     spellings = names.join(names.select("r", F.col("a").alias("other")), "r").where("a <> other").select("a", "other").distinct()
     got = detect.suspicious_pairs(pairs, uni, spellings)
-    return got.select("a", "b", "n", F.round("p", 8).alias("p"), F.round("p_other", 8).alias("p_other"))
+    return got.select("a", "b", "n", F.round("p", 8).alias("p"), F.round("p_other", 8).alias("p_other"), "suspicious")
 
 
 @query()
 def w03_fold_detection(spark, sf):
     """Positions detected in each sentence by the skipping fold; single katakana words are the candidates."""
-    s = table(spark, sf, "sentences").where("raw is not null and unit = 'line'").select("row_id", F.regexp_extract_all("raw", F.lit("[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z0-9]+|[^\\s]"), F.lit(0)).alias("words"))
+    s = table(spark, sf, "sentences").where("raw is not null").select("row_id", F.regexp_extract_all("raw", F.lit("[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z0-9]+|[^\\s]"), F.lit(0)).alias("words"))
     marks = F.transform("words", lambda w: F.when(w == "っ", "SKIP").when(w.rlike("^[A-Za-z0-9]+$"), "SINGLESKIP").when(w.rlike("^[ァ-ヴー]{3,}$"), "KATAKANA"))
     return s.select("row_id", detect.fold_detections(F.col("words"), marks).alias("at")).select("row_id", F.size("at").alias("n"), F.array_join("at", ",").alias("positions")).where("n > 0")
 
@@ -164,12 +169,12 @@ def j14_variants_by_distance(spark, sf):
 @query("""with f as (select repname as item, document_id as feature, cast(sum(cnt) as double) as n from ngram_uni where repname is not null and midasi is not null group by 1, 2), t as (select item from f group by 1 having sum(n) >= 5),
 g as (select f.* from f join t using (item)), nn as (select item, sqrt(sum(n * n)) as norm from g group by 1)
 select x.item as a, y.item as b, round(sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)), 6) as cosine from g x join g y on x.feature = y.feature and x.item < y.item join nn p on p.item = x.item join nn q on q.item = y.item
-where split_part(x.item, '/', 2) = split_part(y.item, '/', 2) group by 1, 2""")
+where split_part(x.item, '/', 2) = split_part(y.item, '/', 2) and split_part(x.item, '/', 2) <> '' group by 1, 2""")
 def ml18_distributional_similarity(spark, sf):
     """Cosine of the documents of frequent names that share a reading."""
     f = table(spark, sf, "ngram_uni").where("repname is not null and midasi is not null").groupBy(F.col("repname").alias("item"), F.col("document_id").alias("feature")).agg(F.sum("cnt").cast("double").alias("n"))
     often = f.groupBy("item").agg(F.sum("n").alias("t")).where("t >= 5").select("item")
     f = f.join(often, "item")
-    named = often.withColumn("reading", F.split_part("item", F.lit("/"), F.lit(2)))
+    named = often.withColumn("reading", F.split_part("item", F.lit("/"), F.lit(2))).where("reading <> ''")  # a name without a reading shares none
     pairs = named.select(F.col("item").alias("a"), "reading").join(named.select(F.col("item").alias("b"), "reading"), "reading").where("a < b").select("a", "b")
     return dictionaries.similar(f, pairs).where("cosine > 0").select("a", "b", F.round("cosine", 6).alias("cosine"))

@@ -36,7 +36,7 @@ def j04_longest_listed(spark, sf):
     return lookup.longest_prefix(tokens(spark, sf), "token", listed, "p", 4)
 
 
-@query(f"""with {HEAD}, w as (select distinct head as w from head where length(head) >= 2) select a.w as inner, b.w as outer from w a join w b on a.w <> b.w and contains(b.w, a.w)""".replace(" as inner", ' as "inner"').replace(" as outer", ' as "outer"'))
+@query(f"""with {HEAD}, w as (select distinct head as w from head where length(head) >= 1) select a.w as inner, b.w as outer from w a join w b on a.w <> b.w and contains(b.w, a.w)""".replace(" as inner", ' as "inner"').replace(" as outer", ' as "outer"'))
 def j08_contains(spark, sf):
     return lookup.contained_pairs(headwords(spark, sf), "head")
 
@@ -100,7 +100,7 @@ def j19_dictionary_diff(spark, sf):
     return j.select("k", F.when(F.col("in1").isNull(), "only2").when(F.col("in2").isNull(), "only1").otherwise("shared").alias("side"))
 
 
-@query(r"""with s as (select row_id, replace(raw, ' ', '') as t from sentences where raw is not null and unit = 'line'),
+@query(r"""with s as (select row_id, replace(raw, ' ', '') as t from sentences where raw is not null),
 a as (select row_id, unnest(regexp_extract_all(t, '[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|.', 0, 's')) as w, generate_subscripts(regexp_extract_all(t, '[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|.', 0, 's'), 1) as i from s),
 b as (select row_id, unnest(regexp_extract_all(t, '[一-鿿々]+[ぁ-ゖ]?|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|.', 0, 's')) as w, generate_subscripts(regexp_extract_all(t, '[一-鿿々]+[ぁ-ゖ]?|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|.', 0, 's'), 1) as i from s),
 ea as (select row_id, sum(length(w)) over (partition by row_id order by i) as e from a), eb as (select row_id, sum(length(w)) over (partition by row_id order by i) as e from b)
@@ -108,7 +108,7 @@ select row_id, count(*) as cuts, count_if(x and y) as common, count_if(x and not
 from (select row_id, e, bool_or(s = 1) as x, bool_or(s = 2) as y from (select row_id, e, 1 as s from ea union all select row_id, e, 2 from eb) group by 1, 2) group by 1""", "common only_first only_second")
 def j20_segmentation_diff(spark, sf):
     """Two segmentations of the same text compared by the offsets of their cuts."""
-    s = table(spark, sf, "sentences").where("raw is not null and unit = 'line'").select("row_id", F.replace("raw", F.lit(" "), F.lit("")).alias("t"))
+    s = table(spark, sf, "sentences").where("raw is not null").select("row_id", F.replace("raw", F.lit(" "), F.lit("")).alias("t"))
     first = "(?s)[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|."
     second = "(?s)[一-鿿々]+[ぁ-ゖ]?|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|."
     s = s.select("row_id", F.regexp_extract_all("t", F.lit(first), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(second), F.lit(0)).alias("b"))

@@ -154,7 +154,9 @@ from (select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (
 def u04_sentence_dedup(spark, sf):
     """Distinct lines within a document, the first of each kept: within the row, without a shuffle."""
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("a"))
-    first = d.select("doc_id", F.explode(F.transform(F.array_distinct("a"), lambda x: F.struct(F.array_position("a", x).alias("line_no"), x.alias("line")))).alias("x"))
+    # sorted by line and place, the first of equal lines is the one whose neighbour before it differs
+    s = d.select("doc_id", F.array_sort(F.transform("a", lambda x, i: F.struct(x.alias("line"), (i + 1).cast("long").alias("line_no")))).alias("s"))
+    first = s.select("doc_id", F.explode(F.filter("s", lambda x, i: (i == 0) | (F.get("s", F.greatest(i - 1, F.lit(0)))["line"] != x["line"]))).alias("x"))
     return first.select("doc_id", "x.line_no", "x.line").where(F.trim("line") != "")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import stateful
@@ -15,12 +18,55 @@ def st04_accumulate(spark, sf):
     return stateful.latest(stateful.run_to_end(stateful.accumulate(s, ["user_id", "event_type"], 3), "st04"), ["user_id", "event_type"])
 
 
-@query("select user_id, count(*) as total from events group by 1 having count(*) >= 5")
+@query("""with r as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn, count(*) over (partition by user_id) as total from events), d as (select user_id, event_type, any_value(total) as total, count(*) as n from r where rn <= 5 group by 1, 2),
+x as (select *, row_number() over (partition by user_id order by n desc, event_type) as k from d) select user_id, total, event_type as decision from x where k = 1 and total >= 5""")
 def st05_monitor(spark, sf):
-    """Users with enough events for a decision, from the stream's final state."""
-    s = stateful.table_stream(spark, sf, "events").select("user_id", "event_type")
-    last = stateful.latest(stateful.run_to_end(stateful.monitor(s, "user_id", "event_type", 5), "st05"), ["user_id"])
-    return last.where("decision is not null").select("user_id", "total")
+    """Users with enough events for a decision, and what is decided on their first five, from the stream's final state."""
+    s = stateful.table_stream(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    last = stateful.latest(stateful.run_to_end(stateful.monitor(s, "user_id", "event_type", 5, ["ts", "event_id"]), "st05"), ["user_id"])
+    return last.where("decision is not null").select("user_id", "total", "decision")
+
+
+@query("""select 'every' as observer, count(*) as sentences, cast(sum(length(raw)) as bigint) as chars from sentences where raw is not null union all select 'distinct', count(*), cast(sum(length(raw)) as bigint) from (select distinct document_id, raw from sentences where raw is not null)""")
+def st01_observers(spark, sf):
+    """One stream of sentences told to two observers: one hears every sentence, one each distinct sentence of a document."""
+    def count(batch):
+        return batch.agg(F.count("*").alias("sentences"), F.sum(F.length("raw")).alias("chars"))
+
+    o = stateful.Observers()
+    o.add("every", count)
+    o.add("distinct", count, unique=True)
+    got = o.run(stateful.table_stream(spark, sf, "sentences").where("raw is not null").select("document_id", "raw"), "document_id", "raw")
+    parts = [df.agg(F.sum("sentences").alias("sentences"), F.sum("chars").alias("chars")).select(F.lit(n).alias("observer"), "sentences", "chars") for n, df in sorted(got.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "observer string, sentences long, chars long")
+
+
+def _sums(spark, sf):
+    s = stateful.table_stream(spark, sf, "ngram_uni").where("midasi is not null").select("midasi", "cnt")
+    return stateful.run_to_end(stateful.running_sums(s, ["midasi"], "cnt"), "st03")
+
+
+@query("select midasi, cast(sum(cnt) as bigint) as cnt from ngram_uni where midasi is not null group by 1")
+def st03_updated_model(spark, sf):
+    """Counts of a language model that go on with every batch that is scanned."""
+    return stateful.latest(_sums(spark, sf), ["midasi"])
+
+
+@query("select midasi, cast(sum(cnt) as bigint) as cnt from ngram_uni where midasi is not null group by 1 having sum(cnt) >= 10")
+def st12_state_dump(spark, sf):
+    """The whole state of a stream read from its checkpoint; words that are counted often are shown."""
+    rows = stateful.state_rows(_sums(spark, sf))
+    if rows is None:
+        return spark.createDataFrame([], "midasi string, cnt long")
+    return rows.select("key.midasi", F.col("value.sum").alias("cnt")).where("cnt >= 10")
+
+
+@query("select event_type, count(*) as events, count(distinct user_id) as users from events group by 1")
+def k12_acquisition_log(spark, sf):
+    """What has been seen so far, from the metrics that are observed while the data stream through; kept by kind."""
+    s = stateful.table_stream(spark, sf, "events").select("event_type", "user_id").groupBy("event_type", "user_id").count()
+    last = stateful.latest(stateful.run_to_end(s, "k12"), ["event_type", "user_id"])
+    return last.groupBy("event_type").agg(F.sum("count").alias("events"), F.count("user_id").alias("users"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")

@@ -17,22 +17,52 @@ MAX_XML_BYTES = 16 * 1024 * 1024
 _SENTENCES = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("domain", T.StringType()), T.StructField("sent_id", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("bnst_idx", T.IntegerType()), T.StructField("midasi", T.StringType()), T.StructField("yomi", T.StringType()), T.StructField("genkei", T.StringType()), T.StructField("hinsi", T.StringType()), T.StructField("bunrui", T.StringType()), T.StructField("katuyou1", T.StringType()), T.StructField("katuyou2", T.StringType()), T.StructField("imis", T.StringType()), T.StructField("fstring", T.StringType()), T.StructField("homograph", T.BooleanType())])
 
 
+def numbered_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, block, line_no, value) of the records of text files, numbered from 1 within their file.
+
+    Files are read in their splits: no task holds more than one. A split's records are numbered by a window over it, and
+    what comes before a split is a sum of counts, one small row for each split.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    t = (reader.option("lineSep", separator) if separator else reader).text(path)
+    t = t.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    counts = t.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = t.withColumn("_k", F.row_number().over(W.partitionBy("file", "block").orderBy("_id")))
+    return within.join(before, ["file", "block"]).select("file", "block", (F.col("_before") + F.col("_k")).cast("int").alias("line_no"), "value")
+
+
+def carried(lines: DataFrame, header, name: str) -> DataFrame:
+    """Adds `name`: the last header at or above each line of its file; header is null on other lines. Within a split by a
+    window over it, into a split by the last header of those before it."""
+    own = lines.withColumn("_h", header)
+    last = own.where("_h is not null").groupBy("file", "block").agg(F.max_by("_h", "line_no").alias("_last"))
+    every = own.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    into = every.withColumn("_into", F.last("_last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    w = W.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return own.join(into, ["file", "block"]).withColumn(name, F.coalesce(F.last("_h", ignorenulls=True).over(w), F.col("_into"))).drop("_h", "_into")
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent_id, raw): one sentence for each line; compressed files are read as they are."""
-    t = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "raw"))
-    return t.where(F.trim("raw") != "").select("file", (F.col("i") + 1).alias("sent_id"), "raw")
+    return numbered_lines(spark, path).where(F.trim("value") != "").select("file", F.col("line_no").alias("sent_id"), F.col("value").alias("raw"))
 
 
 def read_raw_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, sent_id, raw) of files that hold several documents, each headed by `#document<TAB>id`."""
-    parts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^#document\t")).alias("d")).where(F.trim("d") != "")
-    d = parts.select(F.element_at(F.split("d", "\n", 2), 1).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.try_element_at(F.split("d", "\n", 2), F.lit(2)), F.lit("")), "\n")).alias("i", "raw"))
-    return d.where(F.trim("raw") != "").select(F.trim("doc_id").alias("doc_id"), (F.col("i") + 1).alias("sent_id"), "raw")
+    """(doc_id, sent_id, raw) of files that hold several documents, each headed by `#document<TAB>id`; lines count from it."""
+    lines = numbered_lines(spark, path)
+    id_ = F.regexp_extract("value", r"^#document\t(.*)$", 1)
+    head = F.when(F.col("value").startswith("#document\t"), F.struct(F.trim(id_).alias("doc_id"), F.col("line_no").alias("at")))
+    d = carried(lines, head, "head").where(F.col("head").isNotNull() & ~F.col("value").startswith("#document\t") & (F.trim("value") != ""))
+    return d.select("head.doc_id", (F.col("line_no") - F.col("head.at")).alias("sent_id"), F.col("value").alias("raw"))
 
 
-def parse_analysis(text: str):
-    """Rows of analysed text: morpheme lines, `*` phrase heads, `+` lines, `@` homographs, `# S-ID:`, `#document id domain`, EOS."""
-    doc, domain, sid, n, pos, bnst = None, None, None, 0, -1, -1
+def parse_analysis(text: str, doc: str | None = None, domain: str | None = None, n: int = 0):
+    """Rows of analysed text: morpheme lines, `*` phrase heads, `+` lines, `@` homographs, `# S-ID:`, `#document id domain`, EOS.
+
+    doc, domain, n: the document that the text begins in, and how many of its sentences came before.
+    """
+    sid, pos, bnst = None, -1, -1
     for line in text.split("\n"):
         line = line.rstrip("\r")
         if line.startswith("#document"):
@@ -61,9 +91,9 @@ def parse_analysis(text: str):
             yield (doc, domain, sid or str(n), pos, bnst, f[0], f[1], f[2], f[3], none(f[5]), none(f[7]), none(f[9]), None if m.group(1) in (None, "NIL") else m.group(1).strip('"') or None, m.group(2) or None, homograph)
 
 
-def parse_phrases(text: str):
+def parse_phrases(text: str, doc: str | None = None, domain: str | None = None, n: int = 0):
     """(doc_id, sent_id, bnst_idx, parent_idx, dpndtype, fstring) of the `*` lines of analysed text."""
-    doc, sid, n, bnst = None, None, 0, -1
+    sid, bnst = None, -1
     for line in text.split("\n"):
         if line.startswith("#document"):
             parts = re.split(r"[\t ]", line.rstrip("\r"))
@@ -78,33 +108,35 @@ def parse_phrases(text: str):
             yield doc, sid or str(n), bnst, int(m.group(1)), m.group(2), m.group(3)
 
 
-def read_phrases(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Phrases of analysed files with their dependency."""
-    schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("sent_id", T.StringType()), T.StructField("bnst_idx", T.IntegerType()), T.StructField("parent_idx", T.IntegerType()), T.StructField("dpndtype", T.StringType()), T.StructField("fstring", T.StringType())])
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+def _parsed(spark: SparkSession, path: str, glob: str, parse, schema: T.StructType) -> DataFrame:
+    """Sentences of analysed files, each parsed by itself: records end where a line begins with EOS, whatever follows there."""
+    if glob != "*":
+        path = f"{path.rstrip('/')}/{glob}"
+    r = numbered_lines(spark, path, "\nEOS")
+    line = F.regexp_extract("value", r"(?m)^#document[\t ](.*)$", 1)
+    parts = F.split(F.rtrim(line), "[\\t ]")
+    head = F.when(F.col("value").rlike(r"(?m)^#document[\t ]"), F.struct(F.element_at(parts, 1).alias("doc"), F.try_element_at(parts, F.lit(2)).alias("domain"), F.col("line_no").alias("at")))
+    d = carried(r, head, "head").select("head.doc", "head.domain", (F.col("line_no") - F.coalesce("head.at", F.lit(1))).alias("n"), "value")
 
     def rows(batches):
         import pandas as pd
 
         for b in batches:
-            for text in b["value"]:
-                yield pd.DataFrame(list(parse_phrases(text)), columns=schema.names)
+            got = [x for doc, domain, n, text in zip(b["doc"], b["domain"], b["n"], b["value"]) for x in parse(text, doc, domain, n)]
+            yield pd.DataFrame(got, columns=schema.names)
 
-    return files.mapInPandas(rows, schema)
+    return d.mapInPandas(rows, schema)
 
 
-def read_analysis(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Morphemes of analysed files, one row each; a document's file is one record."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-
-    def rows(batches):
-        import pandas as pd
+def read_phrases(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Phrases of analysed files with their dependency."""
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("sent_id", T.StringType()), T.StructField("bnst_idx", T.IntegerType()), T.StructField("parent_idx", T.IntegerType()), T.StructField("dpndtype", T.StringType()), T.StructField("fstring", T.StringType())])
+    return _parsed(spark, path, glob, parse_phrases, schema)
 
-        for b in batches:
-            for text in b["value"]:  # one file at a time
-                yield pd.DataFrame(list(parse_analysis(text)), columns=_SENTENCES.names)
 
-    return files.mapInPandas(rows, _SENTENCES)
+def read_analysis(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Morphemes of analysed files, one row each."""
+    return _parsed(spark, path, glob, parse_analysis, _SENTENCES)
 
 
 def read_standard_xml(spark: SparkSession, path: str, root: str = "StandardFormat") -> DataFrame:
@@ -180,3 +212,41 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def round_robin(df: DataFrame, keys: list[str], shards: int) -> DataFrame:
     """Adds `shard`: row i of the order goes to i mod shards."""
     return row_index(df, keys, "_i").withColumn("shard", ((F.col("_i") - 1) % shards).cast("int")).drop("_i")
+
+
+def format_analysis(morphemes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, text): the analysis of each sentence as text that `parse_analysis` reads; a sentence ends with EOS."""
+    none = lambda c: F.coalesce(F.col(c), F.lit("*"))
+    imis = F.coalesce(F.concat(F.lit('"'), F.col("imis"), F.lit('"')), F.lit("NIL"))
+    line = F.concat(F.when(F.coalesce("homograph", F.lit(False)), "@ ").otherwise(""), F.concat_ws(" ", "midasi", "yomi", "genkei", "hinsi", F.lit("0"), none("bunrui"), F.lit("0"), none("katuyou1"), F.lit("0"), none("katuyou2"), F.lit("0"), imis, F.coalesce("fstring", F.lit(""))))
+    row = F.struct("pos", F.coalesce("homograph", F.lit(False)).alias("h"), F.coalesce("bnst_idx", F.lit(-1)).alias("b"), line.alias("line"))
+    g = morphemes.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("m"))  # the words of one sentence
+    lines = F.flatten(F.transform("m", lambda x, i: F.when((x["b"] >= 0) & ((i == 0) | (x["b"] != F.element_at("m", F.greatest(i, F.lit(1)))["b"])), F.array(F.lit("* -1D"), x["line"])).otherwise(F.array(x["line"]))))
+    return g.select(*by, F.concat(F.lit("# S-ID:"), F.col(by[-1]).cast("string"), F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nEOS")).alias("text"))
+
+
+def undo_changes(morphemes: DataFrame) -> DataFrame:
+    """Words as they were before the parser changed their part of speech: what its mark names is put back.
+
+    The mark is <品詞変更:surface-reading-base-class-subclass-type-form>.
+    """
+    mark = r"<品詞変更:([^>-]*)-([^>-]*)-([^>-]*)-([^>-]*)-([^>-]*)-([^>-]*)-([^>-]*)>"
+    changed = F.coalesce(F.col("fstring").rlike(mark), F.lit(False))
+    back = {c: F.when(changed, F.nullif(F.regexp_extract("fstring", mark, i), F.lit(""))).otherwise(F.col(c)) for i, c in enumerate(("midasi", "yomi", "genkei", "hinsi", "bunrui", "katuyou1", "katuyou2"), 1) if c in morphemes.columns}
+    return morphemes.withColumns(back)
+
+
+class Pool:
+    """Sources of documents that are given out one after the other, the last one added first."""
+
+    def __init__(self):
+        self._held: list[DataFrame] = []
+
+    def add(self, documents: DataFrame) -> None:
+        self._held.append(documents)
+
+    def is_empty(self) -> bool:
+        return not self._held
+
+    def get(self) -> DataFrame | None:
+        return self._held.pop() if self._held else None

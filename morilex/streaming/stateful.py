@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,54 @@ def run_to_end(df: DataFrame, name: str, mode: str = "update") -> DataFrame:
     if q.exception():
         raise q.exception()
     schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).option("basePath", out).parquet(out) if is_dir(spark, out) else spark.createDataFrame([], schema)
+    got = spark.read.schema(schema).option("basePath", out).parquet(out) if is_dir(spark, out) else spark.createDataFrame([], schema)
+    got._morilex_checkpoint = ckpt
+    return got
+
+
+def state_rows(results: DataFrame) -> DataFrame | None:
+    """The whole state that a stream which was run to its end has left, as (key, value); None if nothing came."""
+    spark, path = results.sparkSession, results._morilex_checkpoint
+    return spark.read.format("statestore").load(path).select("key", "value") if is_dir(spark, f"{path}/state") else None
+
+
+class Observers:
+    """Functions that are told of sentences as they come: each of every sentence, or of each distinct one of a document."""
+
+    def __init__(self):
+        self.by_id: dict[str, tuple[Callable[[DataFrame], DataFrame], bool]] = {}
+
+    def add(self, name: str, function: Callable[[DataFrame], DataFrame], unique: bool = False) -> None:
+        """function: a batch of sentences to the rows it has to say about them."""
+        self.by_id[name] = (function, unique)
+
+    def get(self, name: str) -> Callable[[DataFrame], DataFrame]:
+        return self.by_id[name][0]
+
+    def remove(self, name: str) -> None:
+        del self.by_id[name]
+
+    def run(self, sentences: DataFrame, document: str, text: str) -> dict[str, DataFrame]:
+        """One pass over the stream for the observers of all sentences, one for those of distinct ones; rows by observer,
+        each with its batch. A batch that is tried again after a failure writes the same folders again."""
+        spark, folders = sentences.sparkSession, {name: scratch(sentences.sparkSession, f"observer-{name}") for name in self.by_id}
+        for unique in (False, True):
+            mine = {n: f for n, (f, u) in self.by_id.items() if u == unique}
+            if not mine:
+                continue
+            stream = sentences.dropDuplicates([document, text]) if unique else sentences
+
+            def tell(batch: DataFrame, number: int, mine=mine) -> None:
+                batch.persist(StorageLevel.DISK_ONLY)
+                for name, function in mine.items():
+                    function(batch).write.mode("overwrite").parquet(f"{folders[name]}/batch={number}")
+                batch.unpersist()
+
+            q = stream.writeStream.option("checkpointLocation", scratch(spark, "observers-ckpt")).foreachBatch(tell).trigger(availableNow=True).start()
+            q.awaitTermination()
+            if q.exception():
+                raise q.exception()
+        return {name: spark.read.option("basePath", path).parquet(path) for name, path in folders.items() if is_dir(spark, path)}
 
 
 def accumulate(examples: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -54,24 +102,30 @@ def accumulate(examples: DataFrame, keys: list[str], least: int) -> DataFrame:
     return examples.groupBy(*keys).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def monitor(events: DataFrame, key: str, kind: str, decide_at: int) -> DataFrame:
-    """(key, total, decision): the most frequent kind of a key, decided when `decide_at` events have come and kept then.
+def monitor(events: DataFrame, key: str, kind: str, decide_at: int, order: list[str] | None = None) -> DataFrame:
+    """(key, total, decision): the most frequent kind among the first `decide_at` events of a key, kept from then on.
 
-    State is one count for each kind; kinds are few and `decide_at` bounds the counting.
+    Events of a micro-batch are taken in the given order, else as they come. State is one count for each kind; only the events that are
+    still needed for the decision are held, however many a key has.
     """
     out = T.StructType([events.schema[key], T.StructField("total", T.LongType()), T.StructField("decision", T.StringType())])
-    state = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("decision", T.StringType())])
+    state = T.StructType([T.StructField("total", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("decision", T.StringType())])
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        kinds, counts, decision = st.get if st.exists else ([], [], None)
-        seen = dict(zip(kinds, counts))
+        total, kinds, counts, decision = st.get if st.exists else (0, [], [], None)
+        seen, first = dict(zip(kinds, counts)), None
+        missing = max(0, decide_at - sum(seen.values()))
         for b in batches:
-            for x, n in b[kind].value_counts().items():
+            total += len(b)
+            if decision is None:
+                both = b if first is None else pd.concat([first, b])
+                first = (both.sort_values(order, kind="stable") if order else both).head(missing)
+        if decision is None and first is not None:
+            for x, n in first[kind].value_counts().items():
                 seen[x] = seen.get(x, 0) + int(n)
-        total = sum(seen.values())
-        if decision is None and total >= decide_at:
-            decision = min(seen, key=lambda x: (-seen[x], x))
-        st.update((list(seen), list(seen.values()), decision))
+            if sum(seen.values()) >= decide_at:
+                decision = min(seen, key=lambda x: (-seen[x], x))
+        st.update((total, list(seen), list(seen.values()), decision))
         yield pd.DataFrame([(*k, total, decision)], columns=out.names)
 
     return events.groupBy(key).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
@@ -90,3 +144,8 @@ def windowed_counts(events: DataFrame, time: str, kind: str, unit: str = "day")
     null. State is one count for each day and kind.
     """
     return events.groupBy(F.date_trunc(unit, time).alias("start"), kind).agg(F.count("*").alias("n"))
+
+
+def running_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): sums that go on with every batch."""
+    return rows.groupBy(*keys).agg(F.sum(value).alias(value))

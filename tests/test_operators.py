@@ -23,7 +23,7 @@ def test_prefix_pairs(words):
 
 def test_contained_pairs(words):
     got = {(r[0], r[1]) for r in lookup.contained_pairs(words, "w").collect()}
-    assert got == {(a, b) for a, b in product(WORDS, WORDS) if len(a) > 1 and a != b and a in b}
+    assert got == {(a, b) for a, b in product(WORDS, WORDS) if a and a != b and a in b}
 
 
 def test_overlap_pairs(spark):
@@ -87,7 +87,7 @@ def test_induction_acquires_the_fixture(spark):
     ex = [(1, "", "BOS", "ファボる"), (2, "", "BOS", "ファボらず"), (3, "", "BOS", "ファボれ"), (4, "", "BOS", "ホゲを")]
     suf = [("る", "子音動詞ラ行", "基本形"), ("らず", "子音動詞ラ行", "未然形"), ("れ", "子音動詞ラ行", "命令形"), ("を", "普通名詞", "を")]
     got = acquire.induce(spark.createDataFrame(ex, "example_id long, front string, front_tag string, text string"), spark.createDataFrame(suf, "suffix string, pos_s string, katuyou2 string"))
-    assert [tuple(r) for r in got.collect()] == [("ファボ", "子音動詞ラ行", 3)]
+    assert [tuple(r) for r in got.collect()] == [("ファボ", "子音動詞ラ行", 3, False)]
 
 
 def test_decomposable_and_kept_by_length(spark):
@@ -102,7 +102,21 @@ def test_instances_carry_up(spark):
     assert {(r["origin"], r["name"], r["doc_id"], r["k"]) for r in got.collect()} == {("page", "x", 1, 3), ("domain", "x", None, 3)}
 
 
-@pytest.mark.parametrize("kind", sorted(learn.LEARNERS))
+def test_two_class_learners_separate():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5))
+    y = (x @ np.array([2.0, -1.0, 0.5, 0.0, 0.0]) > 0).astype(int)
+    for kind in ("binary_perceptron", "binary_pa", "binary_scw"):
+        m = learn.LEARNERS[kind](2, 5)
+        for _ in range(3):
+            for a, b in zip(x, y):
+                m.step(int(b), np.arange(5), a)
+        assert np.mean((m.result() @ x.T).argmax(0) == y) > 0.95 and not m.result()[0].any()
+    with pytest.raises(ValueError):
+        learn.BinaryPerceptron(3, 5)
+
+
+@pytest.mark.parametrize("kind", sorted(k for k in learn.LEARNERS if not k.startswith("binary")))
 def test_learners_separate(kind):
     rng = np.random.default_rng(3)
     m = learn.LEARNERS[kind](3, 6)
