@@ -188,6 +188,11 @@ def p2_surprise(spark, sf_dir: str) -> DataFrame:
     return got.select(F.col("a").alias("repname_a"), F.col("b").alias("repname_b"), "n_ab", F.col("baskets").alias("docs"), "n_a", "n_b", F.lit(total).cast("long").alias("n_all"), "expected_slots", "p_value", "significant")
 
 
+def p2_counts(spark, sf_dir: str) -> DataFrame:
+    """The exact counts of every pair and of its two names, as the operator holds them."""
+    return p2_surprise(spark, sf_dir).select("repname_a", "repname_b", "n_ab", "docs", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+
+
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """Pairs far beyond chance: significant under the null at the false-discovery rate, at least 8 times in at least 5
     documents, and ten times the product of the single shares."""

@@ -13,6 +13,7 @@ WHERE = {
     "p1_canonical": "lookalike",
     "p2_found": "pairs",
     "p2_surprise": "pairs",
+    "p2_counts": "pairs",
     "p3_found": "termcounts",
     "p3_terms": "termcounts",
     "p3_after_changes": "termcounts",
