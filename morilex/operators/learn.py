@@ -14,10 +14,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookup import small
+from .storage import written
 
 MAX_WEIGHTS = 50_000_000
 ROWS_PER_SHARD = 100_000
@@ -297,6 +299,36 @@ def naive_bayes(events: DataFrame, label: str, feature: str, floor: float = 1e-4
     return priors.select(label, "log_prior"), like
 
 
+def naive_bayes_em(documents: DataFrame, labels: list[str], rounds: int = 5, floor: float = 1e-4, hard: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Naive Bayes from documents of which only some have a label: documents(doc_id, label, feature, n).
+
+    Expectation: how much of a document without a label belongs to each label, by the words of each; with `hard` all of it
+    to the likeliest. Maximisation: counts weighted by that. A document with a label belongs to it. Returns (priors,
+    likelihoods, memberships); each round is two grouped sums and a join on the words, whatever the size.
+    """
+    words = written(documents.where("feature is not null").groupBy("doc_id", "feature").agg(F.sum("n").alias("n")), "em-words")
+    known = documents.groupBy("doc_id").agg(F.max("label").alias("label"))
+    each = known.withColumn("k", F.explode(F.array(*[F.lit(x) for x in labels]).cast("array<string>")))
+    fixed = written(each.select("doc_id", F.col("k").alias("label"), F.when(F.col("label").isNull(), F.lit(1.0 / max(1, len(labels)))).otherwise((F.col("label") == F.col("k")).cast("double")).alias("w"), F.col("label").isNull().alias("open")), "em-start")
+    member = fixed
+    for _ in range(rounds):
+        mass = member.groupBy("label").agg(F.sum("w").alias("mass"))
+        total = mass.agg(F.sum("mass")).first()[0] or 1.0
+        priors = mass.select("label", F.log(F.greatest(F.col("mass") / F.lit(total), F.lit(1e-12))).alias("log_prior"))
+        counts = words.join(member.where("w > 0"), "doc_id").groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("c"))
+        like = written(counts.join(counts.groupBy("label").agg(F.sum("c").alias("all")), "label").select("label", "feature", F.greatest(F.log(F.col("c") / F.col("all")), F.lit(math.log(floor))).alias("log_p")), "em-words-of-labels")
+        # a word that a label lacks has the floor
+        asked = words.join(fixed.where("open").select("doc_id", "label"), "doc_id").join(like, ["label", "feature"], "left")
+        score = asked.groupBy("doc_id", "label").agg(F.sum(F.col("n") * F.coalesce("log_p", F.lit(math.log(floor)))).alias("s")).join(F.broadcast(priors), "label").withColumn("s", F.col("s") + F.col("log_prior"))
+        w = W.partitionBy("doc_id")  # as many rows as labels
+        share = F.exp(F.col("s") - F.max("s").over(w))
+        if hard:
+            share = (F.row_number().over(w.orderBy(F.desc("s"), "label")) == 1).cast("double")
+        soft = score.withColumn("_e", share).select("doc_id", "label", (F.col("_e") / F.sum("_e").over(w)).alias("w"), F.lit(True).alias("open"))
+        member = written(fixed.where("not open").unionByName(soft), "em-members")
+    return priors, like, member
+
+
 def save_model(weights: DataFrame, path: str) -> None:
     """A model as a table, readable by any session; an older one is replaced only when the new one is complete."""
     weights.select("class_id", "fid", "weight").write.mode("overwrite").parquet(path)

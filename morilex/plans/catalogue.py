@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import acquire, aggregates, corpus, entries, evaluate, filters, lexicon, lookups, matches, models, nouns, order, registering, registry, scans, streams  # noqa: F401  (they register)
+from . import acquire, aggregates, corpus, entries, evaluate, filters, keeping, lexicon, lookups, matches, models, nouns, order, registering, registry, scans, streams  # noqa: F401  (they register)
 
 
 def queries():

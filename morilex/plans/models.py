@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import chars
 from ..operators import learn
 from .evaluate import _VEC
-from .registry import query, table
+from .registry import query, table, tokens
 
 
 def vectors(spark, sf):
@@ -83,3 +84,16 @@ def ml08_binary_learners(spark, sf):
         one = got.agg(F.lit(kind).alias("learner"), F.count("*").alias("n"), F.round(F.avg((F.col("class_id") == F.col("label")).cast("double")), 3).alias("accuracy"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query()
+def ml12_expectation(spark, sf):
+    """Languages of documents whose label is hidden, by Naive Bayes with expectation and maximisation: how many come out right."""
+    t = tokens(spark, sf).select("doc_id", chars.language(F.col("lang")).alias("lang"), "token").where("lang is not null")
+    hidden = F.col("doc_id") % 2 == 0
+    labels = sorted(r[0] for r in t.where(~hidden).select("lang").distinct().collect())  # as many as languages
+    d = t.groupBy("doc_id", "lang", "token").agg(F.count("*").alias("n")).select("doc_id", F.when(~hidden, F.col("lang")).alias("label"), F.col("token").alias("feature"), "n")
+    _, _, member = learn.naive_bayes_em(d, labels, rounds=2)
+    best = member.where("open").groupBy("doc_id").agg(F.max_by("label", F.struct("w", "label")).alias("label"))
+    got = best.join(t.select("doc_id", "lang").distinct(), "doc_id")
+    return got.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("lang")).alias("right"))

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lookup
 from ..streaming import stateful
-from .registry import query
+from .registry import query, table
 
 
 @query("select user_id, event_type, count(*) as n, count(*) >= 3 as fired from events group by 1, 2")
@@ -74,3 +75,27 @@ def st01_windowed_counts(spark, sf):
     """Counts by day of event time; late events count as well."""
     s = stateful.table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return stateful.latest(stateful.run_to_end(stateful.windowed_counts(s, "ts", "event_type"), "st01"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(r"""with a as (select regexp_extract_all(raw, '[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|\S') as a from sentences where raw is not null), e as (select a[i] as kata, coalesce(a[i - 1], '') as front from (select a, unnest(range(1, len(a) + 1)) as i from a)), k as (select front, kata, count(*) as n from e where regexp_matches(kata, '^[ァ-ヴー]+$') group by 1, 2)
+select front, kata, n from k where n >= 3""")
+def st04_katakana_groups(spark, sf):
+    """Examples of katakana words accumulated in state by the word and what stands before it; groups of three and more."""
+    s = stateful.table_stream(spark, sf, "sentences").where("raw is not null").select(F.regexp_extract_all("raw", F.lit(r"[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z]+|\S"), F.lit(0)).alias("a"))
+    pairs = F.filter(F.transform("a", lambda w, i: F.struct(F.when(i > 0, F.get("a", F.greatest(i - 1, F.lit(0)))).otherwise("").alias("front"), w.alias("kata"))), lambda x: x["kata"].rlike("^[ァ-ヴー]+$"))
+    e = s.select(F.explode(pairs).alias("x")).select("x.front", "x.kata")
+    last = stateful.latest(stateful.run_to_end(stateful.accumulate(e, ["front", "kata"], 3), "st04k"), ["front", "kata"])
+    return last.where("fired").select("front", "kata", "n")
+
+
+@query(r"""with t as (select unnest(regexp_extract_all(raw, '[ァ-ヴー]+')) as w from sentences where raw is not null), k as (select w, count(*) as n from t group by 1), p as (select a.w, sum(b.n) as related from k a join k b on starts_with(a.w, b.w) or starts_with(b.w, a.w) group by 1)
+select w as word, n, cast(related as bigint) as grp from k join p using (w) where related >= 3""")
+def st04_prefix_groups(spark, sf):
+    """Examples whose word begins with, equals or extends each word: the groups of a trie, by equi-joins on prefixes."""
+    t = table(spark, sf, "sentences").where("raw is not null").select(F.explode(F.regexp_extract_all("raw", F.lit("[ァ-ヴー]+"), F.lit(0))).alias("w"))
+    k = t.groupBy("w").agg(F.count("*").alias("n"))
+    pairs = lookup.prefix_pairs(k, "w")
+    up = pairs.join(k.select(F.col("w").alias("longer"), "n"), "longer").select(F.col("shorter").alias("w"), "n")
+    down = pairs.join(k.select(F.col("w").alias("shorter"), "n"), "shorter").select(F.col("longer").alias("w"), "n")
+    related = up.unionByName(down).unionByName(k).groupBy("w").agg(F.sum("n").alias("grp"))
+    return k.join(related, "w").where("grp >= 3").select(F.col("w").alias("word"), "n", "grp")

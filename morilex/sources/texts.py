@@ -165,6 +165,22 @@ def read_bitext(spark: SparkSession, path: str, by_paper: bool = False) -> DataF
     return t.select(F.when(paper == "", F.col("id")).otherwise(paper).alias("doc_id"), F.coalesce(line, F.lit(1)).alias("sent_id"), "raw")
 
 
+def read_bitext_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, line_no, raw) of the sentences of bitext in XML, each a document of its own, under the id above it."""
+    lines = numbered_lines(spark, path)
+    id_ = F.coalesce(*[F.nullif(F.regexp_extract("value", p, 1), F.lit("")) for p in (r'docid="([^"]+)"', r'<para_sentence id="([^"]+)"')])
+    found = carried(lines, id_, "doc_id").withColumn("raw", F.regexp_extract("value", "<i_sentence>([^<>]+)</i_sentence>", 1))
+    return found.where("raw <> ''").select("doc_id", "line_no", "raw")
+
+
+def read_sorted_bitext(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, line_no, raw) of sorted bitext: a line `# X ID n n` before each sentence; sentences of one id are one document."""
+    lines = numbered_lines(spark, path)
+    pattern = r"^# [A-Za-z] ([0-9_A-Z.]+) [0-9]+ [0-9]+$"
+    found = carried(lines, F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1)), "doc_id")
+    return found.where(F.col("doc_id").isNotNull() & ~F.col("value").rlike(pattern) & (F.trim("value") != "")).select("doc_id", "line_no", F.col("value").alias("raw"))
+
+
 def read_instances(spark: SparkSession, path: str, binary: bool = True) -> DataFrame:
     """(name, label, origin, feats) of lines `name<TAB>label<TAB>origin<TAB>fid:value ...`; values count as 1 if binary."""
     t = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 4)
@@ -172,11 +188,17 @@ def read_instances(spark: SparkSession, path: str, binary: bool = True) -> DataF
     return t.select(F.element_at("p", 1).alias("name"), F.element_at("p", 2).alias("label"), F.element_at("p", 3).alias("origin"), pairs.alias("feats"))
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, kind) of character variants (as code points) from lines `U+XXXX<TAB>property<TAB>U+YYYY ...`, with reversed edges as kind2."""
+def read_variants(spark: SparkSession, path: str, jis_only: bool = False) -> DataFrame:
+    """(a, b, kind) of character variants (as code points) from lines `U+XXXX<TAB>property<TAB>U+YYYY ...`, with reversed edges as kind2.
+
+    jis_only: only characters of the Japanese sets, which are those with a property kJis0 or kJis1.
+    """
     kinds = {"kTraditionalVariant": "T", "kSimplifiedVariant": "S", "kZVariant": "Z"}
     t = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
     table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    if jis_only:
+        own = t.where(F.element_at("p", 2).isin("kJis0", "kJis1")).select(F.element_at("p", 1).alias("c")).distinct()
+        t = t.join(own, F.element_at("p", 1) == F.col("c"), "left_semi")
     edges = t.select(F.element_at("p", 1).alias("a"), F.try_element_at(table, F.element_at("p", 2)).alias("kind"), F.explode(F.regexp_extract_all(F.element_at("p", 3), F.lit(r"U\+[0-9A-F]+"), F.lit(0))).alias("b")).where("kind is not null").select("a", "b", "kind")
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.concat("kind", F.lit("2")).alias("kind"))).distinct()
 
@@ -194,7 +216,7 @@ def shard_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.where(number.between(start, end))
 
 
-READERS = {"raw": read_raw, "rawdata": read_raw_documents, "analysed": read_analysis, "docdir": read_standard_xml, "bitext": read_bitext}
+READERS = {"bitext_xml": read_bitext_xml, "bitext_sorted": read_sorted_bitext, "raw": read_raw, "rawdata": read_raw_documents, "analysed": read_analysis, "docdir": read_standard_xml, "bitext": read_bitext}
 
 
 def read(spark: SparkSession, **options) -> DataFrame:

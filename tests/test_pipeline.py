@@ -296,3 +296,20 @@ def test_pool(spark):
     p.add(spark.range(1))
     p.add(spark.range(2))
     assert p.get().count() == 2 and p.get().count() == 1 and p.is_empty() and p.get() is None
+
+
+def test_bitext_and_variants(spark, tmp_path):
+    (tmp_path / "b.xml").write_text('<doc docid="p1">\n<i_sentence>一文目。</i_sentence>\n<para_sentence id="p2">\n<i_sentence>二文目。</i_sentence>\n', encoding="utf-8")
+    assert [(r["doc_id"], r["raw"]) for r in texts.read(spark, bitext_xml=str(tmp_path / "b.xml")).orderBy("line_no").collect()] == [("p1", "一文目。"), ("p2", "二文目。")]
+    (tmp_path / "s.txt").write_text("# A 1_X 1 2\nfirst\n# A 1_X 2 2\nsecond\n# B 2.Y 1 1\nthird\n", encoding="utf-8")
+    assert [(r["doc_id"], r["raw"]) for r in texts.read_sorted_bitext(spark, str(tmp_path / "s.txt")).orderBy("line_no").collect()] == [("1_X", "first"), ("1_X", "second"), ("2.Y", "third")]
+    (tmp_path / "u.txt").write_text("U+56FD\tkTraditionalVariant\tU+570B\nU+56FD\tkJis0\t2581\nU+4E2A\tkTraditionalVariant\tU+500B\n", encoding="utf-8")
+    assert {r["a"] for r in texts.read_variants(spark, str(tmp_path / "u.txt"), jis_only=True).collect()} == {"U+56FD", "U+570B"}
+
+
+def test_labels_by_expectation(spark):
+    rows = [(i, ("x" if i < 5 else "y") if i % 5 < 2 else None, f, 2) for i in range(10) for f in (("a", "b") if i < 5 else ("c", "d"))]
+    for hard in (False, True):
+        _, _, member = learn.naive_bayes_em(spark.createDataFrame(rows, "doc_id int, label string, feature string, n int"), ["x", "y"], rounds=3, hard=hard)
+        best = {r["doc_id"]: r["label"] for r in member.where("w > 0.9").collect()}
+        assert best == {i: "x" if i < 5 else "y" for i in range(10)}
