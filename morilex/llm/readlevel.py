@@ -71,23 +71,45 @@ def words(text: str) -> list[int]:
     return list(chain.from_iterable(map(_run_words, _WORD.findall(text))))
 
 
-def weighted_lines(text: str) -> tuple[list[tuple[str, float]], float]:
-    """([(Japanese line, weight)], the share of Japanese in all lines by letters and weight)."""
-    lines: list[tuple[str, float, int, str]] = []
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        line = unicodedata.normalize("NFKC", line)
-        n = len(_LETTERS.findall(line))
-        running = n >= 12 and _FINAL.search(line) is not None
-        # running text without kana is Chinese; a heading of ideographs may be either
-        kind = "ja" if _KANA.search(line) else "han" if not running and _HAN_ONLY.match(line) else "other"
-        lines.append((line, 1.0 if running else LIGHT, n, kind))
-    top = max((w for _, w, _, _ in lines), default=1.0)
-    mass = {k: sum(w * n for _, w, n, kind in lines if kind == k) for k in ("ja", "han", "other")}
-    own = ("ja", "han") if mass["ja"] > mass["other"] else ("ja",)  # ideographs alone go with the rest
-    total = sum(mass.values())
-    return [(line, w / top) for line, w, _, kind in lines if kind in own], sum(mass[k] for k in own) / total if mass["ja"] else 0.0
+@lru_cache(None)
+def _kinds() -> np.ndarray:
+    """For every character below U+10000: 1 a letter, 2 kana, 4 a final mark, 8 anything but white space."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        out[code] = (1 if _LETTERS.match(c) else 0) | (2 if _KANA.match(c) else 0) | (4 if _FINAL.match(c) else 0) | (0 if c.isspace() else 8)
+    return out
+
+
+def weighted_lines(texts: list[str]) -> list[tuple[list[tuple[str, float]], float]]:
+    """For each text ([(Japanese line, weight)], the share of Japanese in all lines by letters and weight).
+
+    The characters of all texts are looked at as one array.
+    """
+    parts = [[x if x.isascii() else unicodedata.normalize("NFKC", x) for x in t.split("\n")] for t in texts]
+    flat = [x for p in parts for x in p]
+    code = np.frombuffer("\n".join(flat).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    flags = np.where(code < 1 << 16, _kinds()[np.minimum(code, 0xFFFF)], 9)  # characters beyond are letters
+    ends = np.cumsum([len(x) + 1 for x in flat]) if flat else np.zeros(0, dtype=np.int64)
+    count = lambda bit: np.diff(np.concatenate([[0], np.cumsum(flags & bit != 0)])[np.concatenate([[0], np.minimum(ends, len(code))])]).tolist()
+    letters, kana, final, filled = (count(bit) for bit in (1, 2, 4, 8)) if flat else ([], [], [], [])
+    out, i = [], 0
+    for p in parts:
+        lines: list[tuple[str, float, str]] = []
+        mass, top = {"ja": 0.0, "han": 0.0, "other": 0.0}, LIGHT
+        for line in p:
+            n, running = letters[i], letters[i] >= 12 and final[i] > 0
+            if filled[i]:
+                # running text without kana is Chinese; a heading of ideographs may be either
+                kind = "ja" if kana[i] else "han" if not running and _HAN_ONLY.match(line) else "other"
+                weight = 1.0 if running else LIGHT
+                top = max(top, weight)
+                mass[kind] += weight * n
+                lines.append((line, weight, kind))
+            i += 1
+        own = ("ja", "han") if mass["ja"] > mass["other"] else ("ja",)  # ideographs alone go with the rest
+        out.append(([(line, w / top) for line, w, kind in lines if kind in own], sum(mass[k] for k in own) / sum(mass.values()) if mass["ja"] else 0.0))
+    return out
 
 
 _VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType())), T.StructField("n_words", T.LongType())])
@@ -96,19 +118,26 @@ _VECTORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("i
 def _vectors(batches):
     for b in batches:
         ids, offsets, buckets, counts, sizes = [], [0], [], [], []
-        for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            kept, share = weighted_lines(text)
-            if share < JAPANESE_SHARE:
-                continue
-            full, light = (words("\n".join([x for x, w in kept if (w == 1.0) == running])) for running in (True, False))
-            u, at = np.unique(np.array(full + light, dtype=np.int32), return_inverse=True)
-            weight = np.ones(len(at), dtype=np.float32)
-            weight[len(full) :] = LIGHT
-            ids.append(i)
-            buckets.append(u)
-            counts.append(np.bincount(at, weight, len(u)).astype(np.float32))
-            sizes.append(len(at))
-            offsets.append(offsets[-1] + len(u))
+        doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):  # bounds the arrays in memory
+                size += len(texts[end])
+                end += 1
+            for i, (kept, share) in zip(doc_ids[at:end], weighted_lines(texts[at:end])):
+                if share < JAPANESE_SHARE:
+                    continue
+                full, light = (words("\n".join([x for x, w in kept if (w == 1.0) == running])) for running in (True, False))
+                u, place = np.unique(np.array(full + light, dtype=np.int32), return_inverse=True)
+                weight = np.ones(len(place), dtype=np.float32)
+                weight[len(full) :] = LIGHT
+                ids.append(i)
+                buckets.append(u)
+                counts.append(np.bincount(place, weight, len(u)).astype(np.float32))
+                sizes.append(len(place))
+                offsets.append(offsets[-1] + len(u))
+            at = end
         if ids:
             offs = pa.array(np.array(offsets, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(buckets))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(counts))), pa.array(sizes, pa.int64())], names=_VECTORS.names)

@@ -375,10 +375,10 @@ def test_words_of_very_long_documents_all_count():
 
 
 def test_all_lines_count():
-    kept, share = readlevel.weighted_lines("トップ\n猫がいました。みんなで笑いました。\n日本国憲法。\nAll rights reserved")
+    kept, share = readlevel.weighted_lines(["トップ\n猫がいました。みんなで笑いました。\n日本国憲法。\nAll rights reserved"])[0]
     assert [w for _, w in kept] == [readlevel.LIGHT, 1.0, readlevel.LIGHT] and share > 0.8
-    assert readlevel.weighted_lines("短い\nもの") == ([("短い", 1.0), ("もの", 1.0)], 1.0)
-    assert readlevel.weighted_lines("昨天我们在图书馆借了一本很旧的书。\n日本")[1] == 0.0
+    got = readlevel.weighted_lines(["短い\nもの", "", "昨天我们在图书馆借了一本很旧的书。\n日本"])
+    assert got == [([("短い", 1.0), ("もの", 1.0)], 1.0), ([], 0.0), ([], 0.0)] and readlevel.weighted_lines([]) == []
     assert len(set(readlevel.words("モレゼニとカボチャ"))) == 3
 
 
