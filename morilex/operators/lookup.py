@@ -83,10 +83,12 @@ def overlap_pairs(words: DataFrame, key: str, text: str, n: int = 3, least: floa
     by_gram = w.select("k", F.explode(grams(F.col("t"), n)).alias("g"))
     often = by_gram.groupBy("g").agg(F.count("*").alias("f"))
     ranked = by_gram.join(often, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs")).select("k", F.transform("gs", lambda x: x["g"]).alias("gs")).withColumn("size", F.size("gs"))
-    probe = ranked.select(F.col("k").alias("ka"), F.col("gs").alias("ga"), F.col("size").alias("na"), F.explode(F.slice("gs", F.lit(1), F.col("size") - F.ceil(F.lit(least) * F.col("size")).cast("int") + 1)).alias("g"))
-    index = ranked.select(F.col("k").alias("kb"), F.col("gs").alias("gb"), F.col("size").alias("nb"), F.explode("gs").alias("g"))
-    both = probe.join(index, "g").where("(na < nb) or (na = nb and ka <> kb)").select("ka", "kb", "ga", "gb", "na").distinct()
-    scored = both.withColumn("overlap", F.size(F.array_intersect("ga", "gb")) / F.col("na")).where(F.col("overlap") >= least)
+    probe = ranked.select(F.col("k").alias("ka"), F.col("size").alias("na"), F.explode(F.slice("gs", F.lit(1), F.col("size") - F.ceil(F.lit(least) * F.col("size")).cast("int") + 1)).alias("g"))
+    index = ranked.select(F.col("k").alias("kb"), F.col("size").alias("nb"), F.explode("gs").alias("g"))
+    # candidates are keys only; the grams of each come to them afterwards
+    both = probe.join(index, "g").where("(na < nb) or (na = nb and ka <> kb)").select("ka", "kb", "na").distinct()
+    sets = lambda x: ranked.select(F.col("k").alias(f"k{x}"), F.col("gs").alias(f"g{x}"))
+    scored = both.join(sets("a"), "ka").join(sets("b"), "kb").withColumn("overlap", F.size(F.array_intersect("ga", "gb")) / F.col("na")).where(F.col("overlap") >= least)
     return scored.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "overlap").distinct()
 
 

@@ -217,13 +217,35 @@ def _borders(spark, sf, side):
     return s.select("row_id", "i", F.get("tokens", "i")["w"].alias("word"), F.explode(side(F.col("tokens"), F.col("i"))).alias("b")).select("row_id", "i", "word", "b.n", "b.text", "b.tag")
 
 
-@query()
+def _border_sql(front: bool) -> str:
+    """The borders of one side as a reduction over the tokens of the sentence, from the word on."""
+    longest = borders.LONGEST_FRONT if front else borders.LONGEST_REAR
+    near = f"t.pos < p.pos and t.phrase >= p.phrase - {borders.PHRASES}" if front else f"t.pos > p.pos and t.phrase <= p.phrase + {borders.PHRASES}"
+    text = "x.w || acc.text" if front else "acc.text || x.w"
+    edge, inner = ("BOS", "BOB") if front else ("EOS", "EOB")
+    stop = f"regexp_matches(x.w, '{borders.SEPARATOR}')" + (" or x.w = 'を'" if front else "")
+    last = "" if front else " and x.w <> 'を'"
+    at = lambda n, t, tag: f"list_append(list_filter({{out}}, lambda b: b.n <> {n}), {{{{'n': {n}, 'text': {t}, 'tag': {tag}}}}})"
+    stopped = at("acc.n", "acc.text", f"'{edge}'").format(out="acc.found")
+    taken = at("acc.n + 1", f"({text})", "x.tag").format(out="acc.found")
+    side = "prev_phrase" if front else "next_phrase"
+    return rf"""with {_WIN}, tk as (select *, lag(phrase) over s as prev_phrase, lead(phrase) over s as next_phrase from ph window s as (partition by row_id order by pos)),
+tg as (select *, case when {side} is null then '{edge}' when {side} <> phrase then '{inner}' end as tag from tk), pv as (select * from tg where regexp_matches(token, '{_KATA}')),
+sc as (select p.row_id, p.pos, any_value(p.token) as word, any_value(p.tag) as tag, list({{'go': true, 'text': '', 'n': 0, 'found': []::struct(n integer, text varchar, tag varchar)[], 'w': t.token, 'tag': t.tag}} order by t.pos {'desc' if front else 'asc'}) filter (t.pos is not null) as l
+ from pv p left join tg t on t.row_id = p.row_id and {near} group by 1, 2),
+rd as (select row_id, pos, word, list_reduce(list_prepend({{'go': true, 'text': '', 'n': 0, 'found': case when tag is null then [] else [{{'n': 0, 'text': '', 'tag': tag}}] end::struct(n integer, text varchar, tag varchar)[], 'w': '', 'tag': null::varchar}}, coalesce(l, [])), lambda acc, x: case when not acc.go then acc
+ when {stop} then {{'go': false, 'text': acc.text, 'n': acc.n, 'found': {stopped}, 'w': x.w, 'tag': x.tag}}
+ else {{'go': length({text}) <= {longest}{last}, 'text': {text}, 'n': acc.n + 1, 'found': case when length({text}) <= {longest} and x.tag is not null then {taken} else acc.found end, 'w': x.w, 'tag': x.tag}} end) as z from sc)
+select row_id, cast(pos - 1 as integer) as i, word, b.n as n, b.text as text, b.tag as tag from (select row_id, pos, word, unnest(z.found) as b from rd)"""
+
+
+@query(_border_sql(True))
 def w06_front_borders(spark, sf):
     """Borders before each katakana word: sentence, phrase, separator."""
     return _borders(spark, sf, borders.front_borders)
 
 
-@query()
+@query(_border_sql(False))
 def w07_rear_borders(spark, sf):
     """Borders after each katakana word."""
     return _borders(spark, sf, borders.rear_borders)

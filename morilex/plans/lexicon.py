@@ -130,7 +130,11 @@ def st02_likelihood_ratio(spark, sf):
     return got.select("a", "b", "n", F.round("p", 8).alias("p"), F.round("p_other", 8).alias("p_other"), "suspicious")
 
 
-@query()
+@query(r"""with s as (select row_id, regexp_extract_all(raw, '[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z0-9]+|\S') as a from sentences where raw is not null),
+e as (select row_id, list_prepend({'skip': 0, 'held': false, 'found': []::integer[], 'w': '', 'f': '', 'i': -1}, list_transform(a, lambda w, i: {'skip': 0, 'held': false, 'found': []::integer[], 'w': w, 'f': case when w = 'っ' then 'SKIP' when regexp_matches(w, '^[A-Za-z0-9]+$') then 'SINGLESKIP' when regexp_matches(w, '^[ァ-ヴー]{3,}$') then 'KATAKANA' else '' end, 'i': cast(i - 1 as integer)})) as l from s),
+r as (select row_id, list_reduce(l, lambda acc, x: {'skip': case when x.f = 'SKIP' then 2 else greatest(acc.skip - 1, 0) end, 'held': not regexp_matches(x.w, '^[、。，．！？…「」『』（）()：；／]$') and (acc.held or (x.f = 'KATAKANA' and acc.skip = 0)),
+ 'found': case when not acc.held and x.f = 'KATAKANA' and acc.skip = 0 then list_append(acc.found, x.i) else acc.found end, 'w': x.w, 'f': x.f, 'i': x.i}) as z from e)
+select row_id, cast(len(z.found) as integer) as n, array_to_string(z.found, ',') as positions from r where len(z.found) > 0""")
 def w03_fold_detection(spark, sf):
     """Positions detected in each sentence by the skipping fold; single katakana words are the candidates."""
     s = table(spark, sf, "sentences").where("raw is not null").select("row_id", F.regexp_extract_all("raw", F.lit("[一-鿿々]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z0-9]+|[^\\s]"), F.lit(0)).alias("words"))

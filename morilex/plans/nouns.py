@@ -31,12 +31,13 @@ def a31_feature_type_share(spark, sf):
     return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 6))  # a handful of types
 
 
-@query(f"""with {_FEATS}, page as (select name, domain, doc_id, count(distinct ftype || '/' || fname) as k, count(*) as n from f group by 1, 2, 3), p as (select * from page where k >= 6),
-rest as (select f.* from f where not exists (select 1 from p where p.name = f.name and p.domain is not distinct from f.domain and p.doc_id = f.doc_id)), dom as (select name, domain, count(distinct ftype || '/' || fname) as k, count(*) as n from rest group by 1, 2)
-select 'page' as origin, name, domain, doc_id, k, n from p union all select 'domain', name, domain, null, k, n from dom where k >= 6""")
+@query(f"""with {_FEATS}, page as (select name, domain, doc_id, count(distinct ftype || '/' || fname) as k, count(*) as n, count_if(ftype = 'next') as c from f group by 1, 2, 3), p as (select name, domain, doc_id, k, n from page where k >= 6 and c >= 2),
+rest as (select f.* from f where not exists (select 1 from p where p.name = f.name and p.domain is not distinct from f.domain and p.doc_id = f.doc_id)), dom as (select name, domain, count(distinct ftype || '/' || fname) as k, count(*) as n, count_if(ftype = 'next') as c from rest group by 1, 2)
+select 'page' as origin, name, domain, doc_id, k, n from p union all select 'domain', name, domain, null, k, n from dom where k >= 6 and c >= 2""")
 def f21_completeness(spark, sf):
-    """Instances complete on a page, else on their domain: what a page emits is not carried up."""
-    return instances.by_level(features(spark, sf), least=6)
+    """Instances complete on a page, else on their domain: enough features, and enough of the core type besides. What a page
+    emits is not carried up."""
+    return instances.by_level(features(spark, sf), least=6, core=2, core_types=("next",))
 
 
 @query("""select repname, count(distinct document_id) as df, cast(sum(cnt) as bigint) as tf, string_agg(distinct word_class, '?' order by word_class) as classes from ngram_uni where repname is not null and word_class like '%名詞%' group by 1 having count(distinct document_id) >= 5""")
