@@ -148,26 +148,28 @@ def train(data: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight
     k, size = len(LANGS), (1 << BITS) + 1
     z, n = np.zeros((size, k), dtype=np.float32), np.zeros((size, k), dtype=np.float32)
     rng = np.random.default_rng(seed)
+    # every row with its bias, once for all epochs
+    rows = [(np.append(buckets[a:b], size - 1), np.append(values[a:b], np.float32(0.1))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
-    def weights(i):
-        zi, ni = z[i], n[i]
-        w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
-        return np.where(np.abs(zi) <= l1, 0.0, w)
+    def weights(zi, root):
+        """Shrunk by l1, then scaled; root: the square root of the sums of squares."""
+        return -(zi - np.clip(zi, -l1, l1)) / ((beta + root) / alpha + l2)
 
     for _ in range(epochs):
-        for r in rng.permutation(len(y)):
-            i = np.append(buckets[offsets[r] : offsets[r + 1]], size - 1)
-            x = np.append(values[offsets[r] : offsets[r + 1]], 0.1)
-            w = weights(i)
+        for r in rng.permutation(len(y)).tolist():
+            i, x = rows[r]
+            zi, ni = z[i], n[i]
+            root = np.sqrt(ni)
+            w = weights(zi, root)
             s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y[r]] -= 1
             g = x[:, None] * (p * weight[r])
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - sigma * w
-            n[i] += g * g
-    return weights(slice(None)).astype(np.float32)
+            ni += g * g
+            z[i] = zi + g - (np.sqrt(ni) - root) / alpha * w
+            n[i] = ni
+    return weights(z, np.sqrt(n)).astype(np.float32)
 
 
 def scores(data: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
