@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -70,7 +71,9 @@ def cleaned(text: str, border: str = " ") -> str:
     return unicodedata.normalize("NFKC", _NOISE.sub(lambda m: " " if m[0][0] in "#＃>" else border, text))
 
 
+@lru_cache(None)
 def kind(c: str) -> str:
+    """The kind of script of a character, or ''; at most as many as there are characters."""
     for name, pattern in _KIND:
         if pattern.match(c):
             return name
@@ -320,7 +323,8 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         for b in batches:
             own = [cleaned(x) for x in b.column(0).to_pylist()]
             offsets, buckets = ngrams(own)
-            key = np.unique(np.repeat(np.arange(len(own)), np.diff(offsets)) << BITS | buckets)
+            # a text counts once for each of its n-grams
+            key = common.distinct(np.repeat(np.arange(len(own)), np.diff(offsets)) << BITS | buckets)
             total += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
             rows += len(own)
         there = np.flatnonzero(total)
