@@ -212,13 +212,13 @@ def word_step(stats: DataFrame, mass: np.ndarray) -> tuple[np.ndarray, np.ndarra
     def fit(batches):
         for b in batches:
             # most words are rare and share their sums with many others: each pair of sums is fitted once
-            sums = np.stack([b.column("s0").to_numpy(), b.column("s1").to_numpy()]).round(6)
-            pairs, which, times = np.unique(sums, axis=1, return_inverse=True, return_counts=True)
-            psi, slope = fit_words(pairs[0], pairs[1], mass)
+            sums = b.column("s0").to_numpy().round(6) + 1j * b.column("s1").to_numpy().round(6)
+            pairs, which, times = np.unique(sums, return_inverse=True, return_counts=True)
+            psi, slope = fit_words(pairs.real, pairs.imag, mass)
             z = np.zeros(len(GRID))
             for at in range(0, len(psi), 20_000):
                 z += (times[at : at + 20_000, None] * np.exp(psi[at : at + 20_000, None] + slope[at : at + 20_000, None] * GRID)).sum(0)
-            yield pa.RecordBatch.from_pylist([{"ids": b.column("id").to_numpy().astype(np.int32).tobytes(), "slopes": slope[which.ravel()].astype(np.float32).tobytes(), "z": z.tolist()}], schema=pa.schema([("ids", pa.binary()), ("slopes", pa.binary()), ("z", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pylist([{"ids": b.column("id").to_numpy().astype(np.int32).tobytes(), "slopes": slope[which].astype(np.float32).tobytes(), "z": z.tolist()}], schema=pa.schema([("ids", pa.binary()), ("slopes", pa.binary()), ("z", pa.list_(pa.float64()))]))
 
     beta, z = np.zeros(BUCKETS, dtype=np.float32), np.zeros(len(GRID))
     for r in stats.where("id >= 0").mapInArrow(fit, _SLOPES).collect():  # eight bytes a bucket, at most BUCKETS of them
