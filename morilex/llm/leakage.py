@@ -148,7 +148,7 @@ class Items:
         for bound, tables in minima.items():
             pairs = [(np.array([x for x, _ in t], dtype=np.uint64), np.array([k for _, k in t], dtype=np.int64)) for t in tables]
             self.parts[bound] = [_csr(*p) for p in pairs]
-            self.minima[bound] = np.unique(np.concatenate([x for x, _ in pairs]))
+            self.minima[bound] = common.distinct(np.concatenate([x for x, _ in pairs]))
 
     @staticmethod
     def bound(n: int) -> int:
@@ -216,9 +216,9 @@ def candidates(items: Items, h: np.ndarray, doc_of: np.ndarray, known: np.ndarra
                 continue
             width = 2 * bound
             last = maybe // bound
-            windows = np.unique(np.concatenate([last, np.maximum(last - 1, 0)]))
+            windows = common.distinct(np.concatenate([last, np.maximum(last - 1, 0)]))
             padded = h if len(h) >= width else np.concatenate([h, np.repeat(h[-1:], width - len(h))])
-            begin = np.unique(np.minimum(windows * bound, len(padded) - width))
+            begin = common.distinct(np.minimum(windows * bound, len(padded) - width))
             step = max(1, 500_000 // width)
             for at in range(0, len(begin), step):
                 grid = padded[begin[at : at + step, None] + np.arange(width)]
@@ -234,8 +234,7 @@ def candidates(items: Items, h: np.ndarray, doc_of: np.ndarray, known: np.ndarra
                         seen.append(((doc_of[pos] * n + item) * len(items.parts) + tag) * HASHES + f)
     if not seen:
         return none
-    distinct = np.unique(np.concatenate(seen))
-    pair, count = np.unique(distinct // (HASHES * len(items.parts)), return_counts=True)
+    pair, count = np.unique(common.distinct(np.concatenate(seen)) // (HASHES * len(items.parts)), return_counts=True)
     return pair[count >= LEAST_MATCHES]
 
 
@@ -253,7 +252,7 @@ def _verified(items: Items, post: Postings, rows: tuple, doc_of: np.ndarray, sta
     found = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pair)]):
         d, k = divmod(int(pair[a]), n)
-        if len(np.unique(shingle[a:b])) >= least * items.size[k] and verify(items.text[k], plains[d], (place[a:b] - starts[d]).tolist(), own[a:b].tolist(), post.size):
+        if len(common.distinct(shingle[a:b])) >= least * items.size[k] and verify(items.text[k], plains[d], (place[a:b] - starts[d]).tolist(), own[a:b].tolist(), post.size):
             found.append((d, k))
     return found
 
