@@ -464,7 +464,7 @@ def possible_chains(texts: list[str]) -> list[list[int]]:
             where = np.flatnonzero(hit)
             if len(where):
                 char = np.searchsorted(at, where, side="right") - 1
-                for t in np.unique(np.searchsorted(starts, char, side="right") - 1).tolist():
+                for t in common.distinct(np.searchsorted(starts, char, side="right") - 1).tolist():
                     out[t].append(k)
     return [sorted(x) for x in out]
 
