@@ -55,7 +55,7 @@ def repname(surface: Column, yomi: Column) -> Column:
 def unvoice(midasi: Column, imis: Column) -> Column:
     """Undo the voicing of the first kana of a second element that is marked as voiced."""
     voiced, plain = "がぎぐげござじずぜぞだぢづでどばびぶべぼガギグゲゴザジズゼゾダヂヅデドバビブベボ", "かきくけこさしすせそたちつてとはひふへほカキクケコサシスセソタチツテトハヒフヘホ"
-    return F.when(F.coalesce(imis, F.lit("")).contains("濁音化"), F.concat(F.translate(F.left(midasi, F.lit(1)), voiced, plain), F.substring(midasi, 2, 100000))).otherwise(midasi)
+    return F.when(F.coalesce(imis, F.lit("")).contains("濁音化"), F.concat(F.translate(F.left(midasi, F.lit(1)), voiced, plain), F.substring(midasi, F.lit(2), F.length(midasi)))).otherwise(midasi)
 
 
 def is_undefined(fstring: Column, hinsi: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import islice, product
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,15 +140,27 @@ def base_verb(potential: str) -> tuple[str, str] | None:
     return potential[:-2] + u, f"子音動詞{row}行"
 
 
-def kanji_variants(midasi: str, variants: dict[str, str], most: int = 4096) -> list[str]:
-    """All spellings with characters exchanged for their variants, the word itself left out."""
+def kanji_variants(midasi: str, variants: dict[str, str]) -> Iterator[str]:
+    """All spellings with characters exchanged for their variants, the word itself left out, one after the other: their
+    number is the product of the choices, so they are never held together."""
     choices = [[c, *(x for x in variants.get(c, "") if x != c)] for c in midasi]
-    total = 1
-    for c in choices:
-        total *= len(c)
-        if total > most:
-            raise ValueError(f"{midasi!r} has more than {most} spellings")
-    return ["".join(p) for p in product(*choices)][1:]
+    spellings = product(*choices)
+    next(spellings)  # the word itself
+    return ("".join(p) for p in spellings)
+
+
+def explode_variants(df: DataFrame, word: str, variants: dict[str, str], chunk: int = 10_000) -> DataFrame:
+    """df with `variant`: a row for each spelling of the word, in batches of at most `chunk` rows."""
+    schema = T.StructType([*df.schema.fields, T.StructField("variant", T.StringType())])
+
+    def rows(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                spellings = kanji_variants(r[word], variants) if r[word] else iter(())
+                while part := list(islice(spellings, chunk)):
+                    yield pd.DataFrame([{**r, "variant": v} for v in part], columns=schema.names)
+
+    return df.mapInPandas(rows, schema)
 
 
 romanize_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else romanize(x)), T.StringType())

@@ -42,9 +42,15 @@ def test_romanize_and_base_verbs():
 
 
 def test_kanji_variants_are_all_combinations():
-    assert kana.kanji_variants("国学", {"国": "國", "学": "學"}) == ["国學", "國学", "國學"]
-    with pytest.raises(ValueError):
-        kana.kanji_variants("国" * 20, {"国": "國圀"})
+    assert list(kana.kanji_variants("国学", {"国": "國", "学": "學"})) == ["国學", "國学", "國學"]
+    assert sum(1 for _ in kana.kanji_variants("国" * 11, {"国": "國圀"})) == 3**11 - 1  # whatever their number
+    assert list(kana.kanji_variants("", {})) == []
+
+
+def test_kanji_variants_as_rows(spark):
+    df = spark.createDataFrame([("国" * 9, 1), ("学", 2), (None, 3)], "w string, i int")
+    got = kana.explode_variants(df, "w", {"国": "國圀", "学": "學"}, chunk=1000)
+    assert got.count() == 3**9 - 1 + 1 and got.where("i = 2").first()["variant"] == "學"
 
 
 def test_reading_and_repname(spark):
