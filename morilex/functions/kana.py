@@ -31,9 +31,9 @@ def romanize(hira: str) -> str:
         if c in "ー～〜":
             out.append(f"{vowel}." if vowel else c)
             continue
-        r = roman_table().get(c, c)
-        vowel = r[-2] if r.endswith(".") and r[-2:-1] in "aiueo" else ""
-        out.append(r)
+        r = roman_table().get(c)
+        vowel = r[-2] if r and r[-2] in "aiueo" else ""
+        out.append(r or c)
     return "".join(out)
 
 

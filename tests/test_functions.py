@@ -41,6 +41,11 @@ def test_romanize_and_base_verbs():
     assert kana.base_verb("見る") is None
 
 
+def test_romanize_takes_any_character():
+    assert kana.romanize("$B$.$+(B") == "$B$.$+(B"  # garbled ぎか
+    assert kana.romanize("か.ー") == "ka..ー" and kana.romanize("..") == ".."
+
+
 def test_kanji_variants_are_all_combinations():
     assert list(kana.kanji_variants("国学", {"国": "國", "学": "學"})) == ["国學", "國学", "國學"]
     assert sum(1 for _ in kana.kanji_variants("国" * 11, {"国": "國圀"})) == 3**11 - 1  # whatever their number
