@@ -101,6 +101,34 @@ def weighted_distance(s: str, t: str) -> float:
     return above[-1]
 
 
+#: The distance up to which readings are found by near_keys().
+NEAR = 0.5
+
+
+@lru_cache(None)
+def _skeleton() -> dict[int, str]:
+    """For str.translate: characters that are cheap to exchange become one, those that are cheap to leave out go."""
+    fold = {y: x for x, y, _ in REPLACED if x not in CHEAP and y not in CHEAP}
+    gone = {c for x, y, _ in REPLACED if x in CHEAP or y in CHEAP for c in (x, y)} | set(CHEAP)
+    return str.maketrans(fold | dict.fromkeys(gone, ""))
+
+
+def near_keys(s: str) -> list[str]:
+    """Keys of a reading, its skeleton first: of two readings at a distance of at most NEAR, one has the other's skeleton
+    among its keys. Within NEAR there is room for cheap characters, all lost in the skeleton, and besides for one kana
+    written as a long mark or one contraction: that costs 0.4 with the kana exchanged, left out or put in before it."""
+    keys = [s]
+    for i in range(1, len(s)):
+        if PROLONGED.get(s[i - 1]) == s[i]:
+            keys.append(s[:i] + s[i + 1 :])
+        merged, cost = MERGED.get(s[i - 1 : i + 1], ("", 1.0))
+        if merged and 1 + cost <= NEAR:
+            keys += [s[: i - 1] + merged + s[i + 1 :], s[:i] + merged + s[i + 1 :]]
+            if s[i - 2 : i - 1] == merged:
+                keys.append(s[: i - 1] + s[i + 1 :])
+    return list(dict.fromkeys(k.translate(_skeleton()) for k in keys))
+
+
 def euc_convertible(s: str) -> bool:
     """Whether the two-byte character set holds the whole text: no ASCII, half-width kana or three-byte characters."""
     try:
@@ -165,4 +193,5 @@ def explode_variants(df: DataFrame, word: str, variants: dict[str, str], chunk:
 
 romanize_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else romanize(x)), T.StringType())
 distance_udf = F.pandas_udf(lambda s, t: pd.Series([None if a is None or b is None else weighted_distance(a, b) for a, b in zip(s, t)], dtype="float64"), T.DoubleType())
+near_keys_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else near_keys(x)), T.ArrayType(T.StringType()))
 euc_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else euc_convertible(x)), T.BooleanType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars, kana
-from .lookup import overlap_pairs
+from .lookup import grams, overlap_pairs
 
 
 def stems(entries: DataFrame) -> DataFrame:
@@ -67,16 +67,29 @@ def event_log(registered: DataFrame) -> DataFrame:
 
 
 def variants_by_distance(entries: DataFrame, least_overlap: float = 0.6, most_length: int = 2, most_distance: float = 0.5) -> DataFrame:
-    """(a, b, distance): entries whose readings are close: trigrams of the romanised reading, length, part of speech,
-    weighted distance, in this order. entries(entry_id, yomi, hinsi, bunrui, katuyou1)."""
-    e = entries.where("yomi is not null").withColumn("roman", kana.romanize_udf(chars.hiragana(F.col("yomi"))))
-    pairs = overlap_pairs(e, "entry_id", "roman", 3, least_overlap)
-    cols = ["entry_id", "yomi", "hinsi", "bunrui", "katuyou1"]
-    side = lambda p: e.select(*[F.col(c).alias(f"{p}_{c}") for c in cols])
-    j = pairs.join(side("a"), F.col("key_a") == F.col("a_entry_id")).join(side("b"), F.col("key_b") == F.col("b_entry_id"))
-    j = j.where(F.abs(F.length("a_yomi") - F.length("b_yomi")) <= most_length)
+    """(a, b, distance): entries whose readings are close: trigrams of the romanised reading, length, part of speech and
+    weighted distance. entries(entry_id, yomi, hinsi, bunrui, katuyou1).
+
+    There are few trigrams and all are common, so up to kana.NEAR distinct readings are brought together by the keys of
+    their distance; beyond, by trigrams. Entries come to the pairs of readings that are close.
+    """
+    e = entries.where("yomi is not null")
+    readings = e.groupBy("yomi").agg(F.count("*").alias("n"))
+    roman = lambda c: kana.romanize_udf(chars.hiragana(F.col(c)))
+    if most_distance <= kana.NEAR:
+        keyed = readings.select("yomi", kana.near_keys_udf(chars.hiragana(F.col("yomi"))).alias("ks"))
+        own = keyed.select(F.col("yomi").alias("x"), F.element_at("ks", 1).alias("k"))
+        pairs = keyed.select(F.col("yomi").alias("y"), F.explode("ks").alias("k")).join(own, "k").where("x <> y").select(F.least("x", "y").alias("ya"), F.greatest("x", "y").alias("yb")).distinct()
+    else:
+        pairs = overlap_pairs(readings.withColumn("roman", roman("yomi")), "yomi", "roman", 3, least_overlap).select(F.col("key_a").alias("ya"), F.col("key_b").alias("yb"))
+    pairs = pairs.unionByName(readings.where("n > 1").select(F.col("yomi").alias("ya"), F.col("yomi").alias("yb")))
+    pairs = pairs.where(F.abs(F.length("ya") - F.length("yb")) <= most_length).withColumns({"ra": roman("ya"), "rb": roman("yb")}).withColumns({"ga": grams(F.col("ra"), 3), "gb": grams(F.col("rb"), 3)})
+    pairs = pairs.where(F.try_divide(F.size(F.array_intersect("ga", "gb")), F.least(F.size("ga"), F.size("gb"))) >= least_overlap)
+    close = pairs.select("ya", "yb").withColumn("distance", kana.distance_udf(chars.hiragana(F.col("ya")), chars.hiragana(F.col("yb")))).where(F.col("distance") <= most_distance)
+    side = lambda p: e.select(F.col("yomi").alias(f"y{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("entry_id", "hinsi", "bunrui", "katuyou1")])
+    j = close.join(side("a"), "ya").join(side("b"), "yb").where("a_entry_id < b_entry_id or (ya <> yb and a_entry_id <> b_entry_id)")
     j = j.where(chars.pos_consistent(*[F.col(f"{p}_{c}") for p in "ab" for c in ("hinsi", "bunrui", "katuyou1")]))
-    return j.withColumn("distance", kana.distance_udf(chars.hiragana(F.col("a_yomi")), chars.hiragana(F.col("b_yomi")))).where(F.col("distance") <= most_distance).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.round("distance", 6).alias("distance"))
+    return j.select(F.least("a_entry_id", "b_entry_id").alias("a"), F.greatest("a_entry_id", "b_entry_id").alias("b"), F.round("distance", 6).alias("distance"))
 
 
 def similar(features: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Characters, kana, and tests on words."""
 
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def test_weighted_distance():
     assert kana.weighted_distance("やっぱり", "やぱり") == pytest.approx(0.3)
 
 
+@pytest.mark.parametrize("alphabet", ["かいけー", "ないねー", "こうおー〜", "あえーっつ", "やゃいーっ"])
+def test_near_keys_bring_all_near_readings_together(alphabet):
+    words = ["".join(p) for n in range(4) for p in product(alphabet, repeat=n)]
+    keys = {w: kana.near_keys(w) for w in words}
+    near = {(a, b) for a in words for b in words if kana.weighted_distance(a, b) <= kana.NEAR}
+    assert len(near) > len(words) and not [x for x in near if keys[x[0]][0] not in keys[x[1]] and keys[x[1]][0] not in keys[x[0]]]
+
+
 def test_romanize_and_base_verbs():
     assert kana.romanize("こーひー") == "ko.o.hi.i."
     assert kana.romanize("っぽ") == "Q.po."

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from morilex.functions import morphology
+from morilex.functions import kana, morphology
 from morilex.operators import caseframes, detect, dictionaries
 from morilex.sources import analysers, texts
 
@@ -63,6 +63,39 @@ def test_variants_and_similarity(spark):
     assert c["x", "y"] == pytest.approx(1) and c["x", "z"] == 0
 
 
+def close_readings(rows, most_distance):
+    """variants_by_distance of (entry_id, yomi, hinsi, bunrui, katuyou1), pair by pair; all nouns."""
+    hira = lambda s: "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in s)
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    out = {}
+    for i, x, *_ in rows:
+        for j, y, *_ in rows:
+            if i < j and x and y and abs(len(x) - len(y)) <= 2:
+                a, b = grams(kana.romanize(hira(x))), grams(kana.romanize(hira(y)))
+                d = kana.weighted_distance(hira(x), hira(y))
+                if a and b and len(a & b) / min(len(a), len(b)) >= 0.6 and d <= most_distance:
+                    out[i, j] = round(d, 6)
+    return out
+
+
+@pytest.mark.parametrize("most_distance", [0.5, 1.0])
+def test_variants_are_all_pairs(spark, most_distance):
+    stem = ["おかあさんたち", "おかーさんたち", "オカアサンタチ", "おっかあさんたち", "おかさんたち", "おとうさんたち", "せかいのまち", "せけーのまち", "せけのまち", "せかけーのまち", "せけかいのまち", "きょうかいしつ", "きようかいしつ", "きょうけーしつ", "あ", "い", "っー", "", None]
+    rows = [(i, y, "名詞", "普通名詞", None) for i, y in enumerate(stem * 2)]
+    e = spark.createDataFrame(rows, "entry_id long, yomi string, hinsi string, bunrui string, katuyou1 string")
+    got = [tuple(r) for r in dictionaries.variants_by_distance(e, most_distance=most_distance).collect()]
+    expected = close_readings(rows, most_distance)
+    assert len(got) == len(set(got)) and {(a, b): d for a, b, d in got} == expected and {0.0, 0.3, 0.4} <= set(expected.values())
+
+
+def test_variants_are_not_sought_by_trigrams(spark, monkeypatch):
+    """There are too few trigrams of romanised kana: each brought a large part of all entries together."""
+    monkeypatch.setattr(dictionaries, "overlap_pairs", None)
+    e = spark.createDataFrame([(1, "くうこう", "名詞", None, None), (2, "くーこう", "名詞", None, None)], "entry_id long, yomi string, hinsi string, bunrui string, katuyou1 string")
+    assert dictionaries.variants_by_distance(e, least_overlap=0.0).count() == 0  # no long mark for u after ku
+    assert dictionaries.variants_by_distance(e.withColumn("yomi", F.translate("yomi", "く", "こ"))).count() == 1
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "dic")
     with pytest.raises(FileNotFoundError):
