@@ -75,9 +75,10 @@ def variants_by_distance(entries: DataFrame, least_overlap: float = 0.6, most_le
     """
     e = entries.where("yomi is not null")
     readings = e.groupBy("yomi").agg(F.count("*").alias("n"))
-    roman = lambda c: kana.romanize_udf(chars.hiragana(F.col(c)))
+    hira = lambda c: F.translate(chars.hiragana(F.col(c)), "ゕ", "ヵ")  # noqa: E731  the tables of letters and costs have ヵ
+    roman = lambda c: kana.romanize_udf(hira(c))
     if most_distance <= kana.NEAR:
-        keyed = readings.select("yomi", kana.near_keys_udf(chars.hiragana(F.col("yomi"))).alias("ks"))
+        keyed = readings.select("yomi", kana.near_keys_udf(hira("yomi")).alias("ks"))
         own = keyed.select(F.col("yomi").alias("x"), F.element_at("ks", 1).alias("k"))
         pairs = keyed.select(F.col("yomi").alias("y"), F.explode("ks").alias("k")).join(own, "k").where("x <> y").select(F.least("x", "y").alias("ya"), F.greatest("x", "y").alias("yb")).distinct()
     else:
@@ -85,7 +86,7 @@ def variants_by_distance(entries: DataFrame, least_overlap: float = 0.6, most_le
     pairs = pairs.unionByName(readings.where("n > 1").select(F.col("yomi").alias("ya"), F.col("yomi").alias("yb")))
     pairs = pairs.where(F.abs(F.length("ya") - F.length("yb")) <= most_length).withColumns({"ra": roman("ya"), "rb": roman("yb")}).withColumns({"ga": grams(F.col("ra"), 3), "gb": grams(F.col("rb"), 3)})
     pairs = pairs.where(F.try_divide(F.size(F.array_intersect("ga", "gb")), F.least(F.size("ga"), F.size("gb"))) >= least_overlap)
-    close = pairs.select("ya", "yb").withColumn("distance", kana.distance_udf(chars.hiragana(F.col("ya")), chars.hiragana(F.col("yb")))).where(F.col("distance") <= most_distance)
+    close = pairs.select("ya", "yb").withColumn("distance", kana.distance_udf(hira("ya"), hira("yb"))).where(F.col("distance") <= most_distance)
     side = lambda p: e.select(F.col("yomi").alias(f"y{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("entry_id", "hinsi", "bunrui", "katuyou1")])
     j = close.join(side("a"), "ya").join(side("b"), "yb").where("a_entry_id < b_entry_id or (ya <> yb and a_entry_id <> b_entry_id)")
     j = j.where(chars.pos_consistent(*[F.col(f"{p}_{c}") for p in "ab" for c in ("hinsi", "bunrui", "katuyou1")]))

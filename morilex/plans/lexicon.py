@@ -165,9 +165,8 @@ def a38_unique_by_name(spark, sf):
 
 @query()
 def j14_variants_by_distance(spark, sf):
-    """Dictionary entries whose readings are close under the weighted distance."""
-    d = table(spark, sf, "dictionary").select("entry_id", "yomi", "hinsi", "bunrui", "katuyou1")
-    return dictionaries.variants_by_distance(d.where(F.col("yomi").rlike("^[ぁ-ゖー]{3,}$")))
+    """Dictionary entries whose readings, of any length and script, are close under the weighted distance."""
+    return dictionaries.variants_by_distance(table(spark, sf, "dictionary").select("entry_id", "yomi", "hinsi", "bunrui", "katuyou1"))
 
 
 @query("""with f as (select repname as item, document_id as feature, cast(sum(cnt) as double) as n from ngram_uni where repname is not null and midasi is not null group by 1, 2), t as (select item from f group by 1 having sum(n) >= 5),

@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 from morilex.functions import chars
-from morilex.plans import evaluate, filters, scans
+from morilex.plans import evaluate, filters, lexicon, scans
 
 
 def test_position_map_has_every_line_and_place(spark, tmp_path):
@@ -50,3 +50,11 @@ def test_naive_bayes_has_every_label(spark, tmp_path):
     expected = {(lang, w): round(math.log(n / own.total()), 6) for lang, own in counted.items() for w, n in own.items() if n >= 3}
     assert {lang for lang, _ in expected} == {"ja", "en", "ko", "pt"}
     assert {(r["label"], r["feature"]): r["log_p"] for r in evaluate.ml12_naive_bayes(spark, sf).collect()} == expected
+
+
+def test_variants_of_readings_in_any_script_and_length(spark, tmp_path):
+    yomi = ["カード", "カド", "かーど", "か", "かー", "みヵづき", "みかづき", "CDやっき", "CDやき", "ã¹ã‚Œ", "ã¹ã‚Œ", "ばいと", "", "", None, None]
+    rows = [(i, y, "名詞", "普通名詞", None) for i, y in enumerate(yomi)] + [(100, "カード", "副詞", None, None)]
+    spark.createDataFrame(rows, "entry_id long, yomi string, hinsi string, bunrui string, katuyou1 string").write.parquet(str(tmp_path / "dictionary.parquet"))
+    got = [tuple(r) for r in lexicon.j14_variants_by_distance(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(0, 1, 0.3), (0, 2, 0.0), (1, 2, 0.3), (3, 4, 0.3), (5, 6, 0.3), (7, 8, 0.3), (9, 10, 0.0)]
